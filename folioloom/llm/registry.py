@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, document_fingerprints, sentencepiece_codec, sharding, simhash_near_dedup, substring_dedup, suffix_array_dedup
+from . import best_fit_packing, document_fingerprints, embedding_near_dedup, sentencepiece_codec, sharding, simhash_near_dedup, substring_dedup, suffix_array_dedup, toxicity
 
-MODULES = [document_fingerprints, sentencepiece_codec, suffix_array_dedup, best_fit_packing, simhash_near_dedup, sharding, substring_dedup]
+MODULES = [document_fingerprints, sentencepiece_codec, suffix_array_dedup, embedding_near_dedup, best_fit_packing, simhash_near_dedup, sharding, toxicity, substring_dedup]
 
 
 def queries() -> dict:
