@@ -27,17 +27,33 @@ Z = 3.0
 DRIFT = -0.1
 TOP = 6.0
 ODDS = 1.5
+MARGIN = 3.0  # a segment counts if chance yields one like it in under exp(-MARGIN) texts
+CAP = 12.0  # more than this adds no certainty
 
 _INK = np.zeros(256, bool)
 _INK[97:123] = _INK[65:91] = _INK[128:] = True
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the letter runs of each text, lower-cased in A-Z, and where each text's begin."""
+PREFIXES = (4, 5, 6, 7, 8)
+
+
+def tokens(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """Letter runs of each text, lower-cased in A-Z, and where each text's begin.
+
+    A run has several keys, the weakest first: its first 4 to 8 bytes where it is
+    longer (else 0), then the whole run. Inflected and compound forms so share what
+    is learnt of their stem.
+    """
     data, off = tx.buffers(column)
     data = np.where(_INK[data], tx.lower(data), np.uint8(32))
     start, end, doc = tx.words(data, off)
-    return tx.ranges(tx.prefix(data), start, end), np.searchsorted(doc, np.arange(len(off)))
+    sums = tx.prefix(data)
+    keys = []
+    for size in PREFIXES:
+        longer = end - start > size
+        key = tx.mix(tx.ranges(sums, start, np.where(longer, start + size, end)) + np.uint64(size))
+        keys.append(np.where(longer, key, np.uint64(0)))
+    return [*keys, tx.ranges(sums, start, end)], np.searchsorted(doc, np.arange(len(off)))
 
 
 @dataclass
@@ -49,14 +65,19 @@ class Model:
     slope: float = 1.0
     level: float = -3.0
 
-    def of(self, key: np.ndarray) -> np.ndarray:
-        out = np.full(len(key), DRIFT)
-        if len(self.keys):
+    def of(self, keys: list[np.ndarray]) -> np.ndarray:
+        """Each token's score: that of its longest key that has one."""
+        out = np.full(len(keys[-1]), DRIFT)
+        for key in keys if len(self.keys) else []:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[at] == key
             out[hit] = self.scores[at[hit]]
         return out
 
+    def bar(self, n: np.ndarray) -> np.ndarray:
+        """What lambda * score must exceed in texts of n tokens."""
+        return np.log(np.maximum(self.k * n, 1)) + MARGIN
+
     def chance(self, excess: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.level + self.slope * excess, -30, 30)))
 
@@ -100,9 +121,8 @@ def scan(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[l
 
 
 def excess(model: Model, n: np.ndarray, found: list[list[tuple[int, int, float]]]) -> np.ndarray:
-    """Sum over segments of how far each lies above its chance level in a text of n tokens."""
-    base = np.log(np.maximum(model.k * np.maximum(n, 1), 1e-12))
-    return np.array([sum(max(0.0, model.rate * s - b) for _, _, s in x) for x, b in zip(found, base.tolist(), strict=True)])
+    """Sum over significant segments of how far each lies above its chance level in a text of n tokens."""
+    return np.array([sum(max(0.0, model.rate * s - b) for _, _, s in x) for x, b in zip(found, model.bar(n).tolist(), strict=True)])
 
 
 def fold(id_col: str, folds: int = 3) -> Column:
@@ -113,9 +133,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct tokens of a block with the number of toxic and of other texts that hold them, and of uses in other texts."""
     for whole in batches:
         for batch in tx.pieces(whole):
-            key, first = tokens(batch.column("text"))
+            every, first = tokens(batch.column("text"))
             toxic = np.asarray(batch.column("toxic")).astype(np.int64)
-            doc = np.repeat(np.arange(len(batch)), np.diff(first))
+            doc = np.tile(np.repeat(np.arange(len(batch)), np.diff(first)), len(every))
+            key = np.concatenate(every)
+            key, doc = key[key != 0], doc[key != 0]
             keys, back = np.unique(key, return_inverse=True)
             uses = np.bincount(back, 1 - toxic[doc], len(keys)).astype(np.int64)
             order = np.lexsort((doc, back))
@@ -188,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = excess(model, n, [[(0, 0, s) for s in r["scores"]] for r in seen])
     share = np.where(toxic == 1, shares.get(1, 1) / max(1, toxic.sum()), shares.get(0, 1) / max(1, plain.sum()))
     share = share / share.mean()
-    x = np.minimum(x, 60)
+    x = np.minimum(x, CAP)
     a0, b0 = -2.0, 0.5
     for _ in range(60):  # logistic fit by Newton steps with a slight ridge
         q = 1 / (1 + np.exp(-np.clip(a0 + b0 * x, -30, 30)))
@@ -207,8 +229,8 @@ def _scored(model: Model):
         for whole in batches:
             for batch in tx.pieces(whole):
                 n, _, found = scan(model, batch.column("text"))
-                p = model.chance(np.minimum(excess(model, n, found), 60))
-                base = np.log(np.maximum(model.k * np.maximum(n, 1), 1e-12)).tolist()
+                p = model.chance(np.minimum(excess(model, n, found), CAP))
+                base = model.bar(n).tolist()
                 passages = [[{"first": a, "end": b, "score": s} for a, b, s in x if model.rate * s > low] for x, low in zip(found, base, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= 0.7).astype(np.int32)), pa.array(passages, kind)], ["doc_id", "held_out", "score", "predicted", "passages"])
 
