@@ -172,16 +172,18 @@ def parts(df: DataFrame) -> int:
 NO_ID = -(1 << 63)
 
 
-def covered(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int, k: int, make: Callable) -> DataFrame:
+def covered(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int, k: int, make: Callable, carry: bool = False) -> DataFrame:
     """Every row of docs with its text and the token ranges its matcher found.
 
     Columns: d (id, NO_ID for null), h, text, copy (0 for the first row of its
     text in id order), copies (rows with this text), spans (array of a, b; null
-    if none). Spans are those of the first row of the text.
+    if none). Spans are those of the first row of the text. With `carry`, `other`
+    is a struct of all columns but the text.
     """
     n = parts(docs)
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), text.alias("text"))
+    other = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("other")] if carry else []
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), text.alias("text"), *other)
     base = base.withColumn("h", F.xxhash64("text"))
     texts = base.repartition(n, "d", "h").withColumn("row", F.row_number().over(Window.partitionBy("d", "h").orderBy("d")))
     ids = base.select("d", "h", F.xxhash64(F.lit(1), "text").alias("g")).groupBy("d", "h", "g").agg(F.count("*").alias("same"))
@@ -200,7 +202,7 @@ def covered(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int,
     return (
         texts.join(flags.hint("merge"), ["d", "h"])
         .join(spans.hint("merge"), ["d", "h"], "left")
-        .select("d", "h", "text", F.when(F.col("lead"), F.col("row") - 1).otherwise(F.lit(1)).alias("copy"), "copies", "spans")
+        .select("d", "h", "text", F.when(F.col("lead"), F.col("row") - 1).otherwise(F.lit(1)).alias("copy"), "copies", "spans", *["other"] * carry)
     )
 
 

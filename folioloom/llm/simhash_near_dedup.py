@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _components as cc
@@ -25,7 +25,7 @@ from . import _text as tx
 from ._repeats import NO_ID, parts
 
 ALL = (1 << 64) - 1
-FEW = 8
+FEW = 32
 BLOCK = 1024
 
 
@@ -164,9 +164,10 @@ def _linked(ring: Ring, apart: int, held: list[pa.RecordBatch]) -> Iterator[pa.R
 
     which = np.array([c for c, _ in ring.keys])
     for g in range(2, FEW + 1):  # all pairs of the many small groups at once
-        at = begin[size == g]
-        if len(at):
-            a, b = np.triu_indices(g, 1)
+        a, b = np.triu_indices(g, 1)
+        every = begin[size == g]
+        step = max(1, (1 << 20) // len(a))
+        for at in (every[x : x + step] for x in range(0, len(every), step)):
             i, j = (at[:, None] + a).ravel(), (at[:, None] + b).ravel()
             ok = check(i, j, np.repeat(which[key[at] & 127], len(a)))
             out.append((node[i[ok]], node[j[ok]]))
@@ -232,6 +233,65 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of, "print").select(null("d").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
 
 
+def _twofold(k: int):
+    """Prints of a text's distinct words, and two of its k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tx.pieces(whole):
+                data, off = tx.buffers(batch.column("text"))
+                data = tx.lower(data)
+                start, end, doc = tx.words(data, off)
+                word = tx.ranges(tx.prefix(data), start, end)
+                texts = np.arange(len(off))
+                order = np.lexsort((word, doc))
+                w, d = word[order], doc[order]
+                new = np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])]) if len(w) else np.zeros(0, bool)
+                prints = bit_majority(w[new], np.searchsorted(d[new], texts))
+                grams = tx.grams(word, k)
+                owner = doc[: len(grams)]
+                inside = owner == doc[k - 1 :][: len(grams)]
+                grams, owner = [grams[inside]], [owner[inside]]
+                n = np.bincount(doc, minlength=len(batch))
+                for size in range(1, k):  # shorter texts are one shingle
+                    few = np.flatnonzero(n == size)
+                    if len(few):
+                        grams.append(tx.grams(word, size)[np.searchsorted(doc, few)])
+                        owner.append(few)
+                g, o = np.concatenate(grams), np.concatenate(owner)
+                order = np.argsort(o, kind="stable")
+                first = np.searchsorted(o[order], texts)
+                more = np.stack([bit_majority(tx.mix(g[order] + np.uint64(i)), first) for i in (1, 2)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(prints.view(np.int64)), pa.array([x.tobytes() for x in more], pa.binary())], ["d", "h", "print", "more"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 7, apart: int = 26) -> DataFrame:
+    """docs, with all their columns, less all but one row of each group of near copies.
+
+    For texts of Jaccard similarity 0.8 and more on k-word shingles. One fingerprint
+    cannot tell so much apart: candidates are texts whose fingerprints of distinct
+    words (an edit changes one word, but k shingles) differ in at most `radius` bits,
+    by the pigeonring; they link if 128 bits of shingle fingerprints differ in at
+    most `apart` (about similarity 0.73; 0.8 lies 1.6 deviations below). The row with
+    the least id stays; of equal rows one stays. Null texts count as empty.
+    """
+    cc.prepare(docs)
+    n = parts(docs)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text)})
+    prints = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), text.alias("text")).mapInArrow(_twofold(k), "d long, h long, print long, more binary").distinct()
+    prints = prints.withColumn("node", F.xxhash64("print", "more")).checkpoint()
+    classes = prints.select("node", "print", "more").distinct()
+    links = near(classes.withColumn("block", F.lit(0).cast("long")), radius, apart)
+    rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.h").alias("_h"))
+    left = keyed.repartition(n, "_d", "_h").join(kept.hint("merge"), ["_d", "_h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d"))
+    return left.withColumn("_row", first).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4).drop("kept")
 

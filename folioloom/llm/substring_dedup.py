@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _repeats as rp
 from . import _text as tx
@@ -164,6 +165,29 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("d", "text", "copy", "spans").mapInArrow(_kept(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
+def _emptied(length: int):
+    """The texts left, with their rows' other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, out in zip(tx.pieces(whole), _kept(length, True)([whole]), strict=True):
+                yield pa.RecordBatch.from_arrays([batch.column("other"), out.column("kept")], ["other", "kept"])
+
+    return run
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5) -> DataFrame:
+    """docs with each text reduced to the words that `substring_dedup` keeps (one space between them), n_chars following if there is one.
+
+    Every row stays, even one left without words.
+    """
+    rows = rp.covered(docs, id_col, text_col, "words", length, k, Shards, carry=True)
+    kind = docs.drop(text_col).schema.simpleString()
+    left = rows.select("d", "text", "copy", "spans", "other").mapInArrow(_emptied(length), f"other {kind}, kept string")
+    value = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*(value.get(c, F.col(f"other.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 

@@ -250,6 +250,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return rows.withColumn("held_out", fold("doc_id") == 1).mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first: int, end: int, score: double>>")
 
 
+def _clean(model: Model, text_col: str, limit: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tx.pieces(whole, text_col):
+                n, _, found = scan(model, batch.column(text_col))
+                yield batch.filter(pa.array(model.chance(np.minimum(excess(model, n, found), CAP)) < limit))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the limit."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    model = learn(rows, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
+    return docs.mapInArrow(_clean(model, text_col, limit), docs.schema)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("passages")
 
