@@ -1 +1,8 @@
-"""Part of folioloom."""
+"""Named queries of the engine."""
+
+
+def load():
+    """The registry with every module's queries."""
+    from . import projections, registry  # noqa: F401
+
+    return registry
