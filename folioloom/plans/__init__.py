@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every module's queries."""
-    from . import projections, registry  # noqa: F401
+    from . import browse, projections, registry, tickets  # noqa: F401
 
     return registry
