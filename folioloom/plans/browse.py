@@ -219,7 +219,7 @@ def bulk_publish(spark, d):
     """The outcome of publishing each article: gates first, then duplicates, then what is there already."""
     a = articles(spark, d).withColumn("h", F.sha1("content"))
     lead = a.groupBy("h").agg(F.min("doc_id").alias("lead"))
-    code = F.when(F.length("content") < 50, "too_short").when(F.col("doc_id") != F.col("lead"), "duplicate").when("published", "already_published").otherwise("created")
+    code = F.when(F.length("content") < 50, "too_short").when(F.col("doc_id") != F.col("lead"), "duplicate").when(F.col("published"), "already_published").otherwise("created")
     return a.join(lead, "h").select("doc_id", code.alias("code"))
 
 
