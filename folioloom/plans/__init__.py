@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every module's queries."""
-    from . import browse, classify, projections, registry, retrieval, tickets  # noqa: F401
+    from . import browse, classify, projections, quality, registry, retrieval, tickets  # noqa: F401
 
     return registry
