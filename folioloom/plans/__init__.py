@@ -3,6 +3,6 @@
 
 def load():
     """The registry with every module's queries."""
-    from . import browse, classify, dedupe, projections, quality, registry, retrieval, structure, tickets  # noqa: F401
+    from . import browse, classify, dedupe, projections, quality, rates, registry, retrieval, stores, structure, tickets  # noqa: F401
 
     return registry
