@@ -110,3 +110,34 @@ def test_package_stands_without_the_llm_folder():
 
 
 __all__ = ["F"]
+
+
+def test_row_clusters(spark):
+    from folioloom.operators import layout
+
+    assert layout.cluster([10, 11, 14, 30, 31], [8, 8, 8, 8, 8]) == [0, 0, 0, 1, 1]
+    assert layout.cluster([], []) == []
+    data = [(p, i, f"w{i}", 40.0 * (i % 3), 40.0 * (i % 3) + 10, 20.0 * (i // 3) + 0.5 * (i % 3), 8.0) for p in range(3) for i in range(9)]
+    boxes = spark.createDataFrame(data, "page long, word long, text string, x0 double, x1 double, cy double, height double")
+    found = layout.rows(boxes)
+    assert {(r.page, r.word): r.row for r in found.collect()} == {(p, i): i // 3 for p in range(3) for i in range(9)}
+    assert {r.text for r in layout.row_text(found).collect()} == {"w0 | w1 | w2", "w3 | w4 | w5", "w6 | w7 | w8"}
+    assert layout.boundaries(found, 3).first().bounds == [25.0, 65.0]
+
+
+def test_merged_rows(spark):
+    from folioloom.operators import layout
+
+    cells = [["1. Ask", "Clerk"], ["for the form", ""], ["2. Pay,", "Desk"], ["then wait", "B"], ["Go", "Out"]]
+    want = [["1. Ask for the form", "Clerk"], ["2. Pay, then wait", "Desk B"], ["Go", "Out"]]
+    assert layout.merged(cells) == want
+    df = spark.createDataFrame([(b, i, c) for b in range(3) for i, c in enumerate(cells)], "block long, line long, cells array<string>")
+    got = layout.merge_rows(df).orderBy("block", "row").collect()
+    assert [(r.block, r.cells) for r in got] == [(b, c) for b in range(3) for c in want]
+
+
+def test_packed(spark):
+    from folioloom.operators import layout
+
+    df = spark.createDataFrame([(["aa", "bb", "cccc", "ddddddddd", "e"],)], "x array<string>")
+    assert df.select(layout.packed(F.col("x"), 8).alias("y")).first().y == ["aa\n\nbb", "cccc", "ddddddddd", "e"]
