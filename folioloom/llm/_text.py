@@ -17,7 +17,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15  # any odd number serves
 _POWERS: dict[int, np.ndarray] = {}
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 def powers(n: int, base: int = _P) -> np.ndarray:
@@ -27,7 +27,7 @@ def powers(n: int, base: int = _P) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 2 * STEP:
+        if n <= 6 * STEP:
             _POWERS[base] = have
     return have[:n]
 

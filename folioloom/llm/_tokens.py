@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from . import _text as tx
 
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _MEMORY: dict[str, Memory] = {}
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _text as tx
 
 MARK = "▁"
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _CODECS: dict[str, Codec] = {}
 
 
