@@ -193,8 +193,9 @@ def covered(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int,
     once = texts.where("row = 1").join(leads.hint("merge"), ["d", "h"]).select("d", "h", "text")
 
     seeds = once.mapInArrow(_seeds(unit, length, k), "route long, d long, h long, p int, times int").repartition(n, "route")
-    often = seeds.groupBy("route").agg(F.sum("times").alias("times")).where("times > 1").select("route")
-    asked = seeds.join(often.hint("merge"), "route").groupBy("d", "h").agg(F.collect_list("p").alias("ps"))
+    # a seed has at most one row a block, so no window is large
+    often = seeds.withColumn("total", F.sum("times").over(Window.partitionBy("route"))).where("total > 1")
+    asked = often.groupBy("d", "h").agg(F.collect_list("p").alias("ps"))
     around = texts.where("row = 1").join(asked.hint("merge"), ["d", "h"]).select("d", "h", "text", "ps")
     fragments = around.mapInArrow(_fragments(unit, length, k), "route long, fragment binary, d long, h long, s int, n int, times int")
     found = fragments.repartition(n, "route").sortWithinPartitions("route", "d", "h", "s").mapInArrow(_matched(make, length), "d long, h long, a int, b int")
