@@ -24,10 +24,11 @@ def powers(n: int, base: int = _P) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+        # rounded up, so that blocks of nearly one size share a table
+        have = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 6 * STEP:
+        if n <= 4 * STEP:
             _POWERS[base] = have
     return have[:n]
 
