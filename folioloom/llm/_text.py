@@ -147,3 +147,9 @@ def least(values: np.ndarray, w: int) -> np.ndarray:
 
 def key_columns(batch: pa.RecordBatch, names: list[str], take: np.ndarray) -> list[pa.Array]:
     return [batch.column(x).take(pa.array(take)) for x in names]
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after another."""
+    begin = np.cumsum(size) - size
+    return np.repeat(start - begin, size) + np.arange(size.sum())
