@@ -27,6 +27,7 @@ from ._repeats import NO_ID, parts
 ALL = (1 << 64) - 1
 FEW = 32
 BLOCK = 1024
+_NAME = 0x5851F42D4C957F2D  # any number serves
 
 
 def bit_majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -199,16 +200,19 @@ def _linked(ring: Ring, apart: int, held: list[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
 
+def candidates(nodes: DataFrame, radius: int, apart: int = 0) -> DataFrame:
+    """Pairs a > b that span the components of `near`; inside a large key b may be linked to a over others."""
+    keyed = nodes.mapInArrow(_keys(radius), "key long, node long, print long, more binary")
+    return keyed.repartition(parts(nodes), "key").sortWithinPartitions("key").mapInArrow(_pairs(radius, apart), "a long, b long")
+
+
 def near(nodes: DataFrame, radius: int, apart: int = 0) -> DataFrame:
     """Components of nodes (node, print, more binary, block long) whose prints differ in at most `radius` bits.
 
     Nodes must have the same `block` and, where `more` is not empty, `more` may
     differ in at most `apart` bits. Returns node, root for nodes with a link.
     """
-    n = parts(nodes)
-    keyed = nodes.mapInArrow(_keys(radius), "key long, node long, print long, more binary")
-    links = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_pairs(radius, apart), "a long, b long")
-    return cc.components(links)
+    return cc.components(candidates(nodes, radius, apart))
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 4) -> DataFrame:
@@ -233,63 +237,253 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of, "print").select(null("d").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
 
 
+def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased texts' distinct words, where each text's begin, and likewise of their k-word shingles."""
+    data, off = tx.buffers(column)
+    data = tx.lower(data)
+    start, end, doc = tx.words(data, off)
+    word = tx.ranges(tx.prefix(data), start, end)
+    texts = np.arange(len(off))
+    grams = tx.grams(word, k)
+    owner = doc[: len(grams)]
+    inside = owner == doc[k - 1 :][: len(grams)]
+    g, o = [grams[inside]], [owner[inside]]
+    n = np.bincount(doc, minlength=len(column))
+    for size in range(1, k):  # shorter texts are one shingle
+        few = np.flatnonzero(n == size)
+        if len(few):
+            g.append(tx.grams(word, size)[np.searchsorted(doc, few)])
+            o.append(few)
+
+    def each(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((h, d))
+        h, d = h[order], d[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, bool)
+        return h[new], np.searchsorted(d[new], texts)
+
+    return *each(word, doc), *each(np.concatenate(g), np.concatenate(o))
+
+
+def set_names(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set of hashes, the same for equal sets."""
+    sums = np.zeros(len(g) + 1, np.uint64)
+    np.cumsum(tx.mix(g ^ np.uint64(_NAME)), out=sums[1:])
+    return tx.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+
+
 def _twofold(k: int):
-    """Prints of a text's distinct words, and two of its k-word shingles."""
+    """Prints of a text's distinct words, and two of its distinct k-word shingles; the name and size of the shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tx.pieces(whole):
+                w, at, g, first = shingle_sets(batch.column("text"), k)
+                more = np.stack([bit_majority(tx.mix(g + np.uint64(i)), first) for i in (1, 2)], axis=1)
+                columns = [pa.array(bit_majority(w, at).view(np.int64)), pa.array([x.tobytes() for x in more], pa.binary()), pa.array(set_names(g, first)), pa.array(np.diff(first))]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), *columns], ["d", "h", "print", "more", "node", "n"])
+
+    return run
+
+
+def _grams(k: int):
+    """The shingles of each set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in tx.pieces(whole):
-                data, off = tx.buffers(batch.column("text"))
-                data = tx.lower(data)
-                start, end, doc = tx.words(data, off)
-                word = tx.ranges(tx.prefix(data), start, end)
-                texts = np.arange(len(off))
-                order = np.lexsort((word, doc))
-                w, d = word[order], doc[order]
-                new = np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])]) if len(w) else np.zeros(0, bool)
-                prints = bit_majority(w[new], np.searchsorted(d[new], texts))
-                grams = tx.grams(word, k)
-                owner = doc[: len(grams)]
-                inside = owner == doc[k - 1 :][: len(grams)]
-                grams, owner = [grams[inside]], [owner[inside]]
-                n = np.bincount(doc, minlength=len(batch))
-                for size in range(1, k):  # shorter texts are one shingle
-                    few = np.flatnonzero(n == size)
-                    if len(few):
-                        grams.append(tx.grams(word, size)[np.searchsorted(doc, few)])
-                        owner.append(few)
-                g, o = np.concatenate(grams), np.concatenate(owner)
-                order = np.argsort(o, kind="stable")
-                first = np.searchsorted(o[order], texts)
-                more = np.stack([bit_majority(tx.mix(g[order] + np.uint64(i)), first) for i in (1, 2)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(prints.view(np.int64)), pa.array([x.tobytes() for x in more], pa.binary())], ["d", "h", "print", "more"])
+                _, _, g, first = shingle_sets(batch.column("text"), k)
+                node = set_names(g, first)
+                new = np.zeros(len(node), bool)
+                for i, x in enumerate(node.tolist()):
+                    new[i] = x not in seen
+                    seen.add(x)
+                take = np.repeat(new, np.diff(first))
+                owner = np.repeat(node, np.diff(first))[take]
+                g = (g[take] >> np.uint64(16)).view(np.int64)
+                for at in range(0, len(g), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(owner[at : at + (1 << 16)]), pa.array(g[at : at + (1 << 16)])], ["node", "g"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by `name`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.asarray(batch.column(name))
+        cut = int(np.searchsorted(key, key[-1]))
+        if held and (cut or held[-1].column(name)[0].as_py() != key[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of more than one set and in how many they are, from rows sorted by shingle and set."""
+    for table in _runs(batches, "g"):
+        g, node = table.column("g").to_numpy(), table.column("node").to_numpy()
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (node[1:] != node[:-1])])
+        g, node = g[new], node[new]
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff(np.append(begin, len(g)))
+        df = np.repeat(size, size)
+        g, node, df = g[df > 1], node[df > 1], df[df > 1]
+        for at in range(0, len(g), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (node, g, df)], ["node", "g", "df"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared shingles of each set that may have a partner, rarest first, and how many of them are keys.
+
+    From rows sorted by set and df; the first row of a set holds its size n as df = -n.
+    A partner has at least four fifths of the set, so it has one of the rarest n - ceil(4n/5) + 1.
+    Shingles of no other set are the rarest and need no key.
+    """
+    for table in _runs(batches, "node"):
+        node, g, df = (table.column(x).to_numpy() for x in ("node", "g", "df"))
+        begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        end = np.append(begin[1:], len(node))
+        n = -df[begin]
+        keys = n - (4 * n + 4) // 5 + 1 - (n - (end - begin - 1))
+        some = np.flatnonzero((keys > 0) & (end - begin > 1))
+        for at in range(0, len(some), 1000):
+            x = some[at : at + 1000]
+            rest = [g[begin[i] + 1 : end[i]].tobytes() for i in x]
+            yield pa.RecordBatch.from_arrays([pa.array(node[begin[x]]), pa.array(n[x]), pa.array(keys[x]), pa.array(rest, pa.binary())], ["node", "n", "keys", "rest"])
+
+
+def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a key: the shingle, its set, the set's root and size, and how much of the set follows from there."""
+    for whole in batches:
+        for at in range(0, len(whole), 500):
+            batch = whole.slice(at, 500)
+            node, root, n, keys = (np.asarray(batch.column(x)) for x in ("node", "root", "n", "keys"))
+            sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("rest")]
+            if not sets:
+                continue
+            keys = np.minimum(keys, [len(x) for x in sets])
+            key = np.concatenate([x[:c] for x, c in zip(sets, keys, strict=True)])
+            left = np.concatenate([len(x) - np.arange(c) for x, c in zip(sets, keys, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, keys)) for x in (node, root, n)), pa.array(left)], ["key", "node", "root", "n", "left"])
+
+
+def _key_pairs(star: bool):
+    """Pairs of sets with a common key, from rows sorted by key and node: with the key's first set only, or all that are not linked yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "key"):
+            key, node, root, n, left = (table.column(x).to_numpy() for x in ("key", "node", "root", "n", "left"))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(begin, len(key)))
+            done: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def admit(i: np.ndarray, j: np.ndarray) -> None:
+                # what may still be common from this key on has to be enough, else an earlier key decides
+                ok = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j]))
+                done.append((i[ok], j[ok]))
+
+            if star:
+                i = np.arange(len(key))
+                admit(i, np.repeat(begin, size))
+            else:
+                for g in np.unique(size[size > 1]):
+                    every = begin[size == g]
+                    if g <= FEW:
+                        a, b = np.triu_indices(g, 1)
+                        step = max(1, (1 << 20) // len(a))
+                        for at in (every[x : x + step] for x in range(0, len(every), step)):
+                            admit((at[:, None] + b).ravel(), (at[:, None] + a).ravel())
+                        continue
+                    for at in every:
+                        own = np.arange(at, at + g)
+                        if (root[own] == root[at]).all():
+                            continue
+                        for lo in range(0, g, BLOCK):
+                            for hi in range(0, lo + 1, BLOCK):
+                                i, j = (x.ravel() for x in np.meshgrid(own[lo : lo + BLOCK], own[hi : hi + BLOCK], indexing="ij"))
+                                admit(i[i > j], j[i > j])
+                        yield from _batches(node, done)
+                        done.clear()
+            yield from _batches(node, done)
 
     return run
 
 
+def _batches(node: np.ndarray, done: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if not done:
+        return
+    a, b = (node[np.concatenate(x)] for x in zip(*done, strict=True))
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = (np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)) & (a != b)
+    a, b = a[new], b[new]
+    for at in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], ["a", "b"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with Jaccard similarity of at least four fifths."""
+    for batch in batches:
+        n = np.asarray(batch.column("n")) + np.asarray(batch.column("m"))
+        both = (np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True).size for x, y in zip(batch.column("x"), batch.column("y"), strict=True))
+        ok = 9 * np.fromiter(both, np.int64, len(batch)) >= 4 * n
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets are similar."""
+    one = sets.select(F.col("node").alias("a"), "n", F.col("rest").alias("x")).hint("merge")
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("rest").alias("y")).hint("merge")
+    return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_similar, "a long, b long")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 7, apart: int = 26) -> DataFrame:
     """docs, with all their columns, less all but one row of each group of near copies.
 
-    For texts of Jaccard similarity 0.8 and more on k-word shingles. One fingerprint
-    cannot tell so much apart: candidates are texts whose fingerprints of distinct
-    words (an edit changes one word, but k shingles) differ in at most `radius` bits,
-    by the pigeonring; they link if 128 bits of shingle fingerprints differ in at
-    most `apart` (about similarity 0.73; 0.8 lies 1.6 deviations below). The row with
-    the least id stays; of equal rows one stays. Null texts count as empty.
+    Texts link if the Jaccard similarity of their sets of k-word shingles is at least
+    0.8, computed from the sets. Shingles of more than one set are counted; a set
+    nearly all of whose rare shingles are in no other can have no partner. For the
+    others candidates come first from the pigeonring over fingerprints of distinct
+    words (at most `radius` bits apart, 128 bits of shingle fingerprints at most
+    `apart`) and from the first set of each key of the prefix filter, which link
+    most of a group; then every pair with a common key that is not linked yet is
+    compared, so no link between groups is missed. The row with the least id stays;
+    of equal rows one stays. Null texts count as empty.
     """
     cc.prepare(docs)
     n = parts(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text)})
-    prints = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), text.alias("text")).mapInArrow(_twofold(k), "d long, h long, print long, more binary").distinct()
-    prints = prints.withColumn("node", F.xxhash64("print", "more")).checkpoint()
-    classes = prints.select("node", "print", "more").distinct()
-    links = near(classes.withColumn("block", F.lit(0).cast("long")), radius, apart)
+    prints = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), text.alias("text")).mapInArrow(_twofold(k), "d long, h long, print long, more binary, node long, n long").distinct().checkpoint()
+
+    grams = docs.select(text.alias("text")).mapInArrow(_grams(k), "node long, g long")
+    shared = grams.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(_shared, "node long, g long, df long")
+    sizes = prints.select("node", F.lit(0).cast("long").alias("g"), (-F.col("n")).alias("df")).distinct()
+    sets = shared.unionByName(sizes).repartition(n, "node").sortWithinPartitions("node", "df", "g").mapInArrow(_prefixes, "node long, n long, keys long, rest binary").checkpoint()
+
+    def pairs(rooted: DataFrame, star: bool) -> DataFrame:
+        keys = rooted.mapInArrow(_prefix_keys, "key long, node long, root long, n long, left long")
+        return keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_key_pairs(star), "a long, b long")
+
+    classes = prints.join(sets.select("node"), "node", "left_semi").select("node", "print", "more").distinct().withColumn("block", F.lit(0).cast("long"))
+    ring = candidates(classes, radius, apart).groupBy("a").agg(F.min("b").alias("b"))
+    first = _checked(ring.unionByName(pairs(sets.withColumn("root", F.col("node")), True)), sets).checkpoint()
+    roots = cc.components(first)
+    rest = _checked(pairs(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False), sets)
+    links = cc.components(first.unionByName(rest))
     rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.h").alias("_h"))
     left = keyed.repartition(n, "_d", "_h").join(kept.hint("merge"), ["_d", "_h"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d"))
-    return left.withColumn("_row", first).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    first_row = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d"))
+    return left.withColumn("_row", first_row).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

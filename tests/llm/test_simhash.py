@@ -65,3 +65,37 @@ def test_keep_one(spark):
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in left.collect()) == [*range(25), 300]
     assert sd.keep_one(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_one_acts_at_the_exact_similarity(spark, seed):
+    """Edits, appended and cut texts round 0.8, unrelated texts with a common line, short texts and repeated words."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(4000)]
+    texts = ["one two", "one two", "one two three", "a b c d e f", "a b c d e f g", "run " * 40, "run " * 41, "", " "]
+    line = " ".join(rng.choice(words, 24))
+    texts += [f"{line} {' '.join(rng.choice(words, 60))}" for _ in range(60)]
+    wanted = []
+    for goal in (0.6, 0.7, 0.79, 0.8, 0.85) * 6:
+        base = list(rng.choice(words, 300))
+        for kind in ("edits", "append", "cut"):
+            w, order = list(base), rng.permutation(np.arange(5, 295))
+            for i in order:
+                if kind == "edits":
+                    v = list(w)
+                    v[i] = "edited"
+                else:
+                    v = [*w, str(rng.choice(words))] if kind == "append" else w[:-1]
+                if jaccard(" ".join(base), " ".join(v)) < goal:
+                    break
+                w = v
+            if kind != "edits" and goal in (0.7, 0.79):
+                w = v  # just below
+            texts += [" ".join(w)]
+            wanted.append(jaccard(" ".join(base), " ".join(w)))
+        texts.append(" ".join(base))
+    assert sum(x >= 0.8 for x in wanted) >= 30 and sum(0.65 < x < 0.8 for x in wanted) >= 20
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    root = roots(list(range(len(texts))), lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    left = sd.keep_one(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
