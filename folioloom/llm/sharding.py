@@ -2,10 +2,11 @@
 
 Documents are linked if their texts are equal. They are first dealt evenly by a
 hash; then, round by round, linked documents move to the shard that holds most of
-their group. Moves are admitted under quotas: a shard takes in as many as it has
-unlinked documents to give away, and those fill the places left elsewhere, so the
-row counts of any two shards never differ by more than one. A group larger than a
-shard is gathered in as few shards as it needs.
+their group. Moves are admitted under quotas for each pair of shards: a shard takes
+in as many as it sends out, and beyond that as many as it has unlinked documents to
+give away, which fill the places left elsewhere, so the row counts of any two shards
+never differ by more than one. A group larger than a shard is gathered in as few
+shards as it needs.
 """
 
 from __future__ import annotations
@@ -39,12 +40,46 @@ def _cumulated(df: DataFrame, value: str, low: str, high: str) -> DataFrame:
     return df.withColumn(high, up_to).withColumn(low, up_to - F.col(value))
 
 
-def propagate(rows: DataFrame, shards: int, total: int) -> DataFrame:
-    """One round. rows: rid, g1, g2 (group), members, shard."""
+def quotas(wish: dict[tuple[int, int], int], free: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of the wished moves (from, to) go ahead, so that no shard gains more than it has free.
+
+    Moves are given up along shortest ways from a shard that may gain to one that gains too much.
+    """
+    flow = {e: n for e, n in wish.items() if n and e[0] != e[1]}
+    spare = {s: free.get(s, 0) for e in flow for s in e}
+    for (a, b), n in flow.items():
+        spare[a] += n
+        spare[b] -= n
+    for over in sorted(s for s in spare if spare[s] < 0):
+        while spare[over] < 0:
+            after, queue = {over: over}, [over]
+            for at in queue:
+                if spare[at] > 0:
+                    break
+                for a in sorted((a for a, b in flow if b == at and a not in after), key=lambda x: -spare[x]):
+                    after[a] = at
+                    queue.append(a)
+            way = []
+            start = at
+            while at != over:
+                way.append((at, after[at]))
+                at = after[at]
+            n = min(-spare[over], spare[start], *(flow[e] for e in way))
+            for e in way:
+                flow[e] -= n
+                if not flow[e]:
+                    del flow[e]
+            spare[over] += n
+            spare[start] -= n
+    return flow
+
+
+def propagate(rows: DataFrame, shards: int, total: int, turn: int = 0) -> DataFrame:
+    """Round `turn`. rows: rid, g1, g2 (group), members, shard. Where several shards hold most of a group, each round draws anew."""
     room = max(1, total // shards)
     linked = rows.where("members > 1")
     held = linked.groupBy("g1", "g2", "members", "shard").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("g1", "g2").orderBy(F.desc("n"), F.xxhash64("g1", "shard"), "shard")
+    best = Window.partitionBy("g1", "g2").orderBy(F.desc("n"), F.xxhash64("g1", "shard", F.lit(turn)), "shard")
     wanted = held.withColumn("place", F.row_number().over(best) - 1).withColumn("needed", F.least(F.lit(shards), F.ceil(F.col("members") / room))).where("place < needed").select("g1", "g2", "place", F.col("shard").alias("to"))
     # who stands in none of the group's chosen shards moves to one of them
     home = held.join(wanted.select("g1", "g2", F.col("to").alias("shard")), ["g1", "g2", "shard"], "left_anti").select("g1", "g2", "shard")
@@ -52,9 +87,11 @@ def propagate(rows: DataFrame, shards: int, total: int) -> DataFrame:
     movers = linked.join(home, ["g1", "g2", "shard"]).join(chosen, ["g1", "g2"])
     movers = movers.select("rid", "shard", "members", "g1", F.col("tos")[F.pmod(F.xxhash64("rid"), F.size("tos")).cast("int")]["to"].alias("to"))
     salt = F.when(F.col("members") > 1000, _spread("rid")).otherwise(F.pmod(F.col("g1"), F.lit(SALTS)))
-    movers = numbered(movers, ["to"], salt, ["g1", "rid"], "turn")
-    singles = rows.where("members = 1").groupBy("shard").agg(F.count("*").alias("free"))
-    admitted = movers.join(F.broadcast(singles.select(F.col("shard").alias("to"), "free")), "to").where("turn < free").select("rid", "shard", "to").checkpoint()
+    movers = numbered(movers, ["shard", "to"], salt, ["g1", "rid"], "turn").checkpoint()
+    wish = {(r["shard"], r["to"]): r["count"] for r in movers.groupBy("shard", "to").count().collect()}
+    free = {r["shard"]: r["count"] for r in rows.where("members = 1").groupBy("shard").count().collect()}
+    quota = rows.sparkSession.createDataFrame([(*e, n) for e, n in quotas(wish, free).items()], "shard int, to int, quota long")
+    admitted = movers.join(F.broadcast(quota), ["shard", "to"]).where("turn < quota").select("rid", "shard", "to").checkpoint()
 
     flow = admitted.select(F.col("to").alias("shard"), F.lit(1).alias("x")).unionByName(admitted.select("shard", F.lit(-1).alias("x"))).groupBy("shard").agg(F.sum("x").alias("net"))
     gone = _cumulated(flow.where("net > 0"), "net", "low", "high").select("shard", "net", "low")
@@ -71,7 +108,7 @@ def label_propagation_shards(docs: DataFrame, id_col: str = "doc_id", text_col:
     Row counts of shards differ by at most one. Null texts count as empty; texts that
     are empty are equal, so they are linked; null ids stay null; repeated rows are
     rows of their own; an empty table gives no row. Other columns are ignored. Tables
-    that are broadcast have at most one row a shard.
+    that are broadcast or collected have at most one row a pair of shards.
     """
     cc.prepare(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -83,8 +120,8 @@ def label_propagation_shards(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = numbered(rows.withColumn("all", F.lit(0)), ["all"], _spread("rid"), ["rid"], "turn")
     rows = rows.withColumn("shard", (F.col("turn") % shards).cast("int")).drop("all", "turn").checkpoint()
     outside = None
-    for _ in range(rounds):
-        rows = propagate(rows, shards, total)
+    for turn in range(rounds):
+        rows = propagate(rows, shards, total, turn)
         # linked documents outside their group's largest shard
         held = rows.where("members > 1").groupBy("g1", "g2", "shard").agg(F.count("*").alias("n")).groupBy("g1", "g2").agg((F.sum("n") - F.max("n")).alias("n"))
         now = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

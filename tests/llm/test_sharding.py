@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -35,3 +36,28 @@ def test_copies_come_together_and_a_hot_group_is_split(spark):
 
 def test_empty(spark):
     assert sharding.label_propagation_shards(frame(spark, [])).count() == 0
+
+
+def test_linked_rows_trade_places_where_every_text_has_a_copy(spark):
+    rows = [(2 * g + i, f"pair {g}", "", "", 0) for g in range(300) for i in range(2)]
+    got = sharding.label_propagation_shards(frame(spark, rows), shards=10).collect()
+    checked(rows, got, 10)
+    by = {r.doc_id: r.shard for r in got}
+    assert sum(by[2 * g] == by[2 * g + 1] for g in range(300)) >= 280
+
+
+def test_quotas():
+    rng = random.Random(1)
+    for _ in range(50):
+        n = rng.randint(2, 12)
+        wish = {(a, b): rng.randint(0, 9) for a in range(n) for b in range(n) if a != b}
+        free = {a: rng.randint(0, 6) for a in range(n) if rng.random() < 0.5}
+        got = sharding.quotas(wish, free)
+        gain = Counter()
+        for (a, b), x in got.items():
+            assert 0 < x <= wish[a, b]
+            gain[a] -= x
+            gain[b] += x
+        assert all(gain[a] <= free.get(a, 0) for a in range(n))
+    assert sharding.quotas({(0, 1): 5, (1, 2): 5, (2, 0): 5}, {}) == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+    assert sharding.quotas({(0, 1): 5}, {1: 3}) == {(0, 1): 3}
