@@ -69,6 +69,23 @@ def pieces(batch: pa.RecordBatch, name: str = "text", step: int = STEP) -> Itera
         at = end
 
 
+def distinct(data: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Byte strings that stand one after another in `data`, told apart by their bytes: the distinct ones, where each first stands, and each one's number."""
+    off = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=off[1:])
+    every = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = every.dictionary_encode()
+    number = np.asarray(coded.indices).astype(np.int64)
+    first = np.full(len(coded.dictionary), len(size), np.int64)
+    np.minimum.at(first, number, np.arange(len(size)))
+    return coded.dictionary, first, number
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """`distinct` of the words that `words` found."""
+    return distinct(data[~_SPACE[data]], end - start)
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z only."""
     return _LOWER[data]

@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public BPE tokenizer that drops white space.
 
 Such a tokenizer never joins text across a space, so a text's ids are those of
-its words put together. Each block's distinct words are looked up in a memory
-that lives as long as the Python worker; only new words are encoded.
+its words put together. Each block's distinct words are looked up, by their bytes,
+in a memory that lives as long as the Python worker; only new words are encoded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import pyarrow as pa
 
 from . import _text as tx
 
-REMEMBERED = 400_000
+REMEMBERED = 400_000  # words
+REMEMBERED_BYTES = 32 << 20
 _MEMORY: dict[str, Memory] = {}
 
 
@@ -27,21 +28,24 @@ class Memory:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.bytes = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def places(self, keys: np.ndarray, words) -> np.ndarray:
-        """Where each distinct word stands; `words(i)` are the texts of those asked for."""
-        if len(self.place) + len(keys) > REMEMBERED:
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Where each of some distinct words stands."""
+        more = sum(map(len, words))
+        if len(self.place) + len(words) > REMEMBERED or self.bytes + more > REMEMBERED_BYTES:
             self.clear()
         place = self.place
-        at = np.array([place.get(x, -1) for x in keys.tolist()], np.int64)
+        at = np.array([place.get(x, -1) for x in words], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(words(new), add_special_tokens=False)]
+            fresh = [words[i] for i in new.tolist()]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in fresh], add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
             n = len(place)
@@ -54,7 +58,8 @@ class Memory:
             self.size[n : n + len(new)] = size
             self.used += len(flat)
             at[new] = n + np.arange(len(new))
-            place.update(zip(keys[new].tolist(), at[new].tolist(), strict=True))
+            self.bytes += sum(map(len, fresh))
+            place.update(zip(fresh, at[new].tolist(), strict=True))
         return at
 
 
@@ -65,9 +70,8 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     memory = _MEMORY[path]
     data, off = tx.buffers(column)
     start, end, doc = tx.words(data, off)
-    keys, first, back = np.unique(tx.ranges(tx.prefix(data), start, end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    at = memory.places(keys, lambda new: [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])[back]
+    words, _, back = tx.distinct_words(data, start, end)
+    at = memory.places(words.to_pylist())[back]
     size = memory.size[at]
     total = np.concatenate([[0], np.cumsum(size)])
     ids = memory.ids[np.repeat(memory.begin[at] - total[:-1], size) + np.arange(total[-1])]

@@ -25,6 +25,7 @@ from . import _repeats as rp
 from . import _text as tx
 
 SHARD_STATES = 200_000
+HOT = 1024  # fragments that one seed may bring to one task
 
 
 class Automaton:
@@ -151,7 +152,7 @@ def _kept(length: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """Removes each word covered by a window of `length` words that also starts earlier.
 
     Earlier means in a document with a smaller id, or before in the same one. Of
@@ -161,7 +162,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and empty texts have no words; a null id comes before all others and stays null.
     Other columns are ignored, so their names cannot clash.
     """
-    rows = rp.covered(docs, id_col, text_col, "words", length, k, Shards)
+    rows = rp.covered(docs, id_col, text_col, "words", length, k, Shards, False, hot)
     return rows.select("d", "text", "copy", "spans").mapInArrow(_kept(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
@@ -176,12 +177,12 @@ def _emptied(length: int):
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, k: int = 5, hot: int = HOT) -> DataFrame:
     """docs with each text reduced to the words that `substring_dedup` keeps (one space between them), n_chars following if there is one.
 
     Every row stays, even one left without words.
     """
-    rows = rp.covered(docs, id_col, text_col, "words", length, k, Shards, carry=True)
+    rows = rp.covered(docs, id_col, text_col, "words", length, k, Shards, False, hot, carry=True)
     kind = docs.drop(text_col).schema.simpleString()
     left = rows.select("d", "text", "copy", "spans", "other").mapInArrow(_emptied(length), f"other {kind}, kept string")
     value = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from . import _repeats as rp
 from . import _text as tx
 
-BATCH = 1 << 20
+BATCH = 1 << 17
+HOT = 4096  # fragments that one seed may bring to one task
 
 
 def prefix_classes(text: np.ndarray, length: int) -> np.ndarray:
@@ -221,7 +222,7 @@ def _kept(length: int, with_text: bool):
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = 32, with_text: bool = True) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = 32, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a `length`-byte string that also starts elsewhere.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes
@@ -230,7 +231,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies of each other, so texts of `length` bytes or more with a copy go whole.
     Other columns are ignored, so their names cannot clash.
     """
-    rows = rp.covered(docs, id_col, text_col, "bytes", length, k, Family)
+    rows = rp.covered(docs, id_col, text_col, "bytes", length, k, Family, True, hot)
     return rows.select("d", "text", "copies", "spans").mapInArrow(_kept(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
