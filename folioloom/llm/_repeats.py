@@ -54,11 +54,12 @@ class Tokens:
         self.size = int(self.first[-1])
 
     def hashes(self, k: int) -> np.ndarray:
-        sums = tx.prefix(self.data)
+        """Of every run of k tokens; equal runs have equal hashes, and it is no matter if others have too."""
+        sums = tx.rough_prefix(self.data)
         if self.unit == "words":
-            return tx.grams(tx.ranges(sums, self.start, self.end), k)
+            return tx.grams(tx.rough(sums, self.start, self.end), k)
         at = np.arange(max(0, self.size - k + 1))
-        return tx.ranges(sums, at, at + k)
+        return tx.rough(sums, at, at + k)
 
     def span(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte bounds of the tokens lo..hi-1."""

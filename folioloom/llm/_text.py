@@ -16,20 +16,31 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0x9E3779B97F4A7C15  # any odd number serves
-_POWERS: dict[int, np.ndarray] = {}
+_PRIME = (1 << 31) - 1
+_BASES = (0x2F0B4C47, 0x5A3D91E3)  # any numbers below the prime serve
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 STEP = 1 << 20
 
 
-def powers(n: int, base: int = _P) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _POWERS.get(base)
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for any x below 2**64."""
+    prime, bits = np.uint64(_PRIME), np.uint64(31)
+    x = (x & prime) + (x >> bits)
+    x = (x & prime) + (x >> bits)
+    return np.where(x >= prime, x - prime, x)
+
+
+def powers(n: int, base: int, prime: bool = False) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, or modulo 2**31 - 1."""
+    have = _POWERS.get((base, prime))
     if have is None or len(have) < n:
         # rounded up, so that blocks of nearly one size share a table
-        have = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
+        have = np.ones(1, np.uint64)
+        while len(have) < max(1 << 16, n):
+            step = np.uint64(pow(base, len(have), _PRIME if prime else 1 << 64))
+            have = np.concatenate([have, _folded(have * step) if prime else have * step])
         if n <= 4 * STEP:
-            _POWERS[base] = have
+            _POWERS[base, prime] = have
     return have[:n]
 
 
@@ -108,19 +119,38 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, doc
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which `ranges` has the hash of any byte range."""
+_INVERSE = pow(_P, -1, 1 << 64)
+_INVERSES = tuple(pow(x, -1, _PRIME) for x in _BASES)
+
+
+def rough_prefix(data: np.ndarray) -> np.ndarray:
+    """Prefix sums for `rough`."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), _P), out=out[1:])
     return out
 
 
-_INVERSE = pow(_P, -1, 1 << 64)
+def rough(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cheap hashes of byte ranges for choosing candidates only: equal for equal bytes, but some unequal strings always agree."""
+    return mix((sums[end] - sums[start]) * powers(len(sums), _INVERSE)[start] + (end - start).astype(np.uint64))
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal bytes wherever they stand."""
-    return mix((sums[end] - sums[start]) * powers(len(sums), _INVERSE)[start] + (end - start).astype(np.uint64))
+def prefix(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Prefix sums from which `ranges` has the hash of any byte range."""
+    wide, out = data.astype(np.uint64) + np.uint64(1), []
+    for base in _BASES:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_folded(wide * powers(len(data), base, True)), out=sums[1:])
+        out.append(sums)
+    return tuple(out)
+
+
+def ranges(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, equal for equal bytes wherever they stand: polynomials of two bases modulo a prime, with the length."""
+    out = (end - start).astype(np.uint64)
+    for own, inverse in zip(sums, _INVERSES, strict=True):
+        out = out * np.uint64(_P) ^ _folded(_folded(own[end] - own[start]) * powers(len(own), inverse, True)[start]) << np.uint64(16)
+    return mix(out)
 
 
 def grams(values: np.ndarray, k: int) -> np.ndarray:

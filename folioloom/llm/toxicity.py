@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _components as cc
 from . import _text as tx
 
 SAMPLE = 10_000  # labelled training texts of each class, at most
-TOKENS = 20_000  # tokens with own scores, at most
 Z = 3.0
 DRIFT = -0.1
 TOP = 6.0
@@ -83,31 +83,33 @@ class Model:
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, end, score) in one scan; runs of negative tokens count as one step."""
+    """All maximal-scoring segments (first, end, score) in one linear scan; runs of negative tokens count as one step.
+
+    Each candidate keeps which earlier one is the last to begin at a lower sum, so
+    the search for that one jumps over candidates that were passed before.
+    """
     up = score > 0
     if not up.any():
         return []
     edge = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
     total = np.add.reduceat(score, edge)
     ends = np.append(edge[1:], len(score))
-    out: list[list] = []  # first, end, sum before, sum behind
+    out: list[tuple[int, int, float, float, int]] = []  # first, end, sum before, sum behind, candidate that begins lower
     run = 0.0
     for first, end, add, rising in zip(edge.tolist(), ends.tolist(), total.tolist(), up[edge].tolist(), strict=True):
         if not rising:
             run += add
             continue
-        new = [first, end, run, run + add]
-        run += add
-        while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+        left, run = run, run + add
+        j = len(out) - 1
+        while j >= 0 and out[j][2] >= left:
+            j = out[j][4]
+        while j >= 0 and out[j][3] < run:  # joined to that one, and to whatever this one then joins
+            first, _, left, _, before = out[j]
             del out[j:]
-        out.append(new)
-    return [(a, b, right - left) for a, b, left, right in out]
+            j = before
+        out.append((first, end, left, run, j))
+    return [(a, b, right - left) for a, b, left, right, _ in out]
 
 
 def scan(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
@@ -164,15 +166,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from rows whose fold is not 1.
 
     Of each class the `sample` labelled ids with the least hash are taken: a bounded
-    set, so it can be broadcast and texts are not shuffled.
+    set, so it can be broadcast and only its texts are shuffled; of rows with one id
+    the text with the least hash counts.
     """
+    cc.prepare(docs)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id") != 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = None
     for value in (0, 1):
         own = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = own if picked is None else picked.unionByName(own)
-    texts = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic").checkpoint()
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     model = Model()
     if len(size) < 2:
@@ -186,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rated = counts.withColumn("d", odds("t", size[1]) - odds("o", size[0])).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("t") + a(size[1])) + 1 / (F.col("o") + a(size[0]))))
     # ordinary text has the token with this probability; needed for lambda
     rated = rated.withColumn("p", (F.col("uses") + 0.5) / (total + 1))
-    rows = rated.where((F.abs("z") >= Z) & (F.abs("d") >= ODDS)).orderBy(F.desc(F.abs("z")), "key").limit(TOKENS).select("key", "d", "p").collect()
+    rows = rated.where((F.abs("z") >= Z) & (F.abs("d") >= ODDS)).select("key", "d", "p").collect()  # tokens of the bounded sample
     keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
     model.keys = keys[order]

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -36,6 +37,14 @@ def test_scan_finds_all_maximal_segments():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
 
 
+def test_scan_is_linear():
+    """A million alternating tokens, every candidate staying or every one joining, take about as long a token as few do."""
+    for score in (np.tile([1.0, -2.0], 500_000), np.tile([2.0, -1.0], 500_000), np.tile([3.0, -3.0], 500_000) - np.repeat(np.linspace(0, 1, 500_000), 2)):
+        began = time.process_time()
+        tx.segments(score)
+        assert time.process_time() - began < 5
+
+
 def corpus():
     rng = random.Random(4)
     rows, labels = [], []
