@@ -5,13 +5,16 @@ text) and what follows up to the next mark. No piece of such a vocabulary has a
 mark behind another character, so units are encoded each for itself and a block's
 distinct units once.
 
-Two encoders share the same parts (equal-length words as rows of a matrix, pieces
-found by probing sorted keys, vectorised maxima):
-- `viterbi` for unigram models: substring hashes probe the sorted piece keys and
-  the best score of each prefix is kept with a backpointer.
-- `merges` for BPE models. Their ids are not the best-scoring segmentation, so
-  Viterbi can't give them: for these the rows repeat "merge the best-scoring
-  neighbour pair, leftmost first" in step, as the library does one by one.
+Units of one length advance together, one end after another: every substring's
+hash probes the sorted piece keys, and of the pieces that end here the best
+admissible one is kept with a backpointer to where it begins.
+- For unigram models all pieces are admissible and the best sum of scores counts.
+- The ids of a BPE model are not its best-scoring segmentation, but what is left
+  when neighbours are merged best first. A segmentation is that one if each piece
+  is what its own characters merge to and no merge crosses the border of any two
+  neighbours while the two are merged alone. So a piece is admissible behind the
+  last piece of the prefix before it if that border holds, which leaves one piece
+  for each prefix. Borders are tried out once and remembered.
 The kind is read from the model; the public 32,000-piece model is BPE.
 """
 
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from . import _text as tx
 
 MARK = "▁"
-REMEMBERED = 400_000
+REMEMBERED = 400_000  # units
+REMEMBERED_CHARS = 8 << 20
+BORDERS = 2_000_000
+CELLS = 1 << 17
 _CODECS: dict[str, Codec] = {}
 
 
@@ -48,16 +54,18 @@ class Codec:
         keys = np.array([value(pieces[i]) for i in plain], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(plain, np.int64)[order]
-        joins = [(self.by_text[p[:k]] * len(pieces) + self.by_text[p[k:]], i) for p, i in self.by_text.items() for k in range(1, len(p)) if p[:k] in self.by_text and p[k:] in self.by_text]
-        # a character outside the vocabulary is a symbol too; it merges with nothing
-        joins.sort()
-        self.pair_keys = np.array([x for x, _ in joins], np.int64)
-        self.pair_ids = np.array([i for _, i in joins], np.int64)
-        self.single = {ord(p): i for p, i in self.by_text.items() if len(p) == 1}
         self.out = [b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         for b, i in byte_ids.items():
             self.out[i] = bytes([b])
+        self.borders: dict[int, bool] = {}
+        if bpe:
+            keep = np.array([self.merged(pieces[i])[0] == [pieces[i]] for i in self.ids], bool)
+            self.keys, self.ids = self.keys[keep], self.ids[keep]
+        self.remember()
+
+    def remember(self) -> None:
         self.memory: dict[str, np.ndarray] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -91,76 +99,92 @@ class Codec:
         for i, u in enumerate(units):
             by_length.setdefault(len(u), []).append(i)
         for size, which in by_length.items():
-            step = max(1, (1 << 20) // max(1, size))
+            step = max(1, CELLS // max(1, size))
             for at in range(0, len(which), step):
                 part = which[at : at + step]
                 points = np.frombuffer("".join(units[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
-                for i, ids in zip(part, self.merges(points) if self.bpe else self.viterbi(points), strict=True):
+                for i, ids in zip(part, self.viterbi(points), strict=True):
                     out[i] = ids
         return out
 
+    def merged(self, text: str, border: int = -1) -> tuple[list[str], bool]:
+        """What neighbours merge to, best score first and leftmost of equals; and whether a merge went over `border`, at which this stops."""
+        parts, scores, ids = list(text), self.scores, self.by_text
+        while True:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                joined = ids.get(parts[i] + parts[i + 1])
+                if joined is not None and scores[joined] > best:
+                    best, at = scores[joined], i
+            if at < 0:
+                return parts, False
+            if border >= 0 and sum(map(len, parts[: at + 1])) == border:
+                return parts, True
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def holds(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the border between two neighbours holds; it does at the start (-1) and at characters outside the vocabulary (less)."""
+        if not self.bpe:
+            return np.ones(len(piece), bool)
+        out = (before < 0) | (piece < 0)
+        some = np.flatnonzero(~out)
+        keys = (before[some] * len(self.pieces) + piece[some]).tolist()
+        borders = self.borders
+        if len(borders) > BORDERS:
+            borders.clear()
+        for key in set(keys).difference(borders):
+            left, right = self.pieces[key // len(self.pieces)], self.pieces[key % len(self.pieces)]
+            borders[key] = not self.merged(left + right, len(left))[1]
+        out[some] = [borders[x] for x in keys]
+        return out
+
     def _spell(self, point: int) -> list[int]:
         raw = chr(point).encode("utf-8", "replace")
         return [self.unknown] if self.unknown in self.bytes[list(raw)] else self.bytes[list(raw)].tolist()
 
-    def merges(self, points: np.ndarray) -> list[np.ndarray]:
+    def _found(self, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, start and id of all pieces in the rows, by end; a character of no piece is -2 - its code point."""
         n, size = points.shape
-        known, back = np.unique(points, return_inverse=True)
-        first = np.array([self.single.get(int(p), -1 - int(p)) for p in known], np.int64)
-        symbols = first[back].reshape(n, size)
-        count = np.full(n, size)
-        live = np.arange(n)
-        width = len(self.pieces)
-        while len(live) and len(self.pair_keys):
-            s = symbols[live]
-            left, right = s[:, :-1], s[:, 1:]
-            inside = (np.arange(s.shape[1] - 1) < count[live, None] - 1) & (left >= 0) & (right >= 0)
-            keys = np.where(inside, left * width + right, -1)
-            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            hit = inside & (self.pair_keys[at] == keys)
-            score = np.where(hit, self.scores[self.pair_ids[at]], -np.inf)
-            if not score.shape[1]:
-                break
-            best = score.argmax(axis=1)  # the leftmost of equals
-            some = np.take_along_axis(score, best[:, None], axis=1)[:, 0] > -np.inf
-            live, s, best, at = live[some], s[some], best[some], at[some]
-            if not len(live):
-                break
-            s[np.arange(len(live)), best] = self.pair_ids[at[np.arange(len(live)), best]]
-            place = np.arange(s.shape[1])
-            source = np.minimum(np.where(place > best[:, None], place + 1, place), s.shape[1] - 1)
-            symbols[live] = np.take_along_axis(s, source, axis=1)
-            count[live] -= 1
-        return [self._ids(symbols[i, : count[i]]) for i in range(n)]
-
-    def _ids(self, symbols: np.ndarray) -> np.ndarray:
-        if (symbols >= 0).all():
-            return symbols.copy()
-        return np.array([x for s in symbols.tolist() for x in ([s] if s >= 0 else self._spell(-1 - s))], np.int64)
+        whole, step = [], np.uint64(0x9E3779B97F4A7C15)
+        key = np.zeros((n, size), np.uint64)
+        for length in range(1, min(self.longest, size) + 1):
+            key = key[:, : size - length + 1] * step + points[:, length - 1 :] + np.uint64(1)  # of the substrings that begin at each place
+            ids = self.probe(tx.mix(key))
+            if length == 1:
+                ids = np.where(ids < 0, -2 - points.astype(np.int64), ids)
+            row, start = np.nonzero(ids != -1)
+            whole.append((row, start, ids[row, start], start + length))
+        row, start, ids, end = (np.concatenate(x) for x in zip(*whole, strict=True))
+        order = np.argsort(end, kind="stable")
+        cut = np.searchsorted(end[order], np.arange(size + 2))
+        row, start, ids = row[order], start[order], ids[order]
+        return [(row[a:b], start[a:b], ids[a:b]) for a, b in zip(cut[1:-1], cut[2:], strict=True)]
 
     def viterbi(self, points: np.ndarray) -> list[np.ndarray]:
         n, size = points.shape
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, size + 1), np.int64)
-        used = np.full((n, size + 1), -1, np.int64)
+        last = np.full((n, size + 1), -1, np.int64)
         worst = self.scores[self.ids].min() - 10 if len(self.ids) else -10.0
-        for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                ids = self.probe(self.keys_of(points[:, start:end]))
-                score = np.where(ids >= 0, best[:, start] + self.scores[np.maximum(ids, 0)], best[:, start] + worst if end - start == 1 else -np.inf)
-                more = score > best[:, end]
-                best[more, end], back[more, end], used[more, end] = score[more], start, ids[more]
-        out = []
-        for i in range(n):
-            ids: list[int] = []
-            at = size
-            while at:
-                start = int(back[i, at])
-                ids = ([int(used[i, at])] if used[i, at] >= 0 else self._spell(int(points[i, start]))) + ids
-                at = start
-            out.append(np.array(ids, np.int64))
-        return out
+        for end, (row, start, ids) in enumerate(self._found(points), 1):
+            score = best[row, start] + np.where(ids >= 0, self.scores[np.maximum(ids, 0)], worst)
+            score[~self.holds(last[row, start], ids)] = -np.inf
+            np.maximum.at(best[:, end], row, score)
+            top = (score == best[row, end]) & (score > -np.inf)
+            back[row[top], end], last[row[top], end] = start[top], ids[top]
+        place, made = np.full(n, size), []
+        while place.any():
+            made.append(np.where(place > 0, last[np.arange(n), place], -1))
+            place = np.where(place > 0, back[np.arange(n), place], 0)
+        ids = np.stack(made[::-1], axis=1) if made else np.zeros((n, 0), np.int64)
+        size = (ids != -1).sum(axis=1)
+        end = np.cumsum(size)
+        flat, strange = ids[ids != -1], (ids < -1).any(axis=1)
+        return [self._spelled(flat[b - k : b]) if odd else flat[b - k : b] for k, b, odd in zip(size.tolist(), end.tolist(), strange.tolist(), strict=True)]
+
+    def _spelled(self, found: np.ndarray) -> np.ndarray:
+        return np.array([x for s in found.tolist() for x in ([s] if s >= 0 else self._spell(-2 - s))], np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units: list[list[str]] = []
@@ -177,9 +201,10 @@ class Codec:
                 own.append(MARK * marks)
             units.append(own)
         new = list({u for own in units for u in own if u not in self.memory})
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
+        if len(self.memory) + len(new) > REMEMBERED or self.held > REMEMBERED_CHARS:
+            self.remember()
             new = list({u for own in units for u in own})
+        self.held += sum(map(len, new))
         self.memory.update(zip(new, self.encode_units(new), strict=True))
         memory = self.memory
         return [np.concatenate([memory[u] for u in own]) if own else np.zeros(0, np.int64) for own in units]

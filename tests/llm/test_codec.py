@@ -1,7 +1,9 @@
 import itertools
+import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 
 from folioloom.llm import sentencepiece_codec as sc
@@ -25,6 +27,25 @@ def test_ids_and_texts_are_the_library_s(spark):
         assert by[i].round_trip == (texts[i] == (t or ""))
 
 
+def test_whole_table_and_long_unbroken_text():
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    c = sc.codec(PATH)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    rng = random.Random(6)
+    texts += ["".join(rng.choice("abcdetaoin shrdlué漢.,") for _ in range(rng.randint(1, 80))) for _ in range(2000)]
+    texts += ["a" * n for n in range(1, 100)] + [" " * n for n in range(1, 40)] + ["ab" * n for n in range(1, 40)]
+    texts.append("".join(rng.choice("abcdetaoinshrdlu") for _ in range(100_000)))
+    for text, ids in zip(texts, c.encode(texts), strict=True):
+        assert ids.tolist() == sp.encode(text)
+
+
+def test_clashing_columns(spark):
+    odd = spark.createDataFrame([(1, "one two", 5, "x"), (1, "one two", 5, "x"), (None, None, None, None)], "doc_id long, text string, ids long, n_ids string")
+    got = sc.sentencepiece_encode(odd, PATH)
+    assert got.columns == ["doc_id", "n_ids", "ids", "ids_crc32", "decoded_sha256", "round_trip"]
+    assert sorted(r.n_ids for r in got.collect())[0] == 0
+
+
 def test_viterbi_finds_the_best_segmentation():
     pieces = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca", "cab"]
     scores = [-2.0, -3.1, -3.2, -3.3, -4.0, -3.9, -7.5, -3.5, -4.1, -6.0]
