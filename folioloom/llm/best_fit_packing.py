@@ -2,8 +2,9 @@
 
 Pattern packing: patterns of few documents that fill a sequence are enumerated,
 non-negative least squares fits how often to repeat each so that together they
-use up the histogram of lengths, the counts are rounded down, and best fit packs
-what is left. Everything after the histogram works on counts of lengths, of which
+use up the histogram of lengths, the counts are rounded down, then up where lengths
+are left, and best fit packs the rest. Lengths that the fit leaves get further
+patterns among themselves before the next fit. Everything after the histogram works on counts of lengths, of which
 there are at most as many as the sequence is long, so the plan's cost does not
 grow with the corpus; documents are then dealt into the plan by their rank among
 those of equal length.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 from . import _components as cc
 from . import _text as tx
 from . import _tokens as tk
-from ._repeats import NO_ID
+from ._repeats import NO_ID, parts
 
 LENGTH = 2048
 PARTNERS = 12
-ROUNDS = 300
-SALTS = 64
+STEPS = 1000  # of one fit, at most
+CLOSE = 1e-4  # a fit is done when a step lowers its residual by less than this share
+FITS = 3
 
 
 def _pieces(path: str, length: int, end_id: int):
@@ -70,18 +72,24 @@ def patterns(histogram: np.ndarray, limit: int) -> list[tuple[int, ...]]:
     return sorted(found)
 
 
-def fitted(histogram: np.ndarray, chosen: list[tuple[int, ...]]) -> np.ndarray:
-    """Non-negative x minimising |A x - histogram| for pattern columns A, by multiplicative updates."""
+def fitted(histogram: np.ndarray, chosen: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative x minimising |A x - histogram| for pattern columns A, by multiplicative updates until they gain little; and histogram - A x."""
     if not chosen:
-        return np.zeros(0)
+        return np.zeros(0), histogram.astype(float)
     which = np.repeat(np.arange(len(chosen)), [len(p) for p in chosen])
     item = np.concatenate([np.array(p) for p in chosen])
     target = np.bincount(which, histogram[item].astype(float))
     x = np.full(len(chosen), 1.0)
-    for _ in range(ROUNDS):
-        made = np.bincount(item, x[which], len(histogram))
+    made = np.bincount(item, x[which], len(histogram))
+    before = np.inf
+    for _ in range(STEPS):
         x *= target / np.maximum(np.bincount(which, made[item], len(chosen)), 1e-12)
-    return x
+        made = np.bincount(item, x[which], len(histogram))
+        now = float(np.linalg.norm(made - histogram))
+        if before - now < CLOSE * now:
+            break
+        before = now
+    return x, histogram - made
 
 
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -89,25 +97,33 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ..
     left = np.zeros(limit + 1, np.int64)
     for size, n in histogram.items():
         left[size] = n
-    whole = left.copy()
     out: list[tuple[int, tuple[int, ...]]] = []
     if left[limit]:
         out.append((int(left[limit]), (limit,)))
         left[limit] = 0
     chosen = patterns(left, limit)
-    x = fitted(left, chosen)
-    for i in np.argsort(-x, kind="stable"):
-        need = defaultdict(int)
-        for size in chosen[i]:
-            need[size] += 1
-        times = min(int(x[i]), *(int(left[size]) // n for size, n in need.items()))
+    x, rest = fitted(left, chosen)
+    for _ in range(FITS - 1):
+        more = sorted({*chosen, *patterns(np.maximum(np.rint(rest), 0).astype(np.int64), limit)})
+        if len(more) == len(chosen):
+            break
+        chosen = more
+        x, rest = fitted(left, chosen)
+
+    def take(i: int, most: int) -> None:
+        need = Counter(chosen[i])
+        times = min(most, *(int(left[size]) // n for size, n in need.items()))
         if times > 0:
             out.append((times, chosen[i]))
             for size, n in need.items():
                 left[size] -= times * n
-    with_patterns = out + _best_fit(left, limit)
-    plain = _best_fit(whole, limit)
-    return min(with_patterns, plain, key=lambda p: sum(n for n, _ in p))
+
+    whole = np.floor(x).astype(np.int64)
+    for i in np.argsort(-x, kind="stable").tolist():
+        take(i, int(whole[i]))
+    for i in np.argsort(whole - x, kind="stable").tolist():
+        take(i, 1)
+    return out + _best_fit(left, limit)
 
 
 def _best_fit(left: np.ndarray, limit: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -183,11 +199,11 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     """
     cc.prepare(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = rows.mapInArrow(_pieces(tokenizer, length, end_id), "d long, piece int, start long, length long, ids_crc32 long").withColumn("salt", F.pmod(F.xxhash64("d", "piece"), F.lit(SALTS))).checkpoint()
+    made = rows.mapInArrow(_pieces(tokenizer, length, end_id), "d long, piece int, start long, length long, ids_crc32 long").withColumn("rid", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(8 * parts(docs)))).checkpoint()
     counts = made.groupBy("length", "salt").count()
     histogram = {r[0]: r[1] for r in made.groupBy("length").count().collect()}  # at most `length` rows
     before = counts.select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("d", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("rid")) - 1
     ranked = made.withColumn("rank", rank.cast("long")).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.mapInArrow(_dealt(runs(plan(histogram, length))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 

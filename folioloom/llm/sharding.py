@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _components as cc
+from ._repeats import parts
 
 SHARDS = 40
-SALTS = 64
 ROUNDS = 4
 
 
@@ -30,8 +30,13 @@ def numbered(df: DataFrame, keys: list[str], salt: Column, order: list, name: st
     return df.withColumn(name, within).join(before, [*keys, "_salt"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_salt", "_before")
 
 
-def _spread(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SALTS))
+def _salts(df: DataFrame) -> int:
+    """Into how many parts a key that may hold all rows is split; each of them is one task's."""
+    return 8 * parts(df)
+
+
+def _spread(column: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(salts))
 
 
 def _cumulated(df: DataFrame, value: str, low: str, high: str) -> DataFrame:
@@ -82,11 +87,12 @@ def propagate(rows: DataFrame, shards: int, total: int, turn: int = 0) -> DataFr
     best = Window.partitionBy("g1", "g2").orderBy(F.desc("n"), F.xxhash64("g1", "shard", F.lit(turn)), "shard")
     wanted = held.withColumn("place", F.row_number().over(best) - 1).withColumn("needed", F.least(F.lit(shards), F.ceil(F.col("members") / room))).where("place < needed").select("g1", "g2", "place", F.col("shard").alias("to"))
     # who stands in none of the group's chosen shards moves to one of them
-    home = held.join(wanted.select("g1", "g2", F.col("to").alias("shard")), ["g1", "g2", "shard"], "left_anti").select("g1", "g2", "shard")
+    home = held.join(wanted.select("g1", "g2", F.col("to").alias("shard")), ["g1", "g2", "shard"], "left_anti").select("g1", "g2", "shard", "n")
     chosen = wanted.groupBy("g1", "g2").agg(F.sort_array(F.collect_list(F.struct("place", "to"))).alias("tos"))
-    movers = linked.join(home, ["g1", "g2", "shard"]).join(chosen, ["g1", "g2"])
+    asked = home.join(chosen, ["g1", "g2"])
+    movers = cc.join_counted(linked, asked, ["g1", "g2", "shard"], "n", total)
     movers = movers.select("rid", "shard", "members", "g1", F.col("tos")[F.pmod(F.xxhash64("rid"), F.size("tos")).cast("int")]["to"].alias("to"))
-    salt = F.when(F.col("members") > 1000, _spread("rid")).otherwise(F.pmod(F.col("g1"), F.lit(SALTS)))
+    salt = F.when(F.col("members") > 1000, _spread("rid", _salts(rows))).otherwise(F.pmod(F.col("g1"), F.lit(_salts(rows))))
     movers = numbered(movers, ["shard", "to"], salt, ["g1", "rid"], "turn").checkpoint()
     wish = {(r["shard"], r["to"]): r["count"] for r in movers.groupBy("shard", "to").count().collect()}
     free = {r["shard"]: r["count"] for r in rows.where("members = 1").groupBy("shard").count().collect()}
@@ -96,7 +102,7 @@ def propagate(rows: DataFrame, shards: int, total: int, turn: int = 0) -> DataFr
     flow = admitted.select(F.col("to").alias("shard"), F.lit(1).alias("x")).unionByName(admitted.select("shard", F.lit(-1).alias("x"))).groupBy("shard").agg(F.sum("x").alias("net"))
     gone = _cumulated(flow.where("net > 0"), "net", "low", "high").select("shard", "net", "low")
     lack = _cumulated(flow.where("net < 0").select("shard", (-F.col("net")).alias("lack")), "lack", "low", "high").select(F.col("shard").alias("fill"), F.col("low").alias("from"), "high")
-    spare = numbered(rows.where("members = 1").join(F.broadcast(gone), "shard"), ["shard"], _spread("rid"), ["rid"], "turn").where("turn < net")
+    spare = numbered(rows.where("members = 1").join(F.broadcast(gone), "shard"), ["shard"], _spread("rid", _salts(rows)), ["rid"], "turn").where("turn < net")
     filled = spare.withColumn("at", F.col("low") + F.col("turn")).join(F.broadcast(lack), (F.col("at") >= F.col("from")) & (F.col("at") < F.col("high"))).select("rid", F.col("fill").alias("to"))
     moves = admitted.select("rid", "to").unionByName(filled)
     return rows.join(moves, "rid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to").checkpoint()
@@ -116,8 +122,8 @@ def label_propagation_shards(docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("rid", F.monotonically_increasing_id()).checkpoint()
     total = rows.count()
     groups = rows.groupBy("g1", "g2").agg(F.count("*").alias("members"))
-    rows = rows.join(groups, ["g1", "g2"])
-    rows = numbered(rows.withColumn("all", F.lit(0)), ["all"], _spread("rid"), ["rid"], "turn")
+    rows = cc.join_counted(rows, groups, ["g1", "g2"], "members", total)
+    rows = numbered(rows.withColumn("all", F.lit(0)), ["all"], _spread("rid", _salts(rows)), ["rid"], "turn")
     rows = rows.withColumn("shard", (F.col("turn") % shards).cast("int")).drop("all", "turn").checkpoint()
     outside = None
     for turn in range(rounds):
@@ -128,7 +134,7 @@ def label_propagation_shards(docs: DataFrame, id_col: str = "doc_id", text_col:
         if not now or now == outside:
             break
         outside = now
-    rows = numbered(rows, ["shard"], _spread("rid"), ["doc_id", "rid"], "slot")
+    rows = numbered(rows, ["shard"], _spread("rid", _salts(rows)), ["doc_id", "rid"], "slot")
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

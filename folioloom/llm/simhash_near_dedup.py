@@ -227,14 +227,15 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cc.prepare(docs)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     prints = rows.mapInArrow(_prints(k), "d long, print long").checkpoint()
-    classes = prints.groupBy("print").agg(F.min("d").alias("node"))
+    classes = prints.groupBy("print").agg(F.min("d").alias("node"), F.count("*").alias("members"))
     # an id may stand in several classes if it repeats: then the node is the class's own number and ids follow later
     links = near(classes.select(F.col("print").alias("node"), "print", F.lit(b"").alias("more"), F.lit(0).cast("long").alias("block")), radius)
     named = classes.join(links.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    lead = named.groupBy("root").agg(F.min("node").alias("component"))
-    of = named.join(lead, "root").select("print", "component")
+    lead = named.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("size"))
+    total = prints.count()
+    of = cc.join_counted(named, lead, ["root"], "size", total).select("print", "members", "component").checkpoint()
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return prints.join(of, "print").select(null("d").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+    return cc.join_counted(prints, of, ["print"], "members", total).select(null("d").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), null("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -456,13 +457,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     `apart`) and from the first set of each key of the prefix filter, which link
     most of a group; then every pair with a common key that is not linked yet is
     compared, so no link between groups is missed. The row with the least id stays;
-    of equal rows one stays. Null texts count as empty.
+    of equal rows one stays. Null texts count as empty. Columns may have any names.
     """
     cc.prepare(docs)
     n = parts(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_h": F.xxhash64(text)})
-    prints = keyed.select(F.col("_d").alias("d"), F.col("_h").alias("h"), text.alias("text")).mapInArrow(_twofold(k), "d long, h long, print long, more binary, node long, n long").distinct().checkpoint()
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    prints = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(_twofold(k), "d long, h long, print long, more binary, node long, n long").distinct().checkpoint()
 
     grams = docs.select(text.alias("text")).mapInArrow(_grams(k), "node long, g long")
     shared = grams.repartition(n, "g").sortWithinPartitions("g", "node").mapInArrow(_shared, "node long, g long, df long")
@@ -480,10 +481,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rest = _checked(pairs(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False), sets)
     links = cc.components(first.unionByName(rest))
     rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select(F.col("x.d").alias("_d"), F.col("x.h").alias("_h"))
-    left = keyed.repartition(n, "_d", "_h").join(kept.hint("merge"), ["_d", "_h"], "left_semi")
-    first_row = F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_d"))
-    return left.withColumn("_row", first_row).where("_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select("x.d", "x.h")
+    left = keyed.repartition(n, "d", "h").join(kept.hint("merge"), ["d", "h"], "left_semi")
+    first = left.withColumn("turn", F.row_number().over(Window.partitionBy("d", "h").orderBy("d"))).where("turn = 1")
+    return first.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,10 @@ def test_plan_uses_each_length_as_often_as_given(seed):
         for x in items:
             made[x] = made.get(x, 0) + n
     assert made == histogram
+    left = np.zeros(2049, np.int64)
+    for size, n in histogram.items():
+        left[size] = n
+    assert sequences <= sum(n for n, _ in bp._best_fit(left, 2048))
     assert sequences <= 1.01 * sizes.sum() / 2048 + 1
 
 
@@ -32,8 +36,10 @@ def test_patterns_and_fit():
     h[[30, 70, 50]] = [10, 10, 4]
     chosen = bp.patterns(h, 100)
     assert (30, 70) in chosen and (50, 50) in chosen
-    x = dict(zip(chosen, bp.fitted(h, chosen), strict=True))
+    x, rest = bp.fitted(h, chosen)
+    x = dict(zip(chosen, x, strict=True))
     assert abs(x[30, 70] - 10) < 0.5
+    assert np.abs(rest).max() < 0.5
 
 
 @pytest.mark.parametrize("length", [2048, 64])
@@ -57,5 +63,13 @@ def test_query(spark, length):
         assert at <= length
 
 
+def test_clashing_columns_and_long_text(spark):
+    odd = spark.createDataFrame([(1, "one two " * 20_000, 5, 6, 7), (None, None, None, None, None)] * 2, "doc_id long, text string, piece long, length long, salt long")
+    got = bp.best_fit_packing(odd, PATH)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ids = len(Tokenizer.from_file(PATH).encode("one two " * 20_000, add_special_tokens=False).ids) + 1
+    assert sorted((str(r.doc_id), r.n) for r in got.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect()) == [("1", 2 * ids), ("None", 2)]
+
+
 def test_empty(spark):
     assert bp.best_fit_packing(frame(spark, []), PATH).count() == 0
