@@ -1,34 +1,63 @@
-"""Exact cosine top-k."""
+"""Exact cosine top-k of a stated query set against all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries beyond this many are not broadcast but joined in blocks.
-BROADCAST_QUERIES = 10_000
+ROWS = 4096  # vectors of a block, on both sides
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of ids, labels and unit vectors, as bytes; one row a block and dimension."""
+    for whole in batches:
+        for at in range(0, len(whole), ROWS):
+            batch = whole.slice(at, ROWS)
+            ids, labels = np.asarray(batch.column("vec_id"), np.int64), np.asarray(batch.column("label"), np.int64)
+            size = np.asarray(pa.compute.list_value_length(batch.column("embedding")))
+            for dim in np.unique(size).tolist():
+                own = size == dim
+                x = np.asarray(batch.column("embedding").filter(pa.array(own)).flatten(), np.float64).reshape(-1, dim)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[own].tobytes()], pa.binary()), pa.array([labels[own].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dim", "ids", "labels", "x"])
+
+
+def blocks(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_packed, "dim int, ids binary, labels binary, x binary")
 
 
-def norm(x: Column) -> Column:
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+def _best(k: int):
+    """The k best vectors of a block for each query of a block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dim"] != row["asked_dim"]:
+                    continue
+                q = np.frombuffer(row["q"]).reshape(-1, row["dim"])
+                x = np.frombuffer(row["x"]).reshape(-1, row["dim"])
+                asked, ids, labels = (np.frombuffer(row[c], np.int64) for c in ("asked", "ids", "labels"))
+                score = np.floor(np.maximum(0.0, q @ x.T) * 1e4 + 0.5) / 1e4
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                take = order.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])), pa.array(ids[take]), pa.array(labels[take]), pa.array(np.take_along_axis(score, order, axis=1).ravel())], ["query_id", "vec_id", "label", "score"])
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return run
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors of greatest cosine for each query: query_id, vec_id, label, score (4 places, not below 0), rank.
 
-    A bounded, stated query set is compared with all rows; the window keeps k rows
-    of each query in every partition before anything is shuffled. Ties go to the
-    smaller id.
+    Both sides are packed into blocks of at most ROWS vectors; each pair of blocks
+    is one row and one product of matrices, which leaves k rows a query. Ties go to
+    the smaller id. Vectors meet only those of their own dimension.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).withColumn("qn", norm(F.col("q")))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    e = vectors.withColumn("en", norm(F.col("embedding")))
-    cosine = dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("en"))
-    scored = e.crossJoin(q).select("query_id", "vec_id", "label", (F.floor(F.greatest(F.lit(0.0), cosine) * 1e4 + 0.5) / 1e4).alias("score"))
+    q = blocks(queries).select(F.col("dim").alias("asked_dim"), F.col("ids").alias("asked"), F.col("x").alias("q"))
+    pairs = blocks(vectors).crossJoin(q)
+    scored = pairs.mapInArrow(_best(k), "query_id long, vec_id long, label long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

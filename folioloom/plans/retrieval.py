@@ -8,50 +8,169 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators.rules import Rule, added, added_sql, first, first_sql, holds, holds_sql, scored, scored_sql, spaced, spaced_sql
 from folioloom.operators.vectors import nearest
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ASKED, CHUNKS, asked, chunks, table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
-_HITS = f"hits AS (SELECT q.vec_id query_id, e.vec_id, e.label, floor(greatest(0, {_COS}) * 1e4 + 0.5) / 1e4 score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id < 5), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM hits QUALIFY rank <= 30)"
+_HITS = f"hits AS (SELECT q.vec_id query_id, e.vec_id, e.label, floor(greatest(0, {_COS}) * 1e4 + 0.5) / 1e4 score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM hits QUALIFY rank <= 30)"
 
 
 def hits(spark, d, k=30):
-    """The stated query set (the first five vectors) against all rows."""
+    """The stated query set (ids divisible by 100) against all rows."""
     e = table(spark, d, "embeddings")
-    return nearest(e.where("vec_id < 5"), e, k)
+    return nearest(e.where("vec_id % 100 = 0"), e, k)
 
 
 @query("T1_nearest", f"WITH {_HITS} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10")
-@query("W14_ranks", f"WITH {_HITS} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10")
 def top_k(spark, d):
     return hits(spark, d, 10).select("query_id", "vec_id", "score", "rank")
 
 
+@query("W14_ranks", f"WITH {_HITS} SELECT query_id, vec_id, label, score AS original_score, rank AS original_rank, score - lag(score, 1, score) OVER (PARTITION BY query_id ORDER BY rank) AS step FROM ranked WHERE rank <= 10")
+def ranks(spark, d):
+    """Ranks with scores, and how far each lies below the one before."""
+    before = F.lag("score", 1).over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits(spark, d, 10).select("query_id", "vec_id", "label", F.col("score").alias("original_score"), F.col("rank").alias("original_rank"), (F.col("score") - F.coalesce(before, "score")).alias("step"))
+
+
 @query("F6_relevant", f"WITH {_HITS} SELECT query_id, vec_id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) m FROM ranked) WHERE score >= greatest(0.2, m - 0.45)")
 def relevant(spark, d):
     top = F.max("score").over(Window.partitionBy("query_id"))
     return hits(spark, d).withColumn("m", top).where(F.col("score") >= F.greatest(F.lit(0.2), F.col("m") - 0.45)).select("query_id", "vec_id")
 
 
-#: name, condition in SQL on a hit, change of score; applied in this order.
-DELTAS = [("label_match", "label = query_id", 0.22), ("low_label", "label < 3", 0.05), ("even", "vec_id % 2 = 0", 0.04), ("external", "label = 9", -0.85), ("sample", "vec_id % 10 = 7", -0.40)]
-_DELTA = " + ".join(f"CASE WHEN {c} THEN {v} ELSE 0 END" for _, c, v in DELTAS)
-_RERANKED = f"rerank AS (SELECT query_id, vec_id, label, rank AS original_rank, score AS original_score, floor((score + ({_DELTA})::DOUBLE) * 1e4 + 0.5) / 1e4 reranked_score, label < 3 ready, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in DELTAS) + "], lambda x: x IS NOT NULL), ',') reasons FROM ranked), final AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranked_score DESC, ready DESC, original_rank) rank FROM rerank)"
+#: Features of a question or passage: what words show them, and what it is worth if both have one.
+FEATURES = [
+    Rule("english", any=("the", "and", "of"), blocked=("der", "que"), weight=0.22), Rule("german", any=("der", "die", "das", "und"), weight=0.18), Rule("french", any=("le", "les", "des", "une"), weight=0.32),
+    Rule("spanish", any=("el", "los", "las", "una"), weight=0.28), Rule("definite", any=("the", "der", "le", "la"), weight=0.28), Rule("negated", any=("not", "nicht", "pas"), weight=0.24),
+    Rule("joined", all=("and", "of"), weight=0.28), Rule("placed", any=("in the", "on the", "by the"), weight=0.26), Rule("past", any=("was", "were", "war", "fue"), weight=0.24),
+    Rule("present", any=("is", "are", "ist", "est", "es"), weight=0.16), Rule("personal", any=("he", "she", "er", "sie", "il", "elle"), weight=0.32), Rule("demonstrative", any=("this", "that"), required=("is", "was"), weight=0.25),
+    Rule("licensed", any=("license", "copyright"), weight=0.26), Rule("tabular", any=("|",), weight=0.20), Rule("asking", any=("?", "what", "who"), weight=0.16), Rule("relative", any=("which", "que", "qui"), weight=0.18),
+    Rule("causal", any=("because", "weil", "car"), weight=0.22), Rule("both_articles", all=("the", "a"), weight=0.24), Rule("towards", any=("to the", "zu", "vers"), weight=0.20), Rule("without", any=("without", "ohne", "sans", "sin"), weight=0.26),
+    Rule("partitive", any=("du", "del", "von"), weight=0.16), Rule("compared", any=("as", "than", "als", "comme"), weight=0.18), Rule("private", any=("email", "phone", "password"), weight=0.20), Rule("numbered", any=("1", "2", "3"), weight=0.16),
+]
+#: The first of these that holds is the domain.
+DOMAINS = [x for n in ("licensed", "private", "tabular", "french", "spanish", "german", "english") for x in FEATURES if x.name == n]
+#: Topics that count against a passage if the question has none of their words.
+NOISE = [Rule("legal", any=("license", "copyright", "warranty"), weight=0.65), Rule("table", any=("|",), weight=0.35), Rule("personal_data", any=("email", "phone", "password"), weight=0.48), Rule("foreign_german", any=("der", "die", "und"), weight=0.28), Rule("foreign_romance", any=("le", "les", "que", "los"), weight=0.28)]
+
+_TALK = ", ".join(f"{holds_sql(r, 'q')} AS is_{r.name}" for r in FEATURES)
+_ASKED = f"{ASKED}, t AS (SELECT conv_id, question, {spaced_sql('question')} q FROM asked)"
+
+
+def questions(spark, d):
+    return asked(spark, d).withColumn("q", spaced(F.col("question")))
+
+
+@query("C11_query_profile", f"WITH {_ASKED} SELECT conv_id, {_TALK}, {first_sql(DOMAINS, 'q')} AS domain FROM t")
+def query_profile(spark, d):
+    q = F.col("q")
+    return questions(spark, d).select("conv_id", *(holds(r, q).alias(f"is_{r.name}") for r in FEATURES), first(DOMAINS, q).alias("domain"))
+
+
+#: What a question is searched with besides its own words.
+EXPANSIONS = [
+    Rule("article", any=("the",), blocked=("que",), adds=("article", "definite")), Rule("romance", any=("que", "des"), required=("la", "le", "de"), adds=("romance", "article")), Rule("german", any=("der", "und"), adds=("german", "umlaut")),
+    Rule("pair", all=("the", "of"), adds=("genitive", "definite")), Rule("place", any=("in the", "on the"), adds=("place", "where")), Rule("time", any=("was", "were"), required=("the", "a", "that"), blocked=("is",), adds=("past", "when")),
+    Rule("legal", any=("license", "copyright"), adds=("terms", "permission")), Rule("people", any=("he", "she"), adds=("person",)),
+]
+#: Patterns that add a word of their own.
+PATTERNS = [(r"[0-9]{4}", "year"), (r"[a-z]+tion ", "noun"), (r" [a-z]+ing ", "gerund")]
+BROWSE = [
+    Rule("help", any=("what", "who", "?"), adds=("faq", "help")), Rule("english", any=("the", "and"), adds=("guide", "english")), Rule("romance", any=("les", "los", "des"), blocked=("the",), adds=("guide", "romance")),
+    Rule("table", any=("|",), adds=("table", "list")), Rule("contact", any=("email", "phone"), required=("to", "at", "and"), adds=("contact",)), Rule("german", all=("der", "die"), adds=("guide", "german")),
+]
+
+
+@query("C12_expansion", f"WITH {_ASKED}, x AS (SELECT conv_id, trim(q) q, list_concat({added_sql(EXPANSIONS, 'q')}, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(q, '{p}') THEN '{w}' END" for p, w in PATTERNS) + "], lambda v: v IS NOT NULL)) l FROM t), y AS (SELECT conv_id, q, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') added FROM x) SELECT conv_id, added, trim(q || ' ' || added) AS expanded FROM y")
+def expansion(spark, d):
+    """Words that rules and patterns add to a question, in order, each once, and the question with them."""
+    q = F.col("q")
+    found = F.array_compact(F.array(*(F.when(q.rlike(p), F.lit(w)) for p, w in PATTERNS)))
+    more = F.array_join(F.array_distinct(F.concat(added(EXPANSIONS, q), found)), " ")
+    return questions(spark, d).select("conv_id", more.alias("added"), F.trim(F.concat_ws(" ", F.trim(q), more)).alias("expanded"))
+
+
+@query("C13_browse_expansion", f"WITH {_ASKED}, x AS (SELECT conv_id, {added_sql(BROWSE, 'q')} l FROM t) SELECT conv_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS added, len(list_distinct(l))::BIGINT AS terms FROM x")
+def browse_expansion(spark, d):
+    more = added(BROWSE, F.col("q"))
+    return questions(spark, d).select("conv_id", F.array_join(more, " ").alias("added"), F.size(more).cast("long").alias("terms"))
+
+
+# A vector stands for the document with its id: question and passage have texts, titles (the first line) and sources.
+_WORDS4 = r"list_distinct(list_filter(regexp_extract_all({}, '[a-z]+'), lambda w: length(w) >= 4))"
+_PAIRS = rf"""texts AS (SELECT doc_id, min(lang) lang, min(source) source, min({spaced_sql('text')}) body, min({spaced_sql("split_part(text, chr(10), 1)")}) title, min(n_chars) n_chars FROM documents GROUP BY doc_id),
+ marked AS (SELECT doc_id, max(quality) quality FROM labels GROUP BY doc_id),
+ pairs AS (SELECT r.query_id, r.vec_id, r.label, r.score, r.rank, y.label asked_label, coalesce(a.body, '') q, coalesce(c.body, '') body, coalesce(c.title, '') title, c.source, c.n_chars, m.quality, c.doc_id IS NOT NULL known,
+  {first_sql(DOMAINS, "coalesce(a.body, '')")} domain, {first_sql(DOMAINS, "coalesce(c.body, '')")} passage_domain
+  FROM ranked r JOIN embeddings y ON y.vec_id = r.query_id LEFT JOIN texts a ON a.doc_id = r.query_id LEFT JOIN texts c ON c.doc_id = r.vec_id LEFT JOIN marked m ON m.doc_id = r.vec_id)"""
+
+
+def pairs(spark, d):
+    t = table(spark, d, "documents").groupBy("doc_id").agg(F.min("source").alias("source"), F.min(spaced(F.col("text"))).alias("body"), F.min(spaced(F.split("text", "\n")[0])).alias("title"), F.min("n_chars").alias("n_chars"))
+    m = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.col("doc_id").alias("vec_id"), "quality")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("asked_label"))
+    question = t.select(F.col("doc_id").alias("query_id"), F.col("body").alias("q"))
+    passage = t.withColumnRenamed("doc_id", "vec_id").withColumn("known", F.lit(True))
+    out = hits(spark, d).join(e, "query_id").join(question, "query_id", "left").join(passage, "vec_id", "left").join(m, "vec_id", "left")
+    out = out.fillna("", ["q", "body", "title"]).fillna(False, ["known"])
+    return out.withColumn("domain", first(DOMAINS, F.col("q"))).withColumn("passage_domain", first(DOMAINS, F.col("body")))
+
+
+def _words4(x):
+    return F.array_distinct(F.filter(F.regexp_extract_all(x, F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 4))
+
+
+def _deltas():
+    """Changes of a score in their order: overlap with the title, domain, shared features, noise, citation."""
+    q, body = F.col("q"), F.col("body")
+    overlap = F.size(F.array_intersect(_words4(q), _words4(F.col("title"))))
+    out = [("overlap", overlap > 0, F.least(F.lit(0.18), overlap * F.lit(0.045))), ("domain_path", F.coalesce(F.col("domain") == F.col("passage_domain"), F.lit(False)), F.lit(0.30))]
+    out += [(r.name, holds(r, q) & holds(r, body), F.lit(r.weight)) for r in FEATURES]
+    out += [(f"not_{r.name}", holds(r, body) & ~holds(r, q), F.lit(-r.weight)) for r in NOISE]
+    out += [("external", F.col("label") == 9, F.lit(-0.85)), ("sample", F.contains(body, F.lit(" sample ")), F.lit(-0.40)), ("no_id", ~F.col("known"), F.lit(-0.08)), ("page", F.col("n_chars") > 0, F.lit(0.05))]
+    out += [("ready", F.col("quality") == 1, F.lit(0.14)), ("orphan", F.col("quality").isNull(), F.lit(-0.10))]
+    return [(n, F.coalesce(c, F.lit(False)), v) for n, c, v in out]
+
+
+def _deltas_sql():
+    overlap = f"len(list_intersect({_WORDS4.format('q')}, {_WORDS4.format('title')}))"
+    out = [("overlap", f"{overlap} > 0", f"least(0.18::DOUBLE, {overlap} * 0.045::DOUBLE)"), ("domain_path", "coalesce(domain = passage_domain, false)", "0.30")]
+    out += [(r.name, f"{holds_sql(r, 'q')} AND {holds_sql(r, 'body')}", str(r.weight)) for r in FEATURES]
+    out += [(f"not_{r.name}", f"{holds_sql(r, 'body')} AND NOT {holds_sql(r, 'q')}", str(-r.weight)) for r in NOISE]
+    out += [("external", "label = 9", "-0.85"), ("sample", "contains(body, ' sample ')", "-0.40"), ("no_id", "NOT known", "-0.08"), ("page", "coalesce(n_chars > 0, false)", "0.05")]
+    return out + [("ready", "coalesce(quality = 1, false)", "0.14"), ("orphan", "quality IS NULL", "-0.10")]
+
+
+_TOTAL, _REASONS = scored_sql(_deltas_sql())
+_RERANKED = f"{_PAIRS}, rerank AS (SELECT *, rank AS original_rank, score AS original_score, floor((score + {_TOTAL}) * 1e4 + 0.5) / 1e4 reranked_score, coalesce(quality = 1, false) ready, {_REASONS} reasons FROM pairs), final AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY reranked_score DESC, ready DESC, original_rank) rank FROM rerank)"
 
 
 def reranked(spark, d):
-    change = reduce(lambda a, b: a + b, (F.when(F.expr(c), F.lit(v)).otherwise(F.lit(0.0)) for _, c, v in DELTAS))
-    reasons = F.array_join(F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c, _ in DELTAS))), ",")
-    out = hits(spark, d).select("query_id", "vec_id", "label", F.col("rank").alias("original_rank"), F.col("score").alias("original_score"), (F.floor((F.col("score") + change) * 1e4 + 0.5) / 1e4).alias("reranked_score"), (F.col("label") < 3).alias("ready"), reasons.alias("reasons"))
+    total, reasons = scored(_deltas())
+    out = pairs(spark, d).withColumnsRenamed({"rank": "original_rank", "score": "original_score"})
+    out = out.withColumns({"reranked_score": F.floor((F.col("original_score") + total) * 1e4 + 0.5) / 1e4, "ready": F.coalesce(F.col("quality") == 1, F.lit(False)), "reasons": reasons})
     w = Window.partitionBy("query_id").orderBy(F.desc("reranked_score"), F.desc("ready"), "original_rank")
     return out.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-@query("C14_rerank", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, original_score, reranked_score, reasons FROM final")
-@query("C16_type_boosts", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, original_score, reranked_score, reasons FROM final")
+@query("C14_rerank", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, original_score, reranked_score, array_to_string(reasons, ',') AS reasons FROM final")
 def rerank(spark, d):
-    return reranked(spark, d).select("query_id", "vec_id", "original_score", "reranked_score", "reasons")
+    return reranked(spark, d).select("query_id", "vec_id", "original_score", "reranked_score", F.array_join("reasons", ",").alias("reasons"))
+
+
+#: Kinds of passage and what they are worth: name, condition in SQL on a pair, change.
+KINDS = [("same_label", "label = asked_label", 0.22), ("procedure", "contains(body, ' 1 ') AND contains(body, ' 2 ')", 0.24), ("form", "contains(body, ' | ') AND NOT contains(q, ' | ')", -0.35), ("form_asked", "contains(body, ' | ') AND contains(q, ' | ')", 0.30), ("short_notice", "length(body) < 200 AND length(q) >= 200", -0.10), ("other_label", "label <> asked_label AND domain = passage_domain", -0.05)]
+_KIND_TOTAL, _KIND_REASONS = scored_sql([(n, f"coalesce({c}, false)", str(v)) for n, c, v in KINDS])
+
+
+@query("C16_type_boosts", f"WITH {_HITS}, {_PAIRS} SELECT query_id, vec_id, floor({_KIND_TOTAL} * 1e4 + 0.5) / 1e4 AS boost, array_to_string({_KIND_REASONS}, ',') AS reasons FROM pairs")
+def type_boosts(spark, d):
+    """Boosts for passages of the asked kind, penalties for forms that nobody asked for."""
+    total, reasons = scored([(n, F.coalesce(F.expr(c), F.lit(False)), F.lit(v)) for n, c, v in KINDS])
+    return pairs(spark, d).select("query_id", "vec_id", (F.floor(total * 1e4 + 0.5) / 1e4).alias("boost"), F.array_join(reasons, ",").alias("reasons"))
 
 
 @query("W15_order", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, rank FROM final WHERE rank <= 5")
@@ -59,108 +178,134 @@ def order(spark, d):
     return reranked(spark, d).where("rank <= 5").select("query_id", "vec_id", "rank")
 
 
-@query("F15_gates", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, contains(reasons, 'external') OR contains(reasons, 'sample') AS penalised, contains(reasons, 'label_match') OR contains(reasons, 'low_label') AS positive FROM final")
+POSITIVE = ["overlap", "domain_path", *(r.name for r in FEATURES)]
+STRONG = ["external", "sample", *(f"not_{r.name}" for r in NOISE if r.weight >= 0.4)]
+
+
+def _of(names: list[str]):
+    return F.filter("reasons", lambda r: r.isin(names))
+
+
+def _of_sql(names: list[str]) -> str:
+    return f"list_filter(reasons, lambda r: list_contains({names}, r))"
+
+
+@query("F15_gates", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, contains(body, ' | ') OR length(body) < 60 AS noise, len({_of_sql(STRONG)}) > 0 AS penalised, array_to_string({_of_sql(POSITIVE)}, ',') AS positive FROM final")
 def gates(spark, d):
-    has = lambda x: F.contains("reasons", F.lit(x))
-    return reranked(spark, d).select("query_id", "vec_id", (has("external") | has("sample")).alias("penalised"), (has("label_match") | has("low_label")).alias("positive"))
+    noise = F.contains("body", F.lit(" | ")) | (F.length("body") < 60)
+    return reranked(spark, d).select("query_id", "vec_id", noise.alias("noise"), (F.size(_of(STRONG)) > 0).alias("penalised"), F.array_join(_of(POSITIVE), ",").alias("positive"))
 
 
-@query("W12_context", f"WITH {_HITS}, {_RERANKED}, s AS (SELECT * FROM final WHERE label <> 9 AND (rank = 1 OR (reasons <> '' AND NOT contains(reasons, 'sample')))) SELECT query_id, vec_id, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) k FROM s) WHERE k <= 5")
-def context(spark, d):
-    """Rank 1 passes without a reason, the others need one; artefacts never pass."""
-    s = reranked(spark, d).where((F.col("label") != 9) & ((F.col("rank") == 1) | ((F.col("reasons") != "") & ~F.contains("reasons", F.lit("sample")))))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")).where("place <= 5").select("query_id", "vec_id", "place")
+#: A question is broad if it has one of the phrases, or two of the words.
+BROAD_PHRASES = Rule("broad", any=("all the", "list of", "of the"))
+BROAD = ["the", "all", "que", "des", "los", "die"]
+_BROAD = f"({holds_sql(BROAD_PHRASES, 'q')} OR len(list_intersect(string_split(trim(q), ' '), {BROAD})) >= 2)"
 
 
-@query("W13_collection_context", f"WITH {_HITS}, {_RERANKED}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) g FROM final WHERE label <> 9) SELECT query_id, vec_id, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) k FROM f WHERE g = 1) WHERE k <= 15")
-def collection_context(spark, d):
-    f = reranked(spark, d).where("label <> 9").withColumn("g", F.row_number().over(Window.partitionBy("query_id", "label").orderBy("rank"))).where("g = 1")
-    return f.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long")).where("place <= 15").select("query_id", "vec_id", "place")
+def _broad(q):
+    return holds(BROAD_PHRASES, q) | (F.size(F.array_intersect(F.split(F.trim(q), " "), F.array(*(F.lit(x) for x in BROAD)))) >= 2)
 
 
-@query("H1_prefer", f"WITH {_HITS}, {_RERANKED} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 WHEN label < 9 THEN 2 ELSE 3 END, rank) AS place FROM final")
-def prefer(spark, d):
-    tier = F.when(F.col("label") < 3, 0).when(F.col("label") < 6, 1).when(F.col("label") < 9, 2).otherwise(3)
-    return reranked(spark, d).select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(tier, "rank")).cast("long").alias("place"))
+_KEPT = f"kept AS (SELECT *, {_BROAD} broad, len({_of_sql(STRONG)}) > 0 strong, len({_of_sql(POSITIVE)}) > 0 positive FROM final), fit AS (SELECT * FROM kept WHERE label <> 9 AND NOT strong AND (positive OR (rank = 1 AND NOT broad)))"
 
 
-@query("C20_confidence", f"WITH {_HITS}, {_RERANKED} SELECT query_id, CASE WHEN max(reranked_score) >= 0.82 AND count_if(label = query_id) > 0 THEN 'high' WHEN max(reranked_score) >= 0.58 THEN 'medium' ELSE 'low' END AS confidence FROM final GROUP BY query_id")
-def answer_confidence(spark, d):
-    top = F.max("reranked_score")
-    return reranked(spark, d).groupBy("query_id").agg(F.when((top >= 0.82) & (F.count_if(F.col("label") == F.col("query_id")) > 0), "high").when(top >= 0.58, "medium").otherwise("low").alias("confidence"))
+def _fit(spark, d):
+    k = reranked(spark, d).withColumns({"broad": _broad(F.col("q")), "strong": F.size(_of(STRONG)) > 0, "positive": F.size(_of(POSITIVE)) > 0})
+    return k.where((F.col("label") != 9) & ~F.col("strong") & (F.col("positive") | ((F.col("rank") == 1) & ~F.col("broad"))))
 
 
-FEATURES = [("definite", r"\bthe\b"), ("german", r"\b(der|die|das)\b"), ("romance", r"\b(que|des|los)\b"), ("question", r"\?"), ("long", r"(\S+\s+){40}")]
+@query("W12_context", f"WITH {_HITS}, {_RERANKED}, {_KEPT}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) turn FROM fit), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) k FROM g WHERE NOT broad OR turn = 1) SELECT query_id, vec_id, broad, k AS place FROM s WHERE k <= CASE WHEN broad THEN 15 ELSE 3 END")
+def context(spark, d):
+    """Passages that a question is answered from: the first needs no reason unless the question is broad; broad ones take one of each group, up to 15, others three."""
+    turn = F.row_number().over(Window.partitionBy("query_id", "label").orderBy("rank"))
+    s = _fit(spark, d).withColumn("turn", turn).where(~F.col("broad") | (F.col("turn") == 1))
+    s = s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long"))
+    return s.where(F.col("place") <= F.when(F.col("broad"), 15).otherwise(3)).select("query_id", "vec_id", "broad", "place")
 
 
-@query("C11_query_profile", f"WITH {ASKED}, t AS (SELECT conv_id, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) q FROM asked) SELECT conv_id, ".replace("\\\\", "\\") + ", ".join(f"regexp_matches(q, '{p}') AS is_{n}" for n, p in FEATURES) + ", CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n, p in FEATURES) + " END AS domain FROM t")
-def query_profile(spark, d):
-    q = asked(spark, d).select("conv_id", tf.normal("question").alias("q"))
-    first = F.coalesce(*(F.when(F.col("q").rlike(p), F.lit(n)) for n, p in FEATURES))
-    return q.select("conv_id", *(F.col("q").rlike(p).alias(f"is_{n}") for n, p in FEATURES), first.alias("domain"))
+@query("W13_collection_context", f"WITH {_HITS}, {_RERANKED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reranked_score DESC, title, n_chars NULLS FIRST, vec_id) turn FROM final WHERE label <> 9 AND coalesce(domain = passage_domain, true)), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY turn) g FROM o) SELECT query_id, vec_id, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY turn) k FROM f WHERE g = 1) WHERE k <= 15")
+def collection_context(spark, d):
+    """Passages of the question's domain by score, title, length and id; the first of each title, up to 15."""
+    o = reranked(spark, d).where((F.col("label") != 9) & F.coalesce(F.col("domain") == F.col("passage_domain"), F.lit(True)))
+    o = o.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("reranked_score"), "title", F.asc_nulls_first("n_chars"), "vec_id")))
+    f = o.withColumn("g", F.row_number().over(Window.partitionBy("query_id", "title").orderBy("turn"))).where("g = 1")
+    return f.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")).cast("long")).where("place <= 15").select("query_id", "vec_id", "place")
 
 
-#: triggers (any), needed (any, if given), blocked (any), what is added
-EXPANSIONS = [(["the"], [], ["que"], ["article", "definite"]), (["que", "des"], ["la", "le"], [], ["romance", "article"]), (["der"], [], [], ["german", "umlaut"])]
+_TIER = "CASE WHEN contains(body, ' | ') THEN 3 WHEN NOT known THEN 2 WHEN ready AND label = asked_label THEN 0 WHEN label = asked_label THEN 1 ELSE 2 END"
 
 
-def _expansion_sql() -> str:
-    any_ = lambda ts: "(" + " OR ".join(f"contains(q, '{t}')" for t in ts) + ")"
-    parts = []
-    for t, need, block, add in EXPANSIONS:
-        cond = any_(t) + (f" AND {any_(need)}" if need else "") + (f" AND NOT {any_(block)}" if block else "")
-        parts.append(f"CASE WHEN {cond} THEN [" + ", ".join(f"'{a}'" for a in add) + "] ELSE [] END")
-    return "list_concat(" * (len(parts) - 1) + parts[0] + "".join(f", {p})" for p in parts[1:])
+@query("H1_prefer", f"WITH {_HITS}, {_RERANKED}, v AS (SELECT query_id, vec_id, rank, {_TIER} tier, contains(q, ' | ') form FROM final), w AS (SELECT *, min(tier) OVER (PARTITION BY query_id) best FROM v) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN form OR best > 1 THEN 0 ELSE tier END, rank) AS place FROM w")
+def prefer(spark, d):
+    """Usable passages of the asked kind, then others of it, the rest, and forms last; as ranked if the question asks for forms or none is preferred."""
+    tier = F.when(F.contains("body", F.lit(" | ")), 3).when(~F.col("known"), 2).when(F.col("ready") & (F.col("label") == F.col("asked_label")), 0).when(F.col("label") == F.col("asked_label"), 1).otherwise(2)
+    v = reranked(spark, d).withColumns({"tier": tier, "form": F.contains("q", F.lit(" | "))})
+    v = v.withColumn("best", F.min("tier").over(Window.partitionBy("query_id")))
+    plain = F.when(F.col("form") | (F.col("best") > 1), 0).otherwise(F.col("tier"))
+    return v.select("query_id", "vec_id", F.row_number().over(Window.partitionBy("query_id").orderBy(plain, "rank")).cast("long").alias("place"))
 
 
-@query("C12_expansion", rf"WITH {ASKED}, t AS (SELECT conv_id, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) q FROM asked), x AS (SELECT conv_id, {_expansion_sql()} l FROM t) SELECT conv_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS added FROM x")
-@query("C13_browse_expansion", rf"WITH {ASKED}, t AS (SELECT conv_id, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) q FROM asked), x AS (SELECT conv_id, {_expansion_sql()} l FROM t) SELECT conv_id, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ' ') AS added FROM x")
-def expansion(spark, d):
-    """Words that rules add to a question, in rule order, each once."""
-    q = tf.normal("question")
-    any_ = lambda ts: reduce(lambda a, b: a | b, (F.contains(q, F.lit(t)) for t in ts))
-    added = []
-    for t, need, block, add in EXPANSIONS:
-        c = any_(t)
-        c = c & any_(need) if need else c
-        c = c & ~any_(block) if block else c
-        added.append(F.when(c, F.array(*(F.lit(x) for x in add))).otherwise(F.array().cast("array<string>")))
-    return asked(spark, d).select("conv_id", F.array_join(F.array_distinct(F.concat(*added)), " ").alias("added"))
-
-
-@query("C15_title_similarity", rf"""WITH {ASKED}, g AS (SELECT conv_id, list_slice(list_filter(regexp_extract_all(lower(question), '[a-z]+'), lambda t: length(t) >= 4), 1, 12) w FROM asked), n AS (SELECT conv_id, len(list_filter(w, lambda t: contains('entionre wherin thered anation', t)))::DOUBLE / greatest(len(w), 1) sim FROM g) SELECT conv_id, (CASE WHEN sim >= 0.5 THEN 0.5 WHEN sim >= 0.25 THEN 0.38 WHEN sim > 0 THEN 0.2 ELSE 0 END)::DOUBLE AS boost FROM n""")
+@query("C20_confidence", f"WITH {_HITS}, {_RERANKED}, {_KEPT}, g AS (SELECT query_id, any_value(broad) broad, max(reranked_score) top, count_if(coalesce(domain = passage_domain, false)) matched, count_if(positive) good, count_if(strong) bad FROM kept WHERE rank <= 5 GROUP BY query_id) SELECT query_id, CASE WHEN broad AND matched >= 3 AND bad = 0 THEN 'high' WHEN NOT broad AND top >= 0.82 AND matched > 0 AND good > 0 AND bad = 0 THEN 'high' WHEN top >= 0.58 AND good > 0 THEN 'medium' ELSE 'low' END AS confidence FROM g")
+def answer_confidence(spark, d):
+    """From the best score, the domain's match, and what speaks for or against the first five."""
+    k = reranked(spark, d).where("rank <= 5").withColumns({"broad": _broad(F.col("q")), "strong": F.size(_of(STRONG)) > 0, "positive": F.size(_of(POSITIVE)) > 0})
+    g = k.groupBy("query_id").agg(F.any_value("broad").alias("broad"), F.max("reranked_score").alias("top"), F.count_if(F.coalesce(F.col("domain") == F.col("passage_domain"), F.lit(False))).alias("matched"), F.count_if("positive").alias("good"), F.count_if("strong").alias("bad"))
+    high = F.expr("broad AND matched >= 3 AND bad = 0") | F.expr("NOT broad AND top >= 0.82 AND matched > 0 AND good > 0 AND bad = 0")
+    return g.select("query_id", F.when(high, "high").when(F.expr("top >= 0.58 AND good > 0"), "medium").otherwise("low").alias("confidence"))
+
+
+STOP = ["the", "of", "and", "to", "in", "is", "a", "der", "die", "und", "le", "la", "les", "de", "des", "el", "los", "que", "en"]
+_TOKENS = "list_filter(string_split(trim({}), ' '), lambda w: length(w) >= 2 AND NOT list_contains(" + str(STOP) + ", w))"
+
+
+@query("C15_title_similarity", f"WITH {_HITS}, {_PAIRS}, w AS (SELECT query_id, vec_id, {_TOKENS.format('q')} q, {_TOKENS.format('title')} title FROM pairs), g AS (SELECT query_id, vec_id, title, list_filter(flatten(list_transform([1, 2, 3], lambda n: list_transform(range(1, greatest(len(q) - n + 2, 1)::BIGINT), lambda i: list_distinct(list_slice(q, i, i + n - 1))))), lambda x: len(x) > 0) grams FROM w), s AS (SELECT query_id, vec_id, coalesce(list_max(list_transform(grams, lambda x: len(list_intersect(x, title))::DOUBLE / len(x) * CASE WHEN len(x) = 1 THEN 0.5 ELSE 1 END)), 0) sim FROM g) SELECT query_id, vec_id, (CASE WHEN sim >= 0.95 THEN 0.5 WHEN sim >= 0.6 THEN 0.38 WHEN sim >= 0.5 THEN 0.2 ELSE 0 END)::DOUBLE AS boost FROM s")
 def title_similarity(spark, d):
-    w = F.slice(F.filter(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0)), lambda t: F.length(t) >= 4), 1, 12)
-    sim = F.size(F.filter("w", lambda t: F.contains(F.lit("entionre wherin thered anation"), t))) / F.greatest(F.size("w"), F.lit(1))
-    return asked(spark, d).select("conv_id", w.alias("w")).select("conv_id", F.when(sim >= 0.5, 0.5).when(sim >= 0.25, 0.38).when(sim > 0, 0.2).otherwise(0.0).alias("boost"))
+    """The best share of a run of one to three words of the question that the passage's title has."""
+    tokens = lambda x: F.filter(F.split(F.trim(x), " "), lambda w: (F.length(w) >= 2) & ~w.isin(STOP))
+    w = pairs(spark, d).select("query_id", "vec_id", tokens(F.col("q")).alias("q"), tokens(F.col("title")).alias("title"))
+    starts = lambda n: F.when(F.size("q") >= n, F.sequence(F.lit(1), F.size("q") - n + 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda n: F.transform(starts(n), lambda i: F.array_distinct(F.slice("q", i, n)))
+    runs = F.concat(*map(run, (1, 2, 3)))
+    share = F.array_max(F.transform(runs, lambda x: F.size(F.array_intersect(x, F.col("title"))) / F.size(x) * F.when(F.size(x) == 1, 0.5).otherwise(1.0)))
+    sim = F.coalesce(share, F.lit(0.0))
+    return w.select("query_id", "vec_id", F.when(sim >= 0.95, 0.5).when(sim >= 0.6, 0.38).when(sim >= 0.5, 0.2).otherwise(0.0).alias("boost"))
+
+
+_NOISE_TOTAL, _NOISE_REASONS = scored_sql([(r.name, f"{holds_sql(r, 'body')} AND NOT {holds_sql(r, 'q')}", str(-r.weight)) for r in NOISE])
 
 
-@query("C17_noise_penalty", f"WITH {CHUNKS} SELECT doc_id, chunk_index, (CASE WHEN contains(text, '|') AND lang <> 'de' THEN -0.35 ELSE 0 END + CASE WHEN contains(lower(text), 'license') THEN -0.65 ELSE 0 END)::DOUBLE AS penalty FROM chunks")
+@query("C17_noise_penalty", f"WITH {_HITS}, {_PAIRS} SELECT query_id, vec_id, floor({_NOISE_TOTAL} * 1e4 + 0.5) / 1e4 AS penalty, array_to_string({_NOISE_REASONS}, ',') AS reasons FROM pairs")
 def noise_penalty(spark, d):
-    p = F.when(F.contains("text", F.lit("|")) & (F.col("lang") != "de"), -0.35).otherwise(0.0) + F.when(F.contains(F.lower("text"), F.lit("license")), -0.65).otherwise(0.0)
-    return chunks(spark, d).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), p.alias("penalty"))
+    """What a passage loses for topics that the question did not ask for."""
+    total, reasons = scored([(r.name, holds(r, F.col("body")) & ~holds(r, F.col("q")), F.lit(-r.weight)) for r in NOISE])
+    return pairs(spark, d).select("query_id", "vec_id", (F.floor(total * 1e4 + 0.5) / 1e4).alias("penalty"), F.array_join(reasons, ",").alias("reasons"))
 
 
-BROAD = ["the", "all", "que", "des", "los"]
+INTENTS = [Rule("requirement", any=("license", "password", "email")), Rule("location", any=("in the", "on the", "dans", "dans le")), Rule("definition", any=("is", "est", "ist"), required=("the", "le", "der", "a")), Rule("person", any=("he", "she", "er", "elle")), Rule("history", any=("was", "were")), Rule("procedure", any=("to", "zu", "pour"))]
+COLLECTIONS = [Rule("everything", all=("all", "the")), Rule("tables", any=("|",)), Rule("languages", all=("the", "que")), Rule("pairs", all=("and", "of"), blocked=("que",))]
 
 
-@query("C18_intent", rf"WITH {ASKED}, t AS (SELECT conv_id, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) q FROM asked) SELECT conv_id, CASE WHEN contains(q, 'license') THEN 'requirement' WHEN regexp_matches(q, '^(the|de|le)\b') THEN 'definition' ELSE 'general' END AS intent, len(list_intersect(string_split(q, ' '), {BROAD})) >= 2 AS broad FROM t")
+@query("C18_intent", f"WITH {_ASKED} SELECT conv_id, {first_sql(INTENTS, 'q', 'general')} AS intent, {first_sql(COLLECTIONS, 'q', 'none')} AS collection, {_BROAD} AS broad, CASE WHEN {holds_sql(BROAD_PHRASES, 'q')} THEN 'phrase' WHEN {_BROAD} THEN 'words' END AS why FROM t")
 def question_intent(spark, d):
-    q = tf.normal("question")
-    broad = F.size(F.array_intersect(F.split(q, " "), F.array(*(F.lit(x) for x in BROAD)))) >= 2
-    return asked(spark, d).select("conv_id", F.when(F.contains(q, F.lit("license")), "requirement").when(q.rlike(r"^(the|de|le)\b"), "definition").otherwise("general").alias("intent"), broad.alias("broad"))
+    q = F.col("q")
+    why = F.when(holds(BROAD_PHRASES, q), "phrase").when(_broad(q), "words")
+    return questions(spark, d).select("conv_id", first(INTENTS, q, "general").alias("intent"), first(COLLECTIONS, q, "none").alias("collection"), _broad(q).alias("broad"), why.alias("why"))
 
 
-@query("C19_domain", f"WITH {ASKED} SELECT conv_id, CASE WHEN contains(lower(question), 'ing') THEN 'gerund' WHEN contains(lower(question), 'eau') THEN 'vowel' WHEN contains(lower(question), 'keit') THEN 'abstract' ELSE 'none' END AS domain FROM asked")
+@query("C19_domain", f"WITH {_HITS}, {_PAIRS} SELECT query_id, vec_id, domain, coalesce(domain = passage_domain, false) AS matches, domain IS NULL OR " + " OR ".join(f"(domain = '{r.name}' AND {holds_sql(Rule(r.name, any=r.any or r.all), 'body')})" for r in DOMAINS) + " AS broadly FROM pairs")
 def domain(spark, d):
-    low = F.lower("question")
-    return asked(spark, d).select("conv_id", F.when(F.contains(low, F.lit("ing")), "gerund").when(F.contains(low, F.lit("eau")), "vowel").when(F.contains(low, F.lit("keit")), "abstract").otherwise("none").alias("domain"))
+    """The question's domain; whether it is the passage's first one too, or at least one that the passage has words of."""
+    has = reduce(lambda a, b: a | b, ((F.col("domain") == r.name) & holds(Rule(r.name, any=r.any or r.all), F.col("body")) for r in DOMAINS))
+    return pairs(spark, d).select("query_id", "vec_id", "domain", F.coalesce(F.col("domain") == F.col("passage_domain"), F.lit(False)).alias("matches"), (F.col("domain").isNull() | has).alias("broadly"))
 
 
-@query("C21_scope", rf"WITH {ASKED} SELECT conv_id, nullif(regexp_extract(question, '\b([A-Z][a-z]{{5,}})', 1), '') AS scope, (contains(lower(question), 'the')::INT * 2 + contains(lower(question), 'ing')::INT)::BIGINT AS score FROM asked")
+@query("C21_scope", rf"WITH {_HITS}, {_PAIRS} SELECT query_id, vec_id, nullif(regexp_extract(q, ' (?:in|of|de|von) ([\p{{L}}]{{4,}}) ', 1), '') AS scope, coalesce(contains(body, ' ' || nullif(regexp_extract(q, ' (?:in|of|de|von) ([\p{{L}}]{{4,}}) ', 1), '') || ' '), true) AS within, (4 * (label = asked_label)::INT + least(len(list_intersect({_WORDS4.format('q')}, {_WORDS4.format('title')})), 5) + 2 * coalesce(domain = passage_domain, false)::INT)::BIGINT AS points FROM pairs")
 def scope(spark, d):
-    low = F.lower("question")
-    return asked(spark, d).select("conv_id", F.nullif(F.regexp_extract("question", r"\b([A-Z][a-z]{5,})", 1), F.lit("")).alias("scope"), (F.contains(low, F.lit("the")).cast("int") * 2 + F.contains(low, F.lit("ing")).cast("int")).cast("long").alias("score"))
+    """What the question is limited to, whether the passage is inside, and the passage's points."""
+    named = F.nullif(F.regexp_extract("q", r" (?:in|of|de|von) ([\p{L}]{4,}) ", 1), F.lit(""))
+    within = F.coalesce(F.contains("body", F.concat(F.lit(" "), named, F.lit(" "))), F.lit(True))
+    points = 4 * (F.col("label") == F.col("asked_label")).cast("int") + F.least(F.size(F.array_intersect(_words4(F.col("q")), _words4(F.col("title")))), F.lit(5)) + 2 * F.coalesce(F.col("domain") == F.col("passage_domain"), F.lit(False)).cast("int")
+    return pairs(spark, d).select("query_id", "vec_id", named.alias("scope"), within.alias("within"), points.cast("long").alias("points"))
 
 
 @query("C24_fallback", f"WITH {ASKED} SELECT conv_id, CASE WHEN length(question) < 40 THEN 'clarification' WHEN contains(question, '?') THEN 'service' WHEN regexp_matches(question, '(?i)^(the|der|le)') THEN 'policy' ELSE 'person' END AS fallback FROM asked")
@@ -179,9 +324,9 @@ def extractive_answer(spark, d):
     return k.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", F.substring("text", 1, 120).alias("t")))), lambda x: x["t"]), " / ").alias("answer"))
 
 
-@query("R2_context_blocks", f"WITH {_HITS}, {_RERANKED} SELECT query_id, string_agg('[' || rank || '] vector ' || vec_id || ' (' || reasons || ')', chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM final WHERE rank <= 5 GROUP BY query_id")
+@query("R2_context_blocks", f"WITH {_HITS}, {_RERANKED} SELECT query_id, string_agg('[' || rank || '] vector ' || vec_id || ' (' || array_to_string(reasons, ',') || ')', chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM final WHERE rank <= 5 GROUP BY query_id")
 def context_blocks(spark, d):
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] vector "), F.col("vec_id").cast("string"), F.lit(" ("), "reasons", F.lit(")"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] vector "), F.col("vec_id").cast("string"), F.lit(" ("), F.array_join("reasons", ","), F.lit(")"))
     return reranked(spark, d).where("rank <= 5").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n---\n").alias("context"))
 
 
