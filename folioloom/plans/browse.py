@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators.numbering import ranked
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ARTICLES, ASKED, CHUNKS, articles, asked, chunks, table
 
@@ -150,10 +151,10 @@ def keyword_search(spark, d):
     return chunks(spark, d).where(F.contains(low, F.lit("hanre")) | F.contains(low, F.lit("wher"))).groupBy("source").agg(F.count_distinct("doc_id").alias("articles"), F.count("*").alias("chunks"))
 
 
-@query("T7_intent_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id, chunk_index) AS rank FROM chunks WHERE regexp_matches(text, '^[A-Z][a-z]+ing')")
+@query("T7_intent_chunks", f"WITH {CHUNKS} SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) AS rank FROM chunks WHERE regexp_matches(text, '^[A-Z][a-z]+ing')")
 def intent_chunks(spark, d):
-    w = Window.partitionBy("source").orderBy("lang", "doc_id", "chunk_index")
-    return chunks(spark, d).where(F.col("text").rlike("^[A-Z][a-z]+ing")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.row_number().over(w).cast("long").alias("rank"))
+    c = chunks(spark, d).where(F.col("text").rlike("^[A-Z][a-z]+ing")).select("source", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"))
+    return ranked(c, ["source"], "doc_id", "rank", then=["chunk_index"]).drop("source")
 
 
 @query("D11_display", f"WITH {ARTICLES} SELECT doc_id, upper(category) AS category, replace(title, chr(10), ' ') AS title FROM articles WHERE published")
@@ -201,7 +202,8 @@ def suggestions(spark, d):
 
 @query("H11_admin_articles", f"WITH {ARTICLES} SELECT doc_id, title, published, row_number() OVER (PARTITION BY subcategory ORDER BY doc_id DESC) AS rank FROM articles")
 def admin_articles(spark, d):
-    return articles(spark, d).select("doc_id", "title", "published", F.row_number().over(Window.partitionBy("subcategory").orderBy(F.desc("doc_id"))).cast("long").alias("rank"))
+    a = articles(spark, d).select("doc_id", "title", "published", "subcategory")
+    return ranked(a, ["subcategory"], "doc_id", "rank", descending=True).drop("subcategory")
 
 
 @query("H12_compact", r"SELECT conv_id, turn, substring(text, 1, 200) AS text, len(list_slice(string_split(text, ' '), 1, 30)) AS words FROM conversations")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -47,12 +50,14 @@ def merged_lists(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.concat("l_returnflag", "l_linestatus")))), ",").alias("steps"))
 
 
-@query("D7_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) > 1 AND sum(n) < 3000")
-@query("H18_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) > 1 AND sum(n) < 3000")
+@query("D7_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) BETWEEN 2 AND 3000 AND sum(n) < 3000")
+@query("H18_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) BETWEEN 2 AND 3000 AND sum(n) < 3000")
 def small_merged(spark, d):
+    """Items of one section become one if they are small together; ids are gathered of such sections only, so no list is long."""
     w = table(spark, d, "documents").where("n_chars < 400").select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
-    g = w.groupBy("source").agg(F.count("*").alias("merged"), F.sum("n").alias("words"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return g.where("merged > 1 AND words < 3000")
+    few = w.groupBy("source").agg(F.count("*").alias("merged"), F.sum("n").alias("words")).where("merged > 1 AND words < 3000 AND merged <= 3000")
+    ids = w.join(few, "source").groupBy("source", "merged", "words").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    return ids.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 
 @query("D8_unioned", "SELECT c_mktsegment AS name, count(*) AS entries, array_to_string(list_sort(list_distinct(list(c_nationkey))), ',') AS places FROM customer GROUP BY c_mktsegment")
@@ -60,28 +65,82 @@ def unioned(spark, d):
     return table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.count("*").alias("entries"), F.array_join(F.sort_array(F.collect_set("c_nationkey")), ",").alias("places"))
 
 
-RARE = 40
-_SETS = r"toks AS (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) tok FROM documents)), sized AS (SELECT doc_id, count(*) n FROM toks GROUP BY doc_id)"
+OVERLAP = 0.72
+#: A text inside another counts from this many characters or words on.
+LEAST_CHARS, LEAST_WORDS = 40, 8
+_KEY = r"trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_CLASSES = rf"texts AS (SELECT doc_id, {_KEY} t FROM documents), classes AS (SELECT min(doc_id) c, t FROM texts WHERE t <> '' GROUP BY t), sets AS (SELECT c, t, list_distinct(string_split(t, ' ')) w, len(string_split(t, ' ')) n FROM classes)"
+_INSIDE = f"contains(' ' || y.t || ' ', ' ' || x.t || ' ') AND length(x.t) < length(y.t) AND (length(x.t) >= {LEAST_CHARS} OR x.n >= {LEAST_WORDS})"
 
 
-@query("D9_near_duplicates", f"WITH {_SETS}, p AS (SELECT a.doc_id a, b.doc_id b, count(*) common FROM toks a JOIN toks b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a, b, floor(common / greatest(x.n, y.n)::DOUBLE * 1e4 + 0.5) / 1e4 AS overlap FROM p JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE common / greatest(x.n, y.n)::DOUBLE >= 0.72")
-def near_duplicates(spark, d):
-    """Pairs whose word sets overlap by 0.72 of the larger.
+def text_classes(spark, d):
+    """Rows of texts with their normal form, and one class for each form that has words: c (its least id), t, w (its words once each), n (its words)."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    texts = table(spark, d, "documents").select("doc_id", key.alias("t"))
+    classes = texts.where("t <> ''").groupBy("t").agg(F.min("doc_id").alias("c"))
+    words = F.split("t", " ")
+    return texts, classes.select("c", "t", F.array_distinct(words).alias("w"), F.size(words).alias("n"))
+
+
+def overlapping(sets):
+    """Pairs a < b of classes whose word sets have OVERLAP of the larger in common.
 
-    Prefix filter: words are ordered rarest first, and two sets that overlap so
-    much must share one of their first n - ceil(0.72 n) + 1 words, so only those
-    rare words are join keys; frequent words never meet. The overlap of the
-    candidates is then taken from the whole sets.
+    Words are ordered rarest first; two sets that overlap so much share one of their
+    first size - ceil(OVERLAP * size) + 1 words, and sizes must be near, so only
+    those words of sets of like size meet. What is then common is counted on both
+    whole sets.
     """
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("tok"))
+    words = sets.select("c", F.explode("w").alias("tok"))
     freq = words.groupBy("tok").agg(F.count("*").alias("f"))
-    sets = words.join(freq, "tok").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("s")).select("doc_id", F.transform("s", lambda x: x["tok"]).alias("toks"), F.size("s").alias("n"))
-    heads = sets.select("doc_id", F.explode(F.slice("toks", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 0.72) + 1).cast("int"))).alias("tok"))
-    b = heads.select(F.col("doc_id").alias("b"), "tok")
-    pairs = heads.select(F.col("doc_id").alias("a"), "tok").join(b, "tok").where("a < b").select("a", "b").distinct()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("toks").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("toks").alias("tb"))
-    share = F.size(F.array_intersect("ta", "tb")) / F.greatest(F.size("ta"), F.size("tb"))
-    return pairs.join(left, "a").join(right, "b").withColumn("o", share).where("o >= 0.72").select("a", "b", (F.floor(F.col("o") * 1e4 + 0.5) / 1e4).alias("overlap"))
+    ranked = words.join(freq, "tok").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "tok"))).alias("s")).select("c", F.transform("s", lambda x: x["tok"]).alias("s"), F.size("s").alias("m"))
+    enough = lambda size: F.ceil((size * round(100 * OVERLAP) / 100).cast("decimal(20,2)")).cast("int")
+    keep = F.col("m") - enough(F.col("m")) + 1
+    heads = ranked.select("c", "m", F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "tok"))
+    b = heads.select(F.col("c").alias("b"), F.col("m").alias("mb"), F.col("at").alias("bt"), "tok")
+    # what is left of both behind the common word bounds what they can share
+    room = F.least(F.col("m") - F.col("at"), F.col("mb") - F.col("bt")) >= enough(F.greatest("m", "mb"))
+    near = heads.withColumnRenamed("c", "a").join(b, "tok").where(F.col("a") < F.col("b")).where(room)
+    pairs = near.select("a", "b").distinct()
+    left, right = sets.select(F.col("c").alias("a"), F.col("w").alias("wa")), sets.select(F.col("c").alias("b"), F.col("w").alias("wb"))
+    share = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.size("wa"), F.size("wb"))
+    return pairs.join(left, "a").join(right, "b").where(share >= OVERLAP).select("a", "b")
+
+
+def inside(sets):
+    """Pairs a < b of classes of which one text stands inside the other, as whole words.
+
+    Each text that may stand inside another is looked up by its rarest run of three
+    words (all its words if fewer), which the longer text must have too.
+    """
+    t = sets.select("c", "t", "n", F.split("t", " ").alias("ws"))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("ws", i, k), " "))
+    # runs of one or two words are of use only if they can be a whole text
+    short = lambda k: F.filter(runs(k), lambda x: F.length(x) >= LEAST_CHARS)
+    every = F.array_distinct(F.concat(F.when(F.col("n") >= 3, runs(3)).otherwise(F.array().cast("array<string>")), short(1), short(2)))
+    have = t.select("c", F.explode(F.transform(every, lambda x: F.xxhash64(x))).alias("run"))
+    freq = have.groupBy("run").agg(F.count("*").alias("f")).where("f > 1")
+    may = t.where((F.length("t") >= LEAST_CHARS) | (F.col("n") >= LEAST_WORDS))
+    own = may.select("c", F.explode(F.when(F.col("n") >= 3, F.transform(runs(3), lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64("t")))).alias("run"))
+    rarest = own.join(freq, "run", "left").groupBy("c").agg(F.min(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "run")).alias("x")).where("x.f > 1").select("c", "x.run")
+    found = rarest.withColumnRenamed("c", "x").join(have.withColumnRenamed("c", "y"), "run").where("x <> y").select("x", "y").distinct()
+    one, two = t.select(F.col("c").alias("x"), F.col("t").alias("tx")), t.select(F.col("c").alias("y"), F.col("t").alias("ty"))
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    within = found.join(one, "x").join(two, "y").where((F.length("tx") < F.length("ty")) & F.contains(pad("ty"), pad("tx")))
+    return within.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+@query("D9_near_duplicates", f"WITH {_CLASSES}, l AS (SELECT x.c a, y.c b FROM sets x JOIN sets y ON x.c <> y.c WHERE ({_INSIDE}) OR (least(len(x.w), len(y.w)) >= {OVERLAP} * greatest(len(x.w), len(y.w)) AND len(list_intersect(x.w, y.w))::DOUBLE / greatest(len(x.w), len(y.w)) >= {OVERLAP})), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT a c, count(*) links FROM e GROUP BY a) SELECT doc_id, coalesce(classes.c, doc_id) AS class_id, coalesce(links, 0) AS n_links FROM texts LEFT JOIN classes USING (t) LEFT JOIN n ON n.c = classes.c")
+def near_duplicates(spark, d):
+    """Each document with its class of equal texts and how many other classes are nearly the same: one inside the other, or enough words in common.
+
+    Copies are folded first, so a group of copies is one class and never meets
+    itself. A text without words is a class of its own.
+    """
+    texts, sets = text_classes(spark, d)
+    links = overlapping(sets).unionByName(inside(sets)).distinct()
+    each = links.select(F.col("a").alias("c")).unionByName(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("links"))
+    named = sets.select("c", "t").join(each, "c", "left")
+    return texts.join(named, "t", "left").select("doc_id", F.coalesce("c", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 @query("D10_opening_overlap", r"WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 200)), '[a-z]{4,}')) a, list_distinct(regexp_extract_all(lower(substring(text, 201, 400)), '[a-z]{4,}')) b FROM documents) SELECT doc_id, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a)::DOUBLE ELSE 0 END >= 0.3 AS similar FROM w")
@@ -100,13 +159,67 @@ def missing_union(spark, d):
     return got.unionByName(rest)
 
 
-@query("J5_matching_article", f"WITH {ARTICLES}, q AS (SELECT doc_id, category, subcategory, substring(content, 1, 20) k FROM articles), p AS (SELECT min(doc_id) target, category, substring(content, 1, 20) k FROM articles WHERE published GROUP BY 2, 3) SELECT q.doc_id, target, CASE WHEN target IS NULL THEN 0 ELSE 8 + (q.doc_id = target)::INT * 2 END::BIGINT AS score FROM q LEFT JOIN p ON q.k = p.k AND q.category = p.category".replace("END::BIGINT", "END::BIGINT"))
-@query("J6_existing_match", f"WITH {ARTICLES}, q AS (SELECT doc_id, category, subcategory, substring(content, 1, 20) k FROM articles), p AS (SELECT min(doc_id) target, category, substring(content, 1, 20) k FROM articles WHERE published GROUP BY 2, 3) SELECT q.doc_id, target, CASE WHEN target IS NULL THEN 0 ELSE 8 + (q.doc_id = target)::INT * 2 END::BIGINT AS score FROM q LEFT JOIN p ON q.k = p.k AND q.category = p.category")
+#: What agreement of an article with a published one is worth; a match needs 8.
+AGREE = {"title": 8, "file": 3, "section": 5, "type": 2, "kind": 1}
+INSIDE_TITLE, ENOUGH = 4, 8
+_MATCHED = rf"""{ARTICLES}, m AS (SELECT doc_id, published, trim(regexp_replace(lower(split_part(content, chr(10), 1)), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) title, subcategory file, category section, contains(content, '|') type, length(content) > 1000 kind FROM articles),
+ s AS (SELECT q.doc_id, p.doc_id target, CASE WHEN q.title = p.title AND q.title <> '' THEN {AGREE['title']} WHEN q.title <> '' AND p.title <> '' AND (contains(' ' || q.title || ' ', ' ' || p.title || ' ') OR contains(' ' || p.title || ' ', ' ' || q.title || ' ')) THEN {INSIDE_TITLE} ELSE 0 END + {AGREE['file']} * (q.file = p.file)::INT + {AGREE['section']} * (q.section = p.section)::INT + {AGREE['type']} * (q.type = p.type)::INT + {AGREE['kind']} * (q.kind = p.kind)::INT score FROM m q JOIN m p ON p.published),
+ best AS (SELECT doc_id, target, score FROM s WHERE score >= {ENOUGH} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, target) = 1)"""
+
+
+def matched(spark, d):
+    """The best published article for each article: doc_id, target, score.
+
+    Every set of agreeing fields that is worth enough is an equality join with the
+    least published id of that key, so no two articles are ever compared for them;
+    titles that stand inside each other meet by the rarer title's longest word
+    among articles of one file and section, as nothing less is enough.
+    """
+    title = F.trim(F.regexp_replace(F.lower(F.split("content", "\n")[0]), r"[^\p{L}\p{N}]+", " "))
+    m = articles(spark, d).select("doc_id", "published", title.alias("title"), F.col("subcategory").alias("file"), F.col("category").alias("section"), F.contains("content", F.lit("|")).alias("type"), (F.length("content") > 1000).alias("kind"))
+    p = m.where("published")
+    found = []
+    for size in range(1, len(AGREE) + 1):
+        for keys in combinations(AGREE, size):
+            if (worth := sum(AGREE[k] for k in keys)) >= ENOUGH:
+                some = (lambda df: df.where("title <> ''")) if "title" in keys else (lambda df: df)
+                least = some(p).groupBy(*keys).agg(F.min("doc_id").alias("target"))
+                found.append(some(m).join(least, list(keys)).select("doc_id", "target", F.lit(worth).alias("score")))
+    longest = F.array_max(F.transform(F.split("title", " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    named = m.where("title <> ''")
+    points = lambda k: F.when(F.col(k) == F.col(f"p_{k}"), AGREE[k]).otherwise(0)
+    each = named.withColumn("word", F.explode(F.array_distinct(F.split("title", " "))))
+    key = named.withColumn("word", longest)
+    other = lambda df: df.where("published").select(*(F.col(c).alias(f"p_{c}") for c in ("doc_id", "title", "file", "section", "type", "kind")), "word")
+    for mine, its, outer, inner in ((each, other(key), "title", "p_title"), (key, other(each), "p_title", "title")):
+        both = mine.join(its, (mine["word"] == its["word"]) & (F.col("file") == F.col("p_file")) & (F.col("section") == F.col("p_section")))
+        inside_ = both.where((F.col("title") != F.col("p_title")) & F.contains(pad(outer), pad(inner)))
+        found.append(inside_.select("doc_id", F.col("p_doc_id").alias("target"), (INSIDE_TITLE + AGREE["file"] + AGREE["section"] + points("type") + points("kind")).alias("score")))
+        wide = mine.join(its, (mine["word"] == its["word"]) & (F.col("section") == F.col("p_section")) & (F.col("file") != F.col("p_file")))
+        some = wide.where((F.col("title") != F.col("p_title")) & F.contains(pad(outer), pad(inner)))
+        found.append(some.select("doc_id", F.col("p_doc_id").alias("target"), (INSIDE_TITLE + AGREE["section"] + points("type") + points("kind")).alias("score")))
+        file = mine.join(its, (mine["word"] == its["word"]) & (F.col("file") == F.col("p_file")) & (F.col("section") != F.col("p_section")))
+        rest = file.where((F.col("title") != F.col("p_title")) & F.contains(pad(outer), pad(inner)))
+        found.append(rest.select("doc_id", F.col("p_doc_id").alias("target"), (INSIDE_TITLE + AGREE["file"] + points("type") + points("kind")).alias("score")).where(F.col("score") >= ENOUGH))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    best = every.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("target")).alias("t"))).alias("x"))
+    return m, best.select("doc_id", (-F.col("x.t")).alias("target"), F.col("x.score").cast("long").alias("score"))
+
+
+@query("J5_matching_article", f"WITH {_MATCHED} SELECT m.doc_id, target, coalesce(score, 0)::BIGINT AS score FROM m LEFT JOIN best USING (doc_id)")
 def matching_article(spark, d):
-    """The published article with the same opening and category: equality is the block, so nothing is compared across blocks."""
-    q = articles(spark, d).select("doc_id", "category", "published", F.substring("content", 1, 20).alias("k"))
-    p = q.where("published").groupBy("category", "k").agg(F.min("doc_id").alias("target"))
-    return q.join(p, ["category", "k"], "left").select("doc_id", "target", F.when(F.col("target").isNull(), 0).otherwise(8 + (F.col("doc_id") == F.col("target")).cast("int") * 2).cast("long").alias("score"))
+    m, best = matched(spark, d)
+    return m.select("doc_id").join(best, "doc_id", "left").select("doc_id", "target", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+@query("J6_existing_match", f"WITH {_MATCHED} SELECT m.doc_id, p.title AS existing_title, target IS NOT NULL AND target <> m.doc_id AS duplicate, CASE WHEN target IS NULL THEN 'new' WHEN target = m.doc_id THEN 'published' WHEN score >= 13 THEN 'same' ELSE 'similar' END AS state FROM m LEFT JOIN best ON best.doc_id = m.doc_id LEFT JOIN m p ON p.doc_id = target")
+def existing_match(spark, d):
+    """Articles with the published one they match, and what that means for them."""
+    m, best = matched(spark, d)
+    its = m.select(F.col("doc_id").alias("target"), F.col("title").alias("existing_title"))
+    state = F.when(F.col("target").isNull(), "new").when(F.col("target") == F.col("doc_id"), "published").when(F.col("score") >= 13, "same").otherwise("similar")
+    return m.select("doc_id").join(best, "doc_id", "left").join(its, "target", "left").select("doc_id", "existing_title", (F.col("target").isNotNull() & (F.col("target") != F.col("doc_id"))).alias("duplicate"), state.alias("state"))
 
 
 @query("X_intersect", "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")

@@ -185,12 +185,23 @@ def rescue_summary(spark, d):
 
 
 @query("W16_final_buckets", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY topic, bucket ORDER BY quality DESC, words DESC, title DESC, doc_id) k FROM bucketed) SELECT doc_id, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'needs_review' ELSE bucket END AS bucket, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'recommended_cap_exceeded' END AS reason FROM r")
-@query("W17_recommendation_order", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY topic, bucket ORDER BY quality DESC, words DESC, title DESC, doc_id) k FROM bucketed) SELECT doc_id, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'needs_review' ELSE bucket END AS bucket, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'recommended_cap_exceeded' END AS reason FROM r")
 def final_buckets(spark, d):
-    """At most ten recommended of a topic (the cap is the feature), best first; the rest go to review."""
-    w = Window.partitionBy("topic", "bucket").orderBy(F.desc("quality"), F.desc("words"), F.desc("title"), "doc_id")
-    over = (F.col("bucket") == "recommended") & (F.col("k") > 10)
-    return candidates(spark, d).withColumn("k", F.row_number().over(w)).select("doc_id", F.when(over, "needs_review").otherwise(F.col("bucket")).alias("bucket"), F.when(over, "recommended_cap_exceeded").alias("reason"))
+    """At most ten recommended of a topic (the cap is the feature), best first; the rest go to review. The window keeps ten rows a partition before it shuffles."""
+    c = candidates(spark, d)
+    top = ranked_candidates(c).where("k <= 10").select("doc_id", F.lit(True).alias("kept"))
+    out = c.join(top, "doc_id", "left").withColumn("over", (F.col("bucket") == "recommended") & F.col("kept").isNull())
+    return out.select("doc_id", F.when(F.col("over"), "needs_review").otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("over"), "recommended_cap_exceeded").alias("reason"))
+
+
+def ranked_candidates(c):
+    w = Window.partitionBy("topic").orderBy(F.desc("quality"), F.desc("words"), F.desc("title"), "doc_id")
+    return c.where("bucket = 'recommended'").withColumn("k", F.row_number().over(w))
+
+
+@query("W17_recommendation_order", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY quality DESC, words DESC, title DESC, doc_id) k FROM bucketed WHERE bucket = 'recommended') SELECT doc_id, topic, k AS place FROM r WHERE k <= 10")
+def recommendation_order(spark, d):
+    """The ten best recommended of each topic in their order; equal ones with the later title first."""
+    return ranked_candidates(candidates(spark, d)).where("k <= 10").select("doc_id", "topic", F.col("k").cast("long").alias("place"))
 
 
 @query("A22_coherence", f"WITH {UNITS} SELECT parent, count(DISTINCT topic) AS topics, count(*) AS units, count(*) >= 3 AND count(DISTINCT topic) <= 4 AS coherent FROM units GROUP BY parent")

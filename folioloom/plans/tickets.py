@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators.numbering import ranked
 from folioloom.plans.registry import query
 from folioloom.sources.tables import OFFICES, TICKETS, offices, table, tickets
 
@@ -23,9 +24,10 @@ _ACTORS = "actors AS (SELECT * FROM (VALUES ('student', 7, NULL), ('student', 30
 
 @query("F2_visible_tickets", f"WITH {TICKETS} SELECT ticket_id, status, priority, office, row_number() OVER (ORDER BY updated_at DESC, ticket_id) AS rank FROM tickets WHERE office_id = 3 AND status = 'Open' AND priority IN ('Urgent', 'High')")
 def visible_tickets(spark, d):
-    """An office's open urgent and high tickets, newest first; numbered from bounded sorted rows of one office."""
+    """An office's open urgent and high tickets, newest first; numbered day by day."""
     t = tickets(spark, d).where("office_id = 3 AND status = 'Open' AND priority IN ('Urgent', 'High')")
-    return t.select("ticket_id", "status", "priority", "office", F.row_number().over(Window.partitionBy("office").orderBy(F.desc("updated_at"), "ticket_id")).cast("long").alias("rank"))
+    t = t.select("ticket_id", "status", "priority", "office", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"))
+    return ranked(t, ["office"], "at", "rank", descending=True, width=86_400_000_000, then=["ticket_id"]).drop("at")
 
 
 @query("F3_policy", f"WITH {TICKETS}, {_ACTORS} SELECT role, usr, place, count(*) AS visible, sum(CASE WHEN role <> 'student' AND status <> 'Closed' THEN 1 ELSE 0 END)::BIGINT AS updatable FROM tickets JOIN actors ON role = 'admin' OR (role = 'student' AND user_id = usr) OR (role = 'office' AND office_id = place) GROUP BY role, usr, place")
@@ -104,8 +106,8 @@ def notifications(spark, d):
 
 @query("T9_users", "SELECT c_custkey, c_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey DESC) AS rank, c_mktsegment AS role FROM customer")
 def users(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_name", F.row_number().over(w).cast("long").alias("rank"), F.col("c_mktsegment").alias("role"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("role"))
+    return ranked(c, ["role"], "c_custkey", "rank", descending=True)
 
 
 @query("W18_needs_attention", f"WITH {TICKETS} SELECT office, ticket_id, rank FROM (SELECT office, ticket_id, row_number() OVER (PARTITION BY office ORDER BY CASE priority WHEN 'Urgent' THEN 0 WHEN 'High' THEN 1 ELSE CASE WHEN status = 'Open' THEN 2 ELSE 3 END END, updated_at DESC, ticket_id) AS rank FROM tickets WHERE status IN ('Open', 'In Progress')) WHERE rank <= 4")
