@@ -122,13 +122,27 @@ def merge_rows(table: DataFrame) -> DataFrame:
     return table.repartition("block").sortWithinPartitions("block", "line").mapInPandas(run, "block long, row int, cells array<string>")
 
 
-def packed(parts: Column, limit: int, glue: str = "\n\n") -> Column:
-    """Greedy packing of strings into pieces of at most `limit` characters, as one fold; a longer string is a piece of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+def packed(parts: Column, limit: int, glue: str = "\n\n", overlap: int = 0) -> Column:
+    """Greedy packing of strings into pieces of at most `limit` characters, as one fold.
+
+    A piece that is full is followed by one that begins with its last `overlap`
+    characters. A string longer than the limit is cut: its first `limit` characters
+    are a piece, and what is left begins the next one, whole however long it is.
+    Empty strings add nothing.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (acc["now"] == "") | (F.length(acc["now"]) + len(glue) + F.length(x) <= limit)
-        more = F.when(acc["now"] == "", x).otherwise(F.concat(acc["now"], F.lit(glue), x))
-        return F.when(fits, F.struct(acc["done"].alias("done"), more.alias("now"))).otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), x.alias("now")))
+        now, done = acc["now"], acc["done"]
+        fits = (now == "") | (F.length(now) + len(glue) + F.length(x) <= limit)
+        more = F.when(now == "", x).otherwise(F.concat(now, F.lit(glue), x))
+        tail = F.when(F.length(now) > overlap, F.substr(now, F.length(now) - overlap + 1, F.lit(overlap))).otherwise(now) if overlap else F.lit("")
+        again = F.when(tail == "", x).otherwise(F.concat(tail, F.lit(glue), x)) if overlap else x
+        long = F.length(x) > limit
+        full = F.when(now == "", done).otherwise(F.concat(done, F.array(now)))
+        kept = F.struct(F.concat(full, F.array(F.substr(x, F.lit(1), F.lit(limit)))).alias("done"), F.substr(x, F.lit(limit + 1), F.length(x)).alias("now"))
+        put = F.when(fits, F.struct(done.alias("done"), more.alias("now"))).otherwise(F.struct(F.concat(done, F.array(now)).alias("done"), again.alias("now")))
+        return F.when(x == "", acc).when(long, kept).otherwise(put)
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))

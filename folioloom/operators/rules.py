@@ -6,6 +6,7 @@ hits whole words only, and a term of several words hits a phrase.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -92,3 +93,44 @@ def scored(deltas: list[tuple[str, Column, Column]]) -> tuple[Column, Column]:
 def scored_sql(deltas: list[tuple[str, str, str]]) -> tuple[str, str]:
     total = " + ".join(f"CASE WHEN {c} THEN ({v})::DOUBLE ELSE 0::DOUBLE END" for _, c, v in deltas)
     return f"({total})", "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in deltas) + "], lambda x: x IS NOT NULL)"
+
+
+# Ordered decisions: rows of (condition, outcome, reason), the first that holds wins. Conditions are SQL on columns
+# of the row; matches(column, 'pattern') is put in each engine's own way.
+
+
+def in_spark(condition: str) -> str:
+    return re.sub(r"matches\((\w+), '([^']*)'\)", r"regexp_like(\1, r'\2')", condition)
+
+
+def in_duckdb(condition: str) -> str:
+    return re.sub(r"matches\((\w+), '([^']*)'\)", r"regexp_matches(\1, '\2')", condition)
+
+
+def flag(condition: str) -> Column:
+    """The condition, false where unknown."""
+    return F.coalesce(F.expr(in_spark(condition)), F.lit(False))
+
+
+def flag_sql(condition: str) -> str:
+    return f"coalesce({in_duckdb(condition)}, false)"
+
+
+def decided(rows: list[tuple[str, str, str]], other: tuple[str, str], outcome: str = "bucket", reason: str = "reason") -> Column:
+    """A struct of outcome and reason."""
+    made = lambda a, b: F.struct(F.lit(a).alias(outcome), F.lit(b).alias(reason))
+    return F.coalesce(*(F.when(flag(c), made(a, b)) for c, a, b in rows), made(*other))
+
+
+def decided_sql(rows: list[tuple[str, str, str]], other: tuple[str, str], part: int) -> str:
+    """The outcome (0) or the reason (1)."""
+    return "CASE " + " ".join(f"WHEN {flag_sql(c)} THEN '{(a, b)[part]}'" for c, a, b in rows) + f" ELSE '{other[part]}' END"
+
+
+def named(rows: list[tuple[str, str]]) -> Column:
+    """The names of all conditions that hold, in order."""
+    return F.array_compact(F.array(*(F.when(flag(c), F.lit(n)) for n, c in rows)))
+
+
+def named_sql(rows: list[tuple[str, str]]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {flag_sql(c)} THEN '{n}' END" for n, c in rows) + "], lambda x: x IS NOT NULL)"

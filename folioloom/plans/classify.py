@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
 from folioloom.plans.registry import query
+from folioloom.plans.tickets import HIGH, MEDIUM, URGENT, _hits
 from folioloom.sources.tables import ASKED, CHUNKS, OFFICES, asked, chunks, offices, table
 
 #: category, its keywords, subcategory, its office, its keywords; in order of preference.
@@ -74,29 +75,56 @@ _DESC = "descriptors AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{t}
 _TF = r"""tf AS (SELECT id, tok, count(*)::DOUBLE n FROM (SELECT {0} id, unnest(regexp_extract_all(lower({1}), '[a-z]{{3,}}')) tok FROM {2}) GROUP BY id, tok)"""
 
 
-@query("C2_similarity", f"WITH {_DESC}, " + _TF.format("conv_id * 100 + turn", "text", "conversations") + r""", dt AS (SELECT ord, tok, count(*)::DOUBLE m FROM (SELECT ord, unnest(regexp_extract_all(lower(words), '[a-z]{3,}')) tok FROM descriptors) GROUP BY ord, tok),
+def _similar_sql(key: str, text: str, source: str) -> str:
+    """The nearest descriptor of each text: id, ord, sim."""
+    return f"{_DESC}, " + _TF.format(key, text, source) + r""", dt AS (SELECT ord, tok, count(*)::DOUBLE m FROM (SELECT ord, unnest(regexp_extract_all(lower(words), '[a-z]{3,}')) tok FROM descriptors) GROUP BY ord, tok),
  dn AS (SELECT ord, sqrt(sum(m * m)) nrm FROM dt GROUP BY ord), tn AS (SELECT id, sqrt(sum(n * n)) nrm FROM tf GROUP BY id),
- s AS (SELECT tf.id, dt.ord, sum(n * m) / (any_value(tn.nrm) * any_value(dn.nrm)) sim FROM tf JOIN dt USING (tok) JOIN tn ON tn.id = tf.id JOIN dn ON dn.ord = dt.ord GROUP BY tf.id, dt.ord)
- SELECT id, ord::BIGINT AS ord, category, floor(least(0.7, sim) * 1000 + 0.5) / 1000 AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(sim * 1e9) DESC, ord) r FROM s) JOIN descriptors USING (ord) WHERE r = 1""")
-def similarity(spark, d):
-    """Term-frequency cosine against each descriptor; texts that share no term with any give no row."""
+ s AS (SELECT tf.id, dt.ord, sum(n * m) / (any_value(tn.nrm) * any_value(dn.nrm)) sim FROM tf JOIN dt USING (tok) JOIN tn ON tn.id = tf.id JOIN dn ON dn.ord = dt.ord GROUP BY tf.id, dt.ord),
+ nearest AS (SELECT id, ord::BIGINT AS ord, category alike, floor(least(0.7, sim) * 1000 + 0.5) / 1000 likeness FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(sim * 1e9) DESC, ord) r FROM s) JOIN descriptors USING (ord) WHERE r = 1)"""
+
+
+def nearest_descriptor(texts):
+    """texts: id, text. Term-frequency cosine against each descriptor; texts that share no term with any give no row. Descriptors are a rule table of fixed size."""
     token = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0))
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.explode(token("text")).alias("tok")).groupBy("id", "tok").agg(F.count("*").cast("double").alias("n"))
-    desc = spark.createDataFrame(DESCRIPTORS, "ord long, category string, words string")
+    t = texts.select("id", F.explode(token("text")).alias("tok")).groupBy("id", "tok").agg(F.count("*").cast("double").alias("n"))
+    desc = texts.sparkSession.createDataFrame(DESCRIPTORS, "ord long, category string, words string")
     dt = desc.select("ord", F.explode(token("words")).alias("tok")).groupBy("ord", "tok").agg(F.count("*").cast("double").alias("m"))
     dn = dt.groupBy("ord").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("dn"))
     tn = t.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("tn"))
     dots = t.join(F.broadcast(dt), "tok").groupBy("id", "ord").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
     s = dots.join(tn, "id").join(F.broadcast(dn), "ord").withColumn("sim", F.col("dot") / (F.col("tn") * F.col("dn")))
     best = s.groupBy("id").agg(F.max_by(F.struct("ord", "sim"), F.struct(F.floor(F.col("sim") * 1e9), -F.col("ord"))).alias("x"))
-    return best.select("id", "x.ord", "x.sim").join(F.broadcast(desc), "ord").select("id", "ord", "category", (F.floor(F.least(F.lit(0.7), "sim") * 1000 + 0.5) / 1000).alias("confidence"))
+    return best.select("id", "x.ord", "x.sim").join(F.broadcast(desc), "ord").select("id", "ord", F.col("category").alias("alike"), (F.floor(F.least(F.lit(0.7), "sim") * 1000 + 0.5) / 1000).alias("likeness"))
+
+
+@query("C2_similarity", f"WITH {_similar_sql('conv_id * 100 + turn', 'text', 'conversations')} SELECT id, ord, alike AS category, likeness AS confidence FROM nearest")
+def similarity(spark, d):
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return nearest_descriptor(t).select("id", "ord", F.col("alike").alias("category"), F.col("likeness").alias("confidence"))
+
 
+RULE_ENOUGH, WEAK = 0.72, 0.45
+_METHOD = f"CASE WHEN confidence >= {RULE_ENOUGH} OR likeness IS NULL OR likeness <= confidence THEN 'rule' ELSE 'similarity' END"
 
-@query("C3_cascade", f"WITH {_TAXONOMY}, {_best('documents', 'doc_id', 'text')} SELECT doc_id, CASE WHEN confidence >= 0.72 THEN 'rule' WHEN confidence >= 0.45 THEN 'weak_rule' ELSE 'review' END AS method, count(*) OVER (PARTITION BY CASE WHEN confidence >= 0.72 THEN 'rule' WHEN confidence >= 0.45 THEN 'weak_rule' ELSE 'review' END) AS n FROM classed")
+
+def _cascade_sql(source: str, key: str, text: str) -> str:
+    """Rules, then similarity: chosen has the key, category, office, method and confidence."""
+    return f"{_TAXONOMY}, {_best(source, key, text)}, {_similar_sql(key, text, source)}, both_ AS (SELECT classed.*, alike, likeness, {_METHOD} method FROM classed LEFT JOIN nearest ON nearest.id = classed.{key}), chosen AS (SELECT {key}, CASE WHEN method = 'rule' THEN category ELSE alike END category, CASE WHEN method = 'rule' THEN office END office, method, CASE WHEN method = 'rule' THEN confidence ELSE likeness END confidence FROM both_)"
+
+
+def cascaded(df, key: str, text: str):
+    """Rules win from RULE_ENOUGH on; below, similarity wins if it is strictly better."""
+    found = classed(df, text).join(nearest_descriptor(df.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumnRenamed("id", key).drop("ord"), key, "left")
+    rule = F.coalesce((F.col("confidence") >= RULE_ENOUGH) | F.col("likeness").isNull() | (F.col("likeness") <= F.col("confidence")), F.lit(True))
+    out = found.withColumn("rule", rule)
+    return out.select(key, F.when(F.col("rule"), F.col("category")).otherwise(F.col("alike")).alias("category"), F.when(F.col("rule"), F.col("office")).alias("office"), F.when(F.col("rule"), "rule").otherwise("similarity").alias("method"), F.when(F.col("rule"), F.col("confidence")).otherwise(F.col("likeness")).alias("confidence"))
+
+
+@query("C3_cascade", f"WITH {_cascade_sql('documents', 'doc_id', 'text')} SELECT doc_id, category, method, confidence, confidence < {WEAK} AS ask FROM chosen")
 def cascade(spark, d):
-    m = F.when(F.col("confidence") >= 0.72, "rule").when(F.col("confidence") >= 0.45, "weak_rule").otherwise("review")
-    c = classed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", m.alias("method"))
-    return c.join(F.broadcast(c.groupBy("method").agg(F.count("*").alias("n"))), "method")
+    """`ask` marks what is too uncertain for both, where a further judge would be asked."""
+    c = cascaded(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return c.select("doc_id", "category", "method", "confidence", (F.col("confidence") < WEAK).alias("ask"))
 
 
 @query("C4_enriched", f"WITH {CHUNKS}, {_TAXONOMY}, h AS (SELECT doc_id, chunk_index, lang || ' ' || source || ' ' || text hay FROM chunks), {_best('h', 'doc_id, chunk_index', 'hay')} SELECT doc_id, chunk_index, category, coalesce(office, 'Unassigned') AS office, confidence FROM classed")
@@ -205,9 +233,20 @@ def office_cascade(spark, d):
     return best.select("c_custkey", F.coalesce("x.office", F.lit("ALGERIA")).alias("office"), F.coalesce("x.tier", F.lit(2)).cast("long").alias("tier"))
 
 
-@query("C23_triage", rf"WITH {ASKED}, {_TAXONOMY}, {_best('asked', 'conv_id', 'question')} SELECT conv_id, category, coalesce(office, 'ALGERIA') AS office, confidence FROM classed")
+_TOLD = "told AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) told FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+_LEVEL = f"CASE WHEN {_hits('k', URGENT)} >= 1 THEN 'Urgent' WHEN {_hits('k', HIGH)} + {_hits('p', HIGH)} >= 2 THEN 'High' WHEN {_hits('k', MEDIUM)} >= 1 THEN 'Medium' ELSE 'Low' END"
+
+
+@query("C23_triage", rf"WITH {ASKED}, {_TOLD}, {_cascade_sql('asked', 'conv_id', 'question')}, n AS (SELECT conv_id, trim(regexp_replace(lower(told), '\s+', ' ', 'g')) k, trim(regexp_replace(lower(told), '[^a-z0-9]+', ' ', 'g')) p FROM told), o AS (SELECT conv_id, CASE WHEN office IS NOT NULL THEN office " + " ".join(f"WHEN contains(k, '{a}') THEN 'desk {o}'" for o, a, _ in WORDS) + f" ELSE 'ALGERIA' END office, {_LEVEL} priority, category, method, confidence FROM chosen JOIN n USING (conv_id)) SELECT conv_id, category, method, office, priority, confidence FROM o")
 def triage(spark, d):
-    return classed(asked(spark, d), "question").select("conv_id", "category", F.coalesce("office", F.lit("ALGERIA")).alias("office"), "confidence")
+    """Category by the cascade on the question, office of the rule or of an alias in the whole request, priority by its words."""
+    c = table(spark, d, "conversations").where("role = 'user'")
+    told = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("told"))
+    k, p = tf.normal("told"), tf.title_key("told")
+    level = F.when(tf.hits(k, URGENT) >= 1, "Urgent").when(tf.hits(k, HIGH) + tf.hits(p, HIGH) >= 2, "High").when(tf.hits(k, MEDIUM) >= 1, "Medium").otherwise("Low")
+    alias = F.coalesce(*(F.when(F.contains(k, F.lit(a)), F.lit(f"desk {o}")) for o, a, _ in WORDS), F.lit("ALGERIA"))
+    told = told.select("conv_id", level.alias("priority"), alias.alias("alias"))
+    return cascaded(asked(spark, d), "conv_id", "question").join(told, "conv_id").select("conv_id", "category", "method", F.coalesce("office", "alias").alias("office"), "priority", "confidence")
 
 
 @query("C28_intents", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^the') THEN 'policy' WHEN contains(text, '|') THEN 'form' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'requirement' ELSE 'information' END AS article_type, (regexp_matches(text, '(?i)licen[sc]e')::INT + regexp_matches(text, '\|')::INT + regexp_matches(text, '(?i)\bthe\b')::INT)::BIGINT AS intents FROM documents")

@@ -68,7 +68,8 @@ def service_tables(spark, d):
 
 @query("X2_packed_paragraphs")
 def packed_paragraphs(spark, d):
-    made = table(spark, d, "documents").select("doc_id", layout.packed(F.split("text", "\n"), 1200).alias("parts"))
+    """Paragraphs packed to 1,200 characters, each piece after the first beginning with the last 150 of the one before."""
+    made = table(spark, d, "documents").select("doc_id", layout.packed(F.split("text", "\n"), 1200, overlap=150).alias("parts"))
     return made.select("doc_id", F.posexplode("parts").alias("chunk_index", "text")).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("size"))
 
 

@@ -81,11 +81,6 @@ def title_flags(spark, d):
     return units(spark, d).select("doc_id", F.array_join(F.array_compact(F.array(*(F.when(F.col("title").rlike(p), F.lit(n)) for n, p in TITLE_FLAGS))), ",").alias("flags"))
 
 
-@query("F16_publish_gate", f"WITH {UNITS} SELECT doc_id, CASE WHEN title = '' THEN 'no title' WHEN words < 20 THEN 'too short' WHEN toc THEN 'contents' END AS error FROM units")
-def publish_gate(spark, d):
-    return units(spark, d).select("doc_id", F.coalesce(F.when(F.col("title") == "", F.lit("no title")), F.when(F.col("words") < 20, F.lit("too short")), F.when(F.col("toc"), F.lit("contents"))).alias("error"))
-
-
 @query("F19_document_kind_gate", r"SELECT doc_id, (regexp_matches(text, '(?i)\bthe\b')::INT + regexp_matches(text, '(?i)licen[sc]e')::INT + regexp_matches(text, '\|')::INT) >= 2 AS handbook FROM documents")
 def document_kind_gate(spark, d):
     n = reduce(lambda a, b: a + b, (F.col("text").rlike(p).cast("int") for p in (r"(?i)\bthe\b", "(?i)licen[sc]e", r"\|")))
@@ -161,17 +156,6 @@ def usefulness(spark, d):
     return table(spark, d, "documents").select("doc_id", (1.5 * tf.hits(low, ["the", "ing"]) - 2 * tf.hits(low, ["license", "|"]) - F.when(F.startswith("text", F.lit("The")), 2.5).otherwise(0.0)).cast("double").alias("usefulness"))
 
 
-@query("F17_recommendation_gate", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, len(reasons) = 0 AND title <> '' AND quality >= 5.5 AND words BETWEEN 50 AND 900 AS passes FROM candidates")
-def recommendation_gate(spark, d):
-    return candidates(spark, d).select("doc_id", ((F.size("reasons") == 0) & (F.col("title") != "") & (F.col("quality") >= 5.5) & F.col("words").between(50, 900)).alias("passes"))
-
-
-@query("F18_blockers", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, array_to_string(list_filter([CASE WHEN path IS NULL THEN 'no_office' END, CASE WHEN words < 50 THEN 'no_steps' END, CASE WHEN toc THEN 'contents' END], lambda x: x IS NOT NULL), ',') AS blockers FROM candidates")
-def blockers(spark, d):
-    b = F.array_compact(F.array(F.when(F.col("path").isNull(), F.lit("no_office")), F.when(F.col("words") < 50, F.lit("no_steps")), F.when(F.col("toc"), F.lit("contents"))))
-    return candidates(spark, d).select("doc_id", F.array_join(b, ",").alias("blockers"))
-
-
 @query("A10_review_groups", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT topic, parent, count(*) AS total, count_if(bucket = 'recommended') AS recommended, count_if(bucket = 'needs_review') AS needs_review, count_if(quality < 2) AS low_confidence FROM bucketed GROUP BY topic, parent")
 def review_groups(spark, d):
     of = lambda b: F.count_if(F.col("bucket") == b)
@@ -179,31 +163,10 @@ def review_groups(spark, d):
 
 
 @query("A11_rescue_summary", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT bucket, count(*) AS units, count_if(title = '') AS untitled, count_if(toc) AS toc, count_if(path IS NULL) AS unplaced, max(quality) AS best FROM bucketed GROUP BY bucket")
-@query("A12_funnel", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT bucket, count(*) AS units, count_if(title = '') AS untitled, count_if(toc) AS toc, count_if(path IS NULL) AS unplaced, max(quality) AS best FROM bucketed GROUP BY bucket")
 def rescue_summary(spark, d):
     return candidates(spark, d).groupBy("bucket").agg(F.count("*").alias("units"), F.count_if(F.col("title") == "").alias("untitled"), F.count_if("toc").alias("toc"), F.count_if(F.col("path").isNull()).alias("unplaced"), F.max("quality").alias("best"))
 
 
-@query("W16_final_buckets", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY topic, bucket ORDER BY quality DESC, words DESC, title DESC, doc_id) k FROM bucketed) SELECT doc_id, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'needs_review' ELSE bucket END AS bucket, CASE WHEN bucket = 'recommended' AND k > 10 THEN 'recommended_cap_exceeded' END AS reason FROM r")
-def final_buckets(spark, d):
-    """At most ten recommended of a topic (the cap is the feature), best first; the rest go to review. The window keeps ten rows a partition before it shuffles."""
-    c = candidates(spark, d)
-    top = ranked_candidates(c).where("k <= 10").select("doc_id", F.lit(True).alias("kept"))
-    out = c.join(top, "doc_id", "left").withColumn("over", (F.col("bucket") == "recommended") & F.col("kept").isNull())
-    return out.select("doc_id", F.when(F.col("over"), "needs_review").otherwise(F.col("bucket")).alias("bucket"), F.when(F.col("over"), "recommended_cap_exceeded").alias("reason"))
-
-
-def ranked_candidates(c):
-    w = Window.partitionBy("topic").orderBy(F.desc("quality"), F.desc("words"), F.desc("title"), "doc_id")
-    return c.where("bucket = 'recommended'").withColumn("k", F.row_number().over(w))
-
-
-@query("W17_recommendation_order", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY quality DESC, words DESC, title DESC, doc_id) k FROM bucketed WHERE bucket = 'recommended') SELECT doc_id, topic, k AS place FROM r WHERE k <= 10")
-def recommendation_order(spark, d):
-    """The ten best recommended of each topic in their order; equal ones with the later title first."""
-    return ranked_candidates(candidates(spark, d)).where("k <= 10").select("doc_id", "topic", F.col("k").cast("long").alias("place"))
-
-
 @query("A22_coherence", f"WITH {UNITS} SELECT parent, count(DISTINCT topic) AS topics, count(*) AS units, count(*) >= 3 AND count(DISTINCT topic) <= 4 AS coherent FROM units GROUP BY parent")
 def coherence(spark, d):
     return units(spark, d).groupBy("parent").agg(F.count_distinct("topic").alias("topics"), F.count("*").alias("units")).select("parent", "topics", "units", ((F.col("units") >= 3) & (F.col("topics") <= 4)).alias("coherent"))
@@ -224,26 +187,6 @@ def priorities(spark, d):
     return F.broadcast(p).join(n, "topic", "left").select("name", F.coalesce("units", F.lit(0)).alias("units"), F.when(F.col("units") > 0, "found").otherwise("missing").alias("status"))
 
 
-@query("C29_tag_units", f"WITH {UNITS}, {_STATUS} SELECT doc_id, CASE WHEN title = '' THEN 'rag_only' WHEN toc THEN 'invalid' WHEN words > 1200 THEN 'rag_only' WHEN regexp_matches(content, '(?i)licen[sc]e') THEN 'eligible_requirement' ELSE 'eligible' END AS tag FROM status")
-def tag_units(spark, d):
-    return units(spark, d).select("doc_id", F.when(F.col("title") == "", "rag_only").when(F.col("toc"), "invalid").when(F.col("words") > 1200, "rag_only").when(F.col("content").rlike("(?i)licen[sc]e"), "eligible_requirement").otherwise("eligible").alias("tag"))
-
-
-@query("C30_audience", f"WITH {UNITS}, s AS (SELECT doc_id, contains(lower(content), 'the')::INT + contains(lower(content), 'que')::INT student, regexp_matches(content, '[#$%&*]{{3}}')::INT * 2 + (words < 15)::INT internal FROM units) SELECT doc_id, CASE WHEN student > internal THEN 'student' WHEN internal > student THEN 'internal' ELSE 'ambiguous' END AS audience FROM s")
-def audience(spark, d):
-    low = F.lower("content")
-    student = tf.hits(low, ["the", "que"])
-    internal = F.col("content").rlike("[#$%&*]{3}").cast("int") * 2 + (F.col("words") < 15).cast("int")
-    return units(spark, d).select("doc_id", F.when(student > internal, "student").when(internal > student, "internal").otherwise("ambiguous").alias("audience"))
-
-
-@query("C31_decision", f"WITH {UNITS} SELECT doc_id, CASE WHEN words < 5 THEN 'low_quality' WHEN toc THEN 'rag_only' WHEN title = '' THEN 'low_quality' WHEN path IS NULL THEN 'needs_review' WHEN words < 60 THEN 'needs_review' ELSE 'recommended' END AS bucket, CASE WHEN words < 5 THEN 'truncated' WHEN toc THEN 'reference' WHEN title = '' THEN 'field_label' WHEN path IS NULL THEN 'missing_office' WHEN words < 60 THEN 'incomplete_steps' ELSE 'complete' END AS reason FROM units")
-def decision(spark, d):
-    b = lambda bucket, reason: F.struct(F.lit(bucket).alias("bucket"), F.lit(reason).alias("reason"))
-    x = F.when(F.col("words") < 5, b("low_quality", "truncated")).when(F.col("toc"), b("rag_only", "reference")).when(F.col("title") == "", b("low_quality", "field_label")).when(F.col("path").isNull(), b("needs_review", "missing_office")).when(F.col("words") < 60, b("needs_review", "incomplete_steps")).otherwise(b("recommended", "complete"))
-    return units(spark, d).select("doc_id", x.alias("x")).select("doc_id", "x.*")
-
-
 @query("C32_completeness", f"WITH {UNITS} SELECT doc_id, ((title <> '')::INT + (path IS NOT NULL)::INT + (words >= 20)::INT + (words >= 50)::INT + (NOT toc)::INT + contains(content, '.')::INT + contains(content, ',')::INT + (length(content) > 500)::INT)::BIGINT AS points FROM units")
 def completeness(spark, d):
     parts = [F.col("title") != "", F.col("path").isNotNull(), F.col("words") >= 20, F.col("words") >= 50, ~F.col("toc"), F.contains("content", F.lit(".")), F.contains("content", F.lit(",")), F.length("content") > 500]

@@ -140,4 +140,7 @@ def test_packed(spark):
     from folioloom.operators import layout
 
     df = spark.createDataFrame([(["aa", "bb", "cccc", "ddddddddd", "e"],)], "x array<string>")
-    assert df.select(layout.packed(F.col("x"), 8).alias("y")).first().y == ["aa\n\nbb", "cccc", "ddddddddd", "e"]
+    assert df.select(layout.packed(F.col("x"), 8).alias("y")).first().y == ["aa\n\nbb", "cccc", "dddddddd", "d\n\ne"]
+    # each piece after the first begins with the end of the one before; what is left of a long string stays whole
+    df = spark.createDataFrame([(["abcdef", "", "ghij", "k" * 30, "l"],)], "x array<string>")
+    assert df.select(layout.packed(F.col("x"), 10, "/", overlap=3).alias("y")).first().y == ["abcdef", "def/ghij", "k" * 10, "k" * 20, "kkk/l"]
