@@ -31,15 +31,18 @@ def _folded(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int, prime: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or modulo 2**31 - 1."""
+    """base**0 .. base**(n-1) modulo 2**64, or modulo 2**31 - 1 (in 32 bits)."""
     have = _POWERS.get((base, prime))
     if have is None or len(have) < n:
         # rounded up, so that blocks of nearly one size share a table
+        size = -(-n // (1 << 16)) << 16
         have = np.ones(1, np.uint64)
-        while len(have) < max(1 << 16, n):
+        while len(have) < size:
             step = np.uint64(pow(base, len(have), _PRIME if prime else 1 << 64))
-            have = np.concatenate([have, _folded(have * step) if prime else have * step])
-        if n <= 4 * STEP:
+            more = have[: size - len(have)] * step
+            have = np.concatenate([have, _folded(more) if prime else more])
+        have = have.astype(np.uint32) if prime else have
+        if n <= 2 * STEP:
             _POWERS[base, prime] = have
     return have[:n]
 
@@ -140,7 +143,7 @@ def prefix(data: np.ndarray) -> tuple[np.ndarray, ...]:
     wide, out = data.astype(np.uint64) + np.uint64(1), []
     for base in _BASES:
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_folded(wide * powers(len(data), base, True)), out=sums[1:])
+        np.cumsum(_folded(wide * powers(len(data), base, True).astype(np.uint64)), out=sums[1:])
         out.append(sums)
     return tuple(out)
 
@@ -149,7 +152,7 @@ def ranges(sums: tuple[np.ndarray, ...], start: np.ndarray, end: np.ndarray) ->
     """Hashes of byte ranges, equal for equal bytes wherever they stand: polynomials of two bases modulo a prime, with the length."""
     out = (end - start).astype(np.uint64)
     for own, inverse in zip(sums, _INVERSES, strict=True):
-        out = out * np.uint64(_P) ^ _folded(_folded(own[end] - own[start]) * powers(len(own), inverse, True)[start]) << np.uint64(16)
+        out = out * np.uint64(_P) ^ _folded(_folded(own[end] - own[start]) * powers(len(own), inverse, True)[start].astype(np.uint64)) << np.uint64(16)
     return mix(out)
 
 
