@@ -90,8 +90,8 @@ def distinct(data: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray,
     every = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
     coded = every.dictionary_encode()
     number = np.asarray(coded.indices).astype(np.int64)
-    first = np.full(len(coded.dictionary), len(size), np.int64)
-    np.minimum.at(first, number, np.arange(len(size)))
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[number[::-1]] = np.arange(len(size) - 1, -1, -1)  # the last to be put is the first to stand
     return coded.dictionary, first, number
 
 
