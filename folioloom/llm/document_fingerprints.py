@@ -55,6 +55,12 @@ def sketches(column: pa.Array, k: int = WORDS, fraction: float = FRACTION) -> li
     return np.split(h, np.searchsorted(d, np.arange(1, len(off) - 1))) if len(off) > 1 else []
 
 
+def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of the union of what two sketches stand for."""
+    h = np.union1d(a, b)
+    return h[(h < np.uint64(min(fraction, 1) * (2**64 - 1024))) | (h == h[:1])] if len(h) else h
+
+
 def text_of(sketch: np.ndarray) -> str:
     return sketch.astype(">u8").tobytes().hex()
 

@@ -11,7 +11,7 @@ are dropped once every seed they hold has passed.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import _repeats as rp
 from . import _text as tx
 
-BATCH = 1 << 17
+BATCH = 1 << 14
 HOT = 4096  # fragments that one seed may bring to one task
 
 
@@ -107,7 +107,7 @@ class Level:
 
     def merged(self, other: Level, place: np.ndarray) -> Level:
         """One level of both; the sorted orders are merged, not sorted anew."""
-        out = object.__new__(Level)
+        out = object.__new__(type(self))
         out.length = self.length
         out.text = np.concatenate([self.text, other.text])
         out.windows = np.concatenate([self.windows, other.windows + len(self.text)])
@@ -130,8 +130,8 @@ class Level:
 class Family:
     """The matcher of one task."""
 
-    def __init__(self, length: int):
-        self.length = length
+    def __init__(self, length: int, level: type[Level] = Level):
+        self.length, self.level = length, level
         self.levels: list[Level] = []
         self.route = None
         self.seen: dict[bytes, int] = {}
@@ -167,7 +167,7 @@ class Family:
         begin = np.cumsum(size) - size
         at = np.cumsum(count) - count
         windows = np.repeat(begin - at, count) + np.arange(count.sum())
-        new = Level(text, windows, self.length)
+        new = self.level(text, windows, self.length)
         new.notes = [(x[0], x[1], int(y)) for x, y in zip(self.fresh, at, strict=True)]
         self.fresh, self.waiting = [], 0
         places = [level.scan(new) for level in self.levels]
@@ -222,6 +222,11 @@ def _kept(length: int, with_text: bool):
     return run
 
 
+def covered(docs: DataFrame, family: Callable, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = 32, hot: int = HOT) -> DataFrame:
+    """Rows of docs with the byte ranges that stand elsewhere too, found by a family in each task."""
+    return rp.covered(docs, id_col, text_col, "bytes", length, k, family, True, hot)
+
+
 def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, k: int = 32, with_text: bool = True, hot: int = HOT) -> DataFrame:
     """Removes each byte covered by a `length`-byte string that also starts elsewhere.
 
@@ -231,7 +236,7 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies of each other, so texts of `length` bytes or more with a copy go whole.
     Other columns are ignored, so their names cannot clash.
     """
-    rows = rp.covered(docs, id_col, text_col, "bytes", length, k, Family, True, hot)
+    rows = covered(docs, Family, id_col, text_col, length, k, hot)
     return rows.select("d", "text", "copies", "spans").mapInArrow(_kept(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
