@@ -13,10 +13,13 @@ FEW = 1000  # rows of one key that are no burden to a task
 def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows joined to groups, which hold one row a key and in `size` how many of the `total` rows have it.
 
-    Fewer than HEAVY keys can hold more than a HEAVY-th of all rows each: those groups
-    are broadcast, so their rows stay where they are; the others are joined by key.
+    Fewer than HEAVY keys can hold more than a HEAVY-th of all rows each: if there are
+    such groups, they are broadcast, so their rows stay where they are; the others
+    are joined by key.
     """
     bound = max(FEW, total // HEAVY)
+    if groups.where(F.col(size) > bound).isEmpty():
+        return rows.join(groups, keys)
     heavy = F.broadcast(groups.where(F.col(size) > bound))
     light = rows.join(heavy.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= bound), keys)
     return rows.join(heavy, keys).unionByName(light)

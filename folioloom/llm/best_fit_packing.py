@@ -32,6 +32,7 @@ PARTNERS = 12
 STEPS = 1000  # of one fit, at most
 CLOSE = 1e-4  # a fit is done when a step lowers its residual by less than this share
 FITS = 3
+ROUNDED = 0.05  # a fit's remainder from which a pattern may be used once more
 
 
 def _pieces(path: str, length: int, end_id: int):
@@ -54,30 +55,33 @@ def _pieces(path: str, length: int, end_id: int):
     return run
 
 
-def patterns(histogram: np.ndarray, limit: int) -> list[tuple[int, ...]]:
-    """Multisets of two to four present lengths that sum to the limit."""
-    present = np.flatnonzero(histogram)
-    have = set(present.tolist())
-    common = present[np.argsort(-histogram[present], kind="stable")][: 4 * PARTNERS].tolist()
-    found = {(a, limit - a) for a in have if a <= limit - a and limit - a in have}
-    order = sorted(have)
-    for a in order:
-        spread = order[:: max(1, len(order) // PARTNERS)]
-        for b in {*common[:PARTNERS], *spread}:
-            if (c := limit - a - b) in have:
-                found.add(tuple(sorted((a, b, c))))
-            for e in common[:PARTNERS]:
-                if (c := limit - a - b - e) in have:
-                    found.add(tuple(sorted((a, b, c, e))))
-    return sorted(found)
-
-
-def fitted(histogram: np.ndarray, chosen: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+def patterns(histogram: np.ndarray, limit: int) -> np.ndarray:
+    """Multisets of two to four present lengths that sum to the limit: rows in ascending order, with zeros before."""
+    have = histogram > 0
+    order = np.flatnonzero(have)
+    if not len(order):
+        return np.zeros((0, 4), np.int64)
+    common = order[np.argsort(-histogram[order], kind="stable")][:PARTNERS]
+    partners = np.union1d(common, order[:: max(1, len(order) // PARTNERS)])
+
+    def ending(*parts: np.ndarray) -> np.ndarray:
+        """The parts with the length that fills the sequence, where it is present."""
+        last = limit - sum(parts)
+        ok = (last > 0) & have[np.maximum(last, 0)]
+        rows = np.stack([*np.broadcast_arrays(*parts, last)], axis=-1)[ok]
+        return np.pad(rows, ((0, 0), (4 - rows.shape[1], 0)))
+
+    b, e = partners[None, :], common[None, None, :]
+    found = [ending(order), ending(order[:, None], b), ending(order[:, None, None], b[:, :, None], e)]
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+def fitted(histogram: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative x minimising |A x - histogram| for pattern columns A, by multiplicative updates until they gain little; and histogram - A x."""
-    if not chosen:
+    if not len(chosen):
         return np.zeros(0), histogram.astype(float)
-    which = np.repeat(np.arange(len(chosen)), [len(p) for p in chosen])
-    item = np.concatenate([np.array(p) for p in chosen])
+    which, _ = np.nonzero(chosen)
+    item = chosen[chosen > 0]
     target = np.bincount(which, histogram[item].astype(float))
     x = np.full(len(chosen), 1.0)
     made = np.bincount(item, x[which], len(histogram))
@@ -104,24 +108,28 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[int, ..
     chosen = patterns(left, limit)
     x, rest = fitted(left, chosen)
     for _ in range(FITS - 1):
-        more = sorted({*chosen, *patterns(np.maximum(np.rint(rest), 0).astype(np.int64), limit)})
+        more = np.unique(np.concatenate([chosen, patterns(np.maximum(np.rint(rest), 0).astype(np.int64), limit)]), axis=0)
         if len(more) == len(chosen):
             break
         chosen = more
         x, rest = fitted(left, chosen)
 
     def take(i: int, most: int) -> None:
-        need = Counter(chosen[i])
+        items = tuple(v for v in chosen[i].tolist() if v)
+        need = Counter(items)
         times = min(most, *(int(left[size]) // n for size, n in need.items()))
         if times > 0:
-            out.append((times, chosen[i]))
+            out.append((times, items))
             for size, n in need.items():
                 left[size] -= times * n
 
     whole = np.floor(x).astype(np.int64)
-    for i in np.argsort(-x, kind="stable").tolist():
+    order = np.argsort(-x, kind="stable")
+    for i in order[whole[order] > 0].tolist():
         take(i, int(whole[i]))
-    for i in np.argsort(whole - x, kind="stable").tolist():
+    part = x - whole
+    order = np.argsort(-part, kind="stable")
+    for i in order[part[order] > ROUNDED].tolist():
         take(i, 1)
     return out + _best_fit(left, limit)
 

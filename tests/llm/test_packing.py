@@ -35,9 +35,9 @@ def test_patterns_and_fit():
     h = np.zeros(101, np.int64)
     h[[30, 70, 50]] = [10, 10, 4]
     chosen = bp.patterns(h, 100)
-    assert (30, 70) in chosen and (50, 50) in chosen
     x, rest = bp.fitted(h, chosen)
-    x = dict(zip(chosen, x, strict=True))
+    x = dict(zip((tuple(v for v in p if v) for p in chosen.tolist()), x, strict=True))
+    assert (50, 50) in x
     assert abs(x[30, 70] - 10) < 0.5
     assert np.abs(rest).max() < 0.5
 
