@@ -81,6 +81,7 @@ def pieces(batch: pa.RecordBatch, name: str = "text", step: int = STEP) -> Itera
         end = max(at + 1, int(np.searchsorted(off, off[at] + step, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def distinct(data: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
