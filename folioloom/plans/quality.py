@@ -87,11 +87,11 @@ def document_kind_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", (n >= 2).alias("handbook"))
 
 
-@query("F23_foreign_terms", "SELECT doc_id, list_has_any(list_filter(['license', 'hanre', 'wher'], lambda t: contains(lower(text), t)), ['license']) AND NOT contains(lower(substring(text, 1, 200)), 'license') AS foreign_term FROM documents")
+@query("F23_foreign_terms", "SELECT doc_id, list_has_any(list_filter(['license', 'hanre', 'wher'], lambda t: contains(lower(text), t)), ['license']) AND NOT contains(lower(split_part(text, chr(10), 1)), 'license') AS foreign_term FROM documents")
 def foreign_terms(spark, d):
     groups = F.array(*(F.lit(x) for x in ("license", "hanre", "wher")))
     found = F.filter(groups, lambda t: F.contains(F.lower("text"), t))
-    return table(spark, d, "documents").select("doc_id", (F.array_contains(found, "license") & ~F.contains(F.lower(F.substring("text", 1, 200)), F.lit("license"))).alias("foreign_term"))
+    return table(spark, d, "documents").select("doc_id", (F.array_contains(found, "license") & ~F.contains(F.lower(F.split("text", "\n")[0]), F.lit("license"))).alias("foreign_term"))
 
 
 @query("A5_validation_report", f"WITH {UNITS}, {_STATUS} SELECT parent, count(*) AS units, sum(words)::BIGINT AS words, floor(avg(words) * 1e4 + 0.5) / 1e4 AS mean_words, max(words) AS most, min(words) AS least, count_if(path IS NULL) AS missing_metadata, count_if(toc) AS toc_like, count_if(len(reasons) > 0) AS suspicious, count_if(words > 1000) AS oversized, count(DISTINCT topic) AS topics FROM status GROUP BY parent")

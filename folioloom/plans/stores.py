@@ -83,9 +83,14 @@ def reset(spark, d):
     return chunks(spark, d).agg(F.count("*").alias("removed")).crossJoin(F.broadcast(left))
 
 
-@query("S14_rebuild_summary", f"WITH {CHUNKS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, count(DISTINCT lang) AS categories, count(DISTINCT source) AS offices FROM chunks")
+@query("S14_rebuild_summary", f"WITH {CHUNKS}, p AS (SELECT source, count(*) documents, count_if(coalesce(trim(text), '') = '') empty, min(doc_id) FILTER (WHERE coalesce(trim(text), '') = '') first_empty FROM documents GROUP BY source), c AS (SELECT source, count(*) chunks, count(DISTINCT lang) categories FROM chunks GROUP BY source) SELECT source AS path, documents, coalesce(chunks, 0) AS chunks, coalesce(categories, 0) AS categories, empty AS failed, first_empty AS first_failure, CASE WHEN coalesce(chunks, 0) = 0 THEN 'failed' WHEN empty > 0 THEN 'partial' ELSE 'indexed' END AS state FROM p LEFT JOIN c USING (source)")
 def rebuild_summary(spark, d):
-    return chunks(spark, d).agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.count_distinct("lang").alias("categories"), F.count_distinct("source").alias("offices"))
+    """A rebuild path by path: what was read and cut into chunks, what failed, and how far each path came; one path's failure leaves the others alone."""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    p = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(blank).alias("failed"), F.min(F.when(blank, F.col("doc_id"))).alias("first_failure"))
+    c = chunks(spark, d).groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("lang").alias("categories"))
+    state = F.when(F.col("chunks") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("indexed")
+    return p.join(c, "source", "left").fillna(0, ["chunks", "categories"]).select(F.col("source").alias("path"), "documents", "chunks", "categories", "failed", "first_failure", state.alias("state"))
 
 
 @query("S15_taxonomy_rows", "SELECT c AS category, s AS subcategory, row_number() OVER (ORDER BY c, s) AS ord FROM (SELECT DISTINCT lang c, source s FROM documents WHERE source <> '')")
