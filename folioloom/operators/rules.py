@@ -1,7 +1,7 @@
 """Rule tables over normalised text: each table becomes Columns, or the SQL that says the same.
 
-A text is matched as its words in lower case between single spaces, so a term
-hits whole words only, and a term of several words hits a phrase.
+A text is matched as its words, bars and question marks in lower case between single
+spaces, so a term hits whole words only, and a term of several words hits a phrase.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ class Rule:
 
 
 def spaced(text: Column) -> Column:
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}|?]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"([|?])", " $1 "), r"[^\p{L}\p{N}|?]+", " ")), F.lit(" "))
 
 
 def spaced_sql(text: str) -> str:
-    return rf"(' ' || trim(regexp_replace(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}|?]+', ' ', 'g')) || ' ')"
+    return rf"(' ' || trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '([|?])', ' \1 ', 'g'), '[^\p{{L}}\p{{N}}|?]+', ' ', 'g')) || ' ')"
 
 
 def _one(text: Column, terms: tuple[str, ...]) -> Column:
