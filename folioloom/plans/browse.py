@@ -194,12 +194,6 @@ def display_path(spark, d):
     return articles(spark, d).select("doc_id", F.when(F.startswith(F.lower("title"), F.lit("the")), F.concat_ws(" > ", "category", "subcategory")).otherwise(F.col("category")).alias("path"))
 
 
-@query("H5_suggestions", f"WITH {ASKED} SELECT conv_id, CASE WHEN contains(lower(question), 'hanre') THEN 'Try hanre' WHEN contains(lower(question), 'que') THEN 'Try que' ELSE 'Browse all' END AS suggestion FROM asked")
-def suggestions(spark, d):
-    low = F.lower("question")
-    return asked(spark, d).select("conv_id", F.when(F.contains(low, F.lit("hanre")), "Try hanre").when(F.contains(low, F.lit("que")), "Try que").otherwise("Browse all").alias("suggestion"))
-
-
 @query("H11_admin_articles", f"WITH {ARTICLES} SELECT doc_id, title, published, row_number() OVER (PARTITION BY subcategory ORDER BY doc_id DESC) AS rank FROM articles")
 def admin_articles(spark, d):
     a = articles(spark, d).select("doc_id", "title", "published", "subcategory")

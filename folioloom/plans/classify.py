@@ -133,12 +133,6 @@ def enriched(spark, d):
     return classed(c, "hay").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "category", F.coalesce("office", F.lit("Unassigned")).alias("office"), "confidence")
 
 
-@query("C5_metadata_boost", f"WITH {ASKED} SELECT conv_id, (CASE WHEN contains(lower(question), 'the') THEN 0.16 ELSE 0 END + CASE WHEN contains(lower(question), 'ing') THEN 0.24 ELSE 0 END)::DOUBLE AS boost FROM asked")
-def metadata_boost(spark, d):
-    low = F.lower("question")
-    return asked(spark, d).select("conv_id", (F.when(F.contains(low, F.lit("the")), 0.16).otherwise(0.0) + F.when(F.contains(low, F.lit("ing")), 0.24).otherwise(0.0)).alias("boost"))
-
-
 SIGNALS = {"form": [r"\|", r"_{3,}"], "procedure": [r"(?i)\blicense", r"\d\."], "policy": [r"(?i)\bthe\b", r"(?i)\bde\b"]}
 
 
@@ -264,13 +258,6 @@ def category_map(spark, d):
     return s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", kind.alias("category"))
 
 
-@query("C36_concepts", "SELECT doc_id, array_to_string(list_filter(['of the', 'in the', 'de la', 'der', 'que'], lambda c: contains(lower(text), c)), ', ') AS concepts FROM documents")
-def concepts(spark, d):
-    known = F.array(*(F.lit(x) for x in ("of the", "in the", "de la", "der", "que")))
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(known, lambda c: F.contains(low, c)), ", ").alias("concepts"))
-
-
 @query("C38_group_name", "SELECT p_partkey, coalesce(CASE WHEN p_retailprice > 1500 THEN 'office:' || p_brand END, CASE WHEN p_size > 25 THEN 'category:' || p_type END, 'Uncategorized') AS grp FROM part")
 def group_name(spark, d):
     g = F.coalesce(F.when(F.col("p_retailprice") > 1500, F.concat(F.lit("office:"), "p_brand")), F.when(F.col("p_size") > 25, F.concat(F.lit("category:"), "p_type")), F.lit("Uncategorized"))

@@ -87,13 +87,6 @@ def document_kind_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", (n >= 2).alias("handbook"))
 
 
-@query("F23_foreign_terms", "SELECT doc_id, list_has_any(list_filter(['license', 'hanre', 'wher'], lambda t: contains(lower(text), t)), ['license']) AND NOT contains(lower(split_part(text, chr(10), 1)), 'license') AS foreign_term FROM documents")
-def foreign_terms(spark, d):
-    groups = F.array(*(F.lit(x) for x in ("license", "hanre", "wher")))
-    found = F.filter(groups, lambda t: F.contains(F.lower("text"), t))
-    return table(spark, d, "documents").select("doc_id", (F.array_contains(found, "license") & ~F.contains(F.lower(F.split("text", "\n")[0]), F.lit("license"))).alias("foreign_term"))
-
-
 @query("A5_validation_report", f"WITH {UNITS}, {_STATUS} SELECT parent, count(*) AS units, sum(words)::BIGINT AS words, floor(avg(words) * 1e4 + 0.5) / 1e4 AS mean_words, max(words) AS most, min(words) AS least, count_if(path IS NULL) AS missing_metadata, count_if(toc) AS toc_like, count_if(len(reasons) > 0) AS suspicious, count_if(words > 1000) AS oversized, count(DISTINCT topic) AS topics FROM status GROUP BY parent")
 def validation_report(spark, d):
     return statuses(spark, d).groupBy("parent").agg(F.count("*").alias("units"), F.sum("words").alias("words"), (F.floor(F.avg("words") * 1e4 + 0.5) / 1e4).alias("mean_words"), F.max("words").alias("most"), F.min("words").alias("least"), F.count_if(F.col("path").isNull()).alias("missing_metadata"), F.count_if("toc").alias("toc_like"), F.count_if(F.size("reasons") > 0).alias("suspicious"), F.count_if(F.col("words") > 1000).alias("oversized"), F.count_distinct("topic").alias("topics"))
@@ -144,18 +137,6 @@ def buckets(spark, d):
     return candidates(spark, d).select("doc_id", "bucket")
 
 
-@query("C27_mixed_scope", "SELECT doc_id, len(list_filter(['the ', 'ing ', 'tion', 'ous', 'able'], lambda c: contains(lower(text), c))) >= 3 AS mixed FROM documents")
-def mixed_scope(spark, d):
-    clusters = F.array(*(F.lit(x) for x in ("the ", "ing ", "tion", "ous", "able")))
-    return table(spark, d, "documents").select("doc_id", (F.size(F.filter(clusters, lambda c: F.contains(F.lower("text"), c))) >= 3).alias("mixed"))
-
-
-@query("H19_usefulness", "SELECT doc_id, (1.5 * len(list_filter(['the', 'ing'], lambda t: contains(lower(text), t))) - 2 * len(list_filter(['license', '|'], lambda t: contains(lower(text), t))) - CASE WHEN starts_with(text, 'The') THEN 2.5 ELSE 0 END)::DOUBLE AS usefulness FROM documents")
-def usefulness(spark, d):
-    low = F.lower("text")
-    return table(spark, d, "documents").select("doc_id", (1.5 * tf.hits(low, ["the", "ing"]) - 2 * tf.hits(low, ["license", "|"]) - F.when(F.startswith("text", F.lit("The")), 2.5).otherwise(0.0)).cast("double").alias("usefulness"))
-
-
 @query("A10_review_groups", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT topic, parent, count(*) AS total, count_if(bucket = 'recommended') AS recommended, count_if(bucket = 'needs_review') AS needs_review, count_if(quality < 2) AS low_confidence FROM bucketed GROUP BY topic, parent")
 def review_groups(spark, d):
     of = lambda b: F.count_if(F.col("bucket") == b)
@@ -217,12 +198,6 @@ def mixed_headings(spark, d):
     return lines(spark, d).groupBy("doc_id").agg((F.count_distinct(F.when(F.col("line").rlike(r"^[A-Z][a-z]+\.$"), F.col("line"))) >= 2).alias("mixed"))
 
 
-@query("H7_sections_present", r"SELECT doc_id, regexp_matches(text, '(?im)^the') AND regexp_matches(text, '(?im)^and') AS complete, regexp_matches(text, '(?i)\[needs review\]|_{4,}') AS placeholder FROM documents")
-def sections_present(spark, d):
-    has = lambda p: F.col("text").rlike(p)
-    return table(spark, d, "documents").select("doc_id", (has("(?im)^the") & has("(?im)^and")).alias("complete"), has(r"(?i)\[needs review\]|_{4,}").alias("placeholder"))
-
-
 @query("H8_profile", f"WITH {UNITS} SELECT parent, CASE WHEN avg(toc::INT) > 0.05 THEN 'tables' ELSE 'prose' END AS profile FROM units GROUP BY parent")
 def profile(spark, d):
     return units(spark, d).groupBy("parent").agg(F.when(F.avg(F.col("toc").cast("int")) > 0.05, "tables").otherwise("prose").alias("profile"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
-from folioloom.operators.rules import Rule, added, added_sql, first, first_sql, holds, holds_sql, scored, scored_sql, spaced, spaced_sql
+from folioloom.operators.rules import Rule, added, added_sql, decided, decided_sql, first, first_sql, holds, holds_sql, scored, scored_sql, spaced, spaced_sql
 from folioloom.operators.vectors import nearest
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ASKED, CHUNKS, asked, chunks, table
@@ -308,14 +308,27 @@ def scope(spark, d):
     return pairs(spark, d).select("query_id", "vec_id", named.alias("scope"), within.alias("within"), points.cast("long").alias("points"))
 
 
-@query("C24_fallback", f"WITH {ASKED} SELECT conv_id, CASE WHEN length(question) < 40 THEN 'clarification' WHEN contains(question, '?') THEN 'service' WHEN regexp_matches(question, '(?i)^(the|der|le)') THEN 'policy' ELSE 'person' END AS fallback FROM asked")
+#: What kind of answer is left when nothing was found; the first that holds.
+FALLBACKS = [("words < 3", "clarification", "too_short"), ("procedure", "service", "procedure"), ("asking", "service", "asked"), ("person", "person", "person"), ("rule", "policy", "rule"), ("broad AND words > 40", "clarification", "too_broad")]
+_FALL = Rule("procedure", any=("to", "zu", "pour"), required=("?", "the", "der", "le")), Rule("asking", any=("?", "what", "which")), Rule("person", any=("he", "she", "er", "elle")), Rule("rule", any=("the", "der", "le", "el"))
+
+
+@query("C24_fallback", f"WITH {_ASKED}, f AS (SELECT conv_id, len(string_split(trim(q), ' ')) words, {_BROAD} broad, " + ", ".join(f"{holds_sql(r, 'q')} {r.name}" for r in _FALL) + f" FROM t) SELECT conv_id, {decided_sql(FALLBACKS, ('policy', 'default'), 0)} AS fallback, {decided_sql(FALLBACKS, ('policy', 'default'), 1)} AS why FROM f")
 def fallback(spark, d):
-    return asked(spark, d).select("conv_id", F.when(F.length("question") < 40, "clarification").when(F.contains("question", F.lit("?")), "service").when(F.col("question").rlike("(?i)^(the|der|le)"), "policy").otherwise("person").alias("fallback"))
+    q = F.col("q")
+    f = questions(spark, d).select("conv_id", F.size(F.split(F.trim(q), " ")).alias("words"), _broad(q).alias("broad"), *(holds(r, q).alias(r.name) for r in _FALL))
+    return f.select("conv_id", decided(FALLBACKS, ("policy", "default"), "fallback", "why").alias("x")).select("conv_id", "x.*")
+
 
+#: Words that no document of the collection is about, and what makes a question specific.
+OUTSIDE = Rule("outside", any=("password", "phone"), blocked=("the", "que", "der"))
+SPECIFIC = Rule("specific", all=("the", "of"), required=("in", "is", "was"))
 
-@query("F14_query_gates", f"WITH {ASKED} SELECT conv_id, NOT regexp_matches(lower(question), '[a-z]') AS out_of_scope, regexp_matches(question, '[A-Z][a-z]+ [A-Z]') AS specific, len(string_split(question, ' ')) > 60 AS broad FROM asked")
+
+@query("F14_query_gates", f"WITH {_ASKED} SELECT conv_id, {holds_sql(OUTSIDE, 'q')} OR NOT regexp_matches(q, '[a-z]') AS out_of_scope, {holds_sql(SPECIFIC, 'q')} OR regexp_matches(q, ' [0-9]+ ') AS specific, {_BROAD} AND NOT ({holds_sql(SPECIFIC, 'q')}) AS broad FROM t")
 def query_gates(spark, d):
-    return asked(spark, d).select("conv_id", (~F.lower("question").rlike("[a-z]")).alias("out_of_scope"), F.col("question").rlike("[A-Z][a-z]+ [A-Z]").alias("specific"), (F.size(F.split("question", " ")) > 60).alias("broad"))
+    q = F.col("q")
+    return questions(spark, d).select("conv_id", (holds(OUTSIDE, q) | ~q.rlike("[a-z]")).alias("out_of_scope"), (holds(SPECIFIC, q) | q.rlike(" [0-9]+ ")).alias("specific"), (_broad(q) & ~holds(SPECIFIC, q)).alias("broad"))
 
 
 @query("R1_extractive_answer", f"WITH {CHUNKS}, k AS (SELECT * FROM chunks WHERE chunk_index < 3) SELECT doc_id, string_agg(substring(text, 1, 120), ' / ' ORDER BY chunk_index) AS answer FROM k GROUP BY doc_id")
@@ -348,3 +361,88 @@ def intent_answer(spark, d):
 @query("R7_summary", r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') s FROM documents) SELECT doc_id, substring(array_to_string(list_slice(s, 1, 2), ' '), 1, 350) AS summary FROM s""")
 def summary(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring(F.array_join(F.slice(tf.sentences("text"), 1, 2), " "), 1, 350).alias("summary"))
+
+
+@query("C5_metadata_boost", f"WITH {_HITS}, {_PAIRS}, k AS (SELECT query_id, vec_id, pairs.source, domain, passage_domain, a.source asked_source FROM pairs LEFT JOIN (SELECT doc_id, min(source) source FROM documents GROUP BY doc_id) a ON a.doc_id = query_id) SELECT query_id, vec_id, (CASE WHEN coalesce(domain = passage_domain, false) THEN 0.16 ELSE 0 END + CASE WHEN coalesce(source = asked_source, false) THEN 0.24 ELSE 0 END)::DOUBLE AS boost, concat_ws(',', CASE WHEN domain = passage_domain THEN 'category' END, CASE WHEN source = asked_source THEN 'subcategory' END) AS reasons FROM k")
+def metadata_boost(spark, d):
+    """What a passage gains for being of the question's category and subcategory."""
+    a = table(spark, d, "documents").groupBy(F.col("doc_id").alias("query_id")).agg(F.min("source").alias("asked_source"))
+    k = pairs(spark, d).join(a, "query_id", "left")
+    category, sub = (F.coalesce(F.col(x) == F.col(y), F.lit(False)) for x, y in (("domain", "passage_domain"), ("source", "asked_source")))
+    boost = F.when(category, 0.16).otherwise(0.0) + F.when(sub, 0.24).otherwise(0.0)
+    return k.select("query_id", "vec_id", boost.alias("boost"), F.concat_ws(",", F.when(category, "category"), F.when(sub, "subcategory")).alias("reasons"))
+
+
+#: What is offered when a search finds nothing.
+SUGGESTIONS = [Rule("law", any=("license", "copyright"), adds=("terms of use", "permissions")), Rule("english", any=("the", "and"), blocked=("que", "der"), adds=("guides", "definitions")), Rule("romance", any=("que", "les", "los"), adds=("guias", "guides en francais")), Rule("german", any=("der", "die", "und"), adds=("anleitungen",)), Rule("asking", any=("?", "what"), adds=("frequent questions",))]
+
+
+@query("H5_suggestions", f"WITH {_ASKED}, x AS (SELECT conv_id, {added_sql(SUGGESTIONS, 'q')} l FROM t) SELECT conv_id, CASE WHEN len(l) = 0 THEN 'all topics' ELSE array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '; ') END AS suggestion FROM x")
+def suggestions(spark, d):
+    found = added(SUGGESTIONS, F.col("q"))
+    return questions(spark, d).select("conv_id", F.when(F.size(found) == 0, "all topics").otherwise(F.array_join(found, "; ")).alias("suggestion"))
+
+
+#: Topics of a text, and the concepts that are named in it.
+CLUSTERS = [Rule("legal", any=("license", "copyright", "warranty")), Rule("tables", any=("|",)), Rule("private", any=("email", "phone", "password")), Rule("english", all=("the", "of")), Rule("german", any=("der", "die"), required=("und", "von")), Rule("french", any=("le", "les"), required=("des", "une")), Rule("spanish", any=("el", "los"), required=("que", "una"))]
+CONCEPTS = ["of the", "in the", "to the", "de la", "que la", "und die", "in der", "copyright", "license", "email"]
+_BODIES = f"bodies AS (SELECT doc_id, {spaced_sql('text')} q FROM documents)"
+_TOPICS = "list_filter([" + ", ".join(f"CASE WHEN {holds_sql(r, 'q')} THEN '{r.name}' END" for r in CLUSTERS) + "], lambda x: x IS NOT NULL)"
+
+
+def bodies(spark, d):
+    q = spaced(F.col("text"))
+    t = table(spark, d, "documents").select("doc_id", q.alias("q"))
+    return t.withColumn("topics", F.array_compact(F.array(*(F.when(holds(r, F.col("q")), F.lit(r.name)) for r in CLUSTERS))))
+
+
+@query("C27_mixed_scope", f"WITH {_BODIES}, n AS (SELECT doc_id, {_TOPICS} topics FROM bodies) SELECT doc_id, array_to_string(topics, ',') AS topics, len(topics) >= 3 OR (list_contains(topics, 'english') AND len(list_filter(topics, lambda x: list_contains(['german', 'french', 'spanish'], x))) > 0) AS mixed FROM n")
+def mixed_scope(spark, d):
+    """Three topics, or two languages, make a text mixed."""
+    other = F.size(F.filter("topics", lambda x: x.isin("german", "french", "spanish"))) > 0
+    return bodies(spark, d).select("doc_id", F.array_join("topics", ",").alias("topics"), ((F.size("topics") >= 3) | (F.array_contains("topics", "english") & other)).alias("mixed"))
+
+
+@query("C36_concepts", f"WITH {_BODIES}, n AS (SELECT doc_id, {_TOPICS} topics, list_filter({CONCEPTS}, lambda c: contains(q, ' ' || c || ' ')) concepts FROM bodies) SELECT doc_id, CASE WHEN list_contains(topics, 'legal') THEN 'policy' WHEN list_contains(topics, 'tables') THEN 'form' WHEN len(topics) > 0 THEN topics[1] ELSE 'general' END AS kind, array_to_string(concepts, ', ') AS concepts FROM n")
+def concepts(spark, d):
+    """The kind of a text by its topics, and the phrases found in it in their fixed order."""
+    known = F.filter(F.array(*(F.lit(x) for x in CONCEPTS)), lambda c: F.contains("q", F.concat(F.lit(" "), c, F.lit(" "))))
+    has = lambda x: F.array_contains("topics", x)
+    kind = F.when(has("legal"), "policy").when(has("tables"), "form").otherwise(F.coalesce(F.get("topics", F.lit(0)), F.lit("general")))
+    return bodies(spark, d).select("doc_id", kind.alias("kind"), F.array_join(known, ", ").alias("concepts"))
+
+
+@query("F23_foreign_terms", f"WITH {_BODIES}, h AS (SELECT doc_id, {spaced_sql('split_part(text, chr(10), 1)')} q, {spaced_sql('text')} body FROM documents), a AS (SELECT doc_id, {_TOPICS} told FROM h), b AS (SELECT doc_id, {_TOPICS} topics FROM bodies) SELECT a.doc_id, array_to_string(list_filter(told, lambda x: NOT list_contains(topics, x)), ',') AS foreign_topics, len(list_intersect(told, topics))::BIGINT AS shared, len(told) = 0 OR len(list_intersect(told, topics)) > 0 AS grounded FROM a JOIN (SELECT doc_id, any_value(topics) topics FROM b GROUP BY doc_id) b ON a.doc_id = b.doc_id")
+def foreign_terms(spark, d):
+    """Whether the summary (the first line) speaks of topics that the text has."""
+    first_line = table(spark, d, "documents").select("doc_id", spaced(F.split("text", "\n")[0]).alias("line"), spaced(F.col("text")).alias("q"))
+    topics = lambda x: F.array_compact(F.array(*(F.when(holds(r, x), F.lit(r.name)) for r in CLUSTERS)))
+    t = first_line.select("doc_id", topics(F.col("line")).alias("told"), topics(F.col("q")).alias("topics"))
+    shared = F.size(F.array_intersect("told", "topics"))
+    return t.select("doc_id", F.array_join(F.array_except("told", "topics"), ",").alias("foreign_topics"), shared.cast("long").alias("shared"), ((F.size("told") == 0) | (shared > 0)).alias("grounded"))
+
+
+#: What makes an article useful or not, and titles that it must not have.
+USEFUL = [("boost", Rule("boost", any=("the", "and", "of")), 1.5), ("guide", Rule("guide", any=("to", "zu", "pour", "para")), 1.5), ("legal", CLUSTERS[0], -2.0), ("tables", CLUSTERS[1], -2.0), ("private", CLUSTERS[2], -2.0)]
+TITLES = [("shouting", "^[^a-z]{6,}$", -3.0), ("one_word", "^[^ ]+$", -2.5)]
+_USEFUL = " + ".join([f"CASE WHEN {holds_sql(r, 'q')} THEN ({v})::DOUBLE ELSE 0::DOUBLE END" for _, r, v in USEFUL] + [f"CASE WHEN regexp_matches(title, '{p}') THEN ({v})::DOUBLE ELSE 0::DOUBLE END" for _, p, v in TITLES])
+
+
+@query("H19_usefulness", f"WITH u AS (SELECT doc_id, {spaced_sql('text')} q, trim(split_part(text, chr(10), 1)) title FROM documents) SELECT doc_id, {_USEFUL} AS usefulness FROM u")
+def usefulness(spark, d):
+    u = table(spark, d, "documents").select("doc_id", spaced(F.col("text")).alias("q"), F.trim(F.split("text", "\n")[0]).alias("title"))
+    parts = [F.when(holds(r, F.col("q")), F.lit(v)).otherwise(F.lit(0.0)) for _, r, v in USEFUL] + [F.when(F.col("title").rlike(p), F.lit(v)).otherwise(F.lit(0.0)) for _, p, v in TITLES]
+    return u.select("doc_id", reduce(lambda a, b: a + b, parts).alias("usefulness"))
+
+
+#: Sections that a complete article has.
+SECTIONS = [("opening", "(?m)^[^\\s].*"), ("sentences", "[.!?]"), ("commas", ","), ("capital", "(?m)^[A-Z]"), ("second_line", "\\n.+"), ("length", "(?s).{200,}"), ("closing", "(?s)[.!?]\\s*$"), ("no_table", "^[^|]*$")]
+PLACEHOLDER = "(?i)(\\[needs review\\]|_{4,}|[.]{4,}|lorem ipsum)"
+
+
+@query("H7_sections_present", "SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN NOT regexp_matches(text, '{p}') THEN '{n}' END" for n, p in SECTIONS) + f"], lambda x: x IS NOT NULL)[1] AS first_missing, " + " AND ".join(f"regexp_matches(text, '{p}')" for _, p in SECTIONS) + f" AS complete, regexp_matches(text, '{PLACEHOLDER}') AS placeholder FROM documents")
+def sections_present(spark, d):
+    """Whether all eight sections are there, which one is missing first, and whether text is still to be filled in."""
+    has = lambda p: F.col("text").rlike(p)
+    missing = F.array_compact(F.array(*(F.when(~has(p), F.lit(n)) for n, p in SECTIONS)))
+    return table(spark, d, "documents").select("doc_id", F.get(missing, F.lit(0)).alias("first_missing"), (F.size(missing) == 0).alias("complete"), has(PLACEHOLDER).alias("placeholder"))
