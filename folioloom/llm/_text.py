@@ -6,11 +6,13 @@ single bytes, so word bounds found on bytes are exact for any text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -19,7 +21,7 @@ _P = 0x9E3779B97F4A7C15  # any odd number serves
 _PRIME = (1 << 31) - 1
 _BASES = (0x2F0B4C47, 0x5A3D91E3)  # any numbers below the prime serve
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
@@ -71,6 +73,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def _give_back() -> None:
+    """Returns what a worker has freed to the system, since workers live long and stand beside each other."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batch: pa.RecordBatch, name: str = "text", step: int = STEP) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `step` bytes of text (one long text may exceed it)."""
     if not len(batch):
@@ -81,7 +90,7 @@ def pieces(batch: pa.RecordBatch, name: str = "text", step: int = STEP) -> Itera
         end = max(at + 1, int(np.searchsorted(off, off[at] + step, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()
+    _give_back()
 
 
 def distinct(data: np.ndarray, size: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from . import _text as tx
 
-REMEMBERED = 400_000  # words
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED = 200_000  # words
+REMEMBERED_BYTES = 16 << 20
 _MEMORY: dict[str, Memory] = {}
 
 
