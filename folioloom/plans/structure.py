@@ -96,7 +96,7 @@ def form_fields(spark, d):
     return lines(spark, d).where(F.col("line").rlike(r"^[A-Za-z ]+\|")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.trim(F.regexp_extract("line", r"^([A-Za-z ]+?) ?\|", 1)).alias("field"))
 
 
-@query("X14_pairs", r"WITH m AS (SELECT doc_id, unnest(list_slice(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,} [a-z]{3,}')), 1, 1000)) p FROM documents) SELECT doc_id, split_part(p, ' ', 1) AS name, split_part(p, ' ', 2) AS position FROM m")
+@query("X14_pairs", r"WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,} [a-z]{3,}'))) p FROM documents) SELECT doc_id, split_part(p, ' ', 1) AS name, split_part(p, ' ', 2) AS position FROM m")
 def name_pairs(spark, d):
     p = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,} [a-z]{3,}"), F.lit(0)))).alias("p"))
     return p.select("doc_id", F.split_part("p", F.lit(" "), F.lit(1)).alias("name"), F.split_part("p", F.lit(" "), F.lit(2)).alias("position"))
