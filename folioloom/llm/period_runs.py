@@ -31,7 +31,8 @@ from . import _text as tx
 
 LEAST = 6  # words of a run
 TIMES = 4  # periods of a run
-SIDE_BY_SIDE = 6  # steps for each place in which all look on at once; those left go one after another
+TURNS = 24  # rounds in which all places look on at once; beyond that, while there are
+SIDE_BY_SIDE = 6  # times as many steps as places; those left go one after another
 ROUND = 200  # steps that a round costs by itself
 STEPS = 8  # symbols that are compared side by side before extensions are kept
 BLOCK = 1 << 21  # bytes of text looked at together; one longer text is a block
@@ -65,19 +66,30 @@ class Extensions:
         at = 0
         while at < len(places):
             i = int(places[at])
-            k = bisect_right(begins, i) - 1
-            if k < 0 or ends[k] <= i:
-                end, k = self._mismatch(i + STEPS, p), k + 1
-                if k < len(begins) and begins[k] <= end:  # runs into a stretch already matched: one stretch now
-                    begins[k] = i
-                else:
-                    begins.insert(k, i)
-                    ends.insert(k, end)
-            upto = at + int(np.searchsorted(places[at:], ends[k]))
-            out[at:upto] = ends[k]
+            end = self._end(begins, ends, i, p)
+            upto = at + int(np.searchsorted(places[at:], end))
+            out[at:upto] = end
             at = upto
         return out
 
+    def _end(self, begins: list[int], ends: list[int], i: int, p: int) -> int:
+        k = bisect_right(begins, i) - 1
+        if k >= 0 and ends[k] > i:
+            return ends[k]
+        end, k = self._mismatch(i + STEPS, p), k + 1
+        if k < len(begins) and begins[k] <= end:  # runs into a stretch already matched: one stretch now
+            begins[k] = i
+        else:
+            begins.insert(k, i)
+            ends.insert(k, end)
+        return end
+
+    def common_of(self, i: int, j: int) -> int:
+        """`common` of one pair."""
+        different = self.w[i : i + STEPS] != self.w[j : j + STEPS] if j + STEPS <= len(self.w) else np.append(self.w[i : i + len(self.w) - j] != self.w[j:], True)
+        at = int(different.argmax())
+        return at if different[at] else self._end(*self.known.setdefault(j - i, ([], [])), i, j - i) - i
+
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at i and j (i < j, in one text)."""
         out = np.zeros(len(i), np.int64)
@@ -121,9 +133,9 @@ def lyndon_edges(text: Extensions, w: np.ndarray, ends: np.ndarray) -> tuple[np.
     live = np.ones(n, bool)
     live[ends] = False  # an end is below all: nothing behind it is asked for
     live = np.flatnonzero(live)
-    spent = 0
-    while len(live) and spent < SIDE_BY_SIDE * n:
-        spent += len(live) + ROUND
+    spent = turns = 0
+    while len(live) and (turns < TURNS or spent < SIDE_BY_SIDE * n):
+        turns, spent = turns + 1, spent + len(live) + ROUND
         j = after[live]
         a, b = w[live], w[j]
         greater = b > a  # the candidate's suffix is greater: go on
@@ -152,7 +164,7 @@ def _in_turn(text: Extensions, w: np.ndarray, after: np.ndarray, common: np.ndar
         while True:
             a, b, length = symbol[i], symbol[j], 0
             if a == b:
-                length = int(text.common(np.array([i + base]), np.array([j + base]))[0])
+                length = text.common_of(i + base, j + base)
                 a, b = symbol[i + length], symbol[j + length]
             if b < a:
                 break
