@@ -1,7 +1,6 @@
-"""Word boxes into rows, cells and columns; continuation rows; greedy packing.
+"""Word boxes into rows, cells and columns; greedy packing.
 
-Rows depend on what came before in ways windows can't say (a running mean, a
-merged previous row), so pages stream through a task sorted by key, one page's
+Rows depend on what came before in a way windows can't say (a running mean), so pages stream through a task sorted by key, one page's
 state at a time. What follows from rows is window work.
 """
 
@@ -33,15 +32,16 @@ def rows(boxes: DataFrame, least: float = 3.0, share: float = 0.65) -> DataFrame
     """boxes: page (long), word (long), text, x0, x1, cy, height. Adds row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # the rows so far of the last page, which later frames may go on with
         for pdf in frames:
-            held.append(pdf)
-            now = pd.concat(held)
-            last = now["page"].iloc[-1]
-            full, held = now[now["page"] != last], [now[now["page"] == last]]
-            if len(full):
-                yield _numbered(full, least, share)
-        if held and len(held[0]):
+            last = pdf["page"].iloc[-1] if len(pdf) else None
+            if not len(pdf) or held and held[0]["page"].iloc[0] == last:
+                held.append(pdf)
+                continue
+            goes_on = pdf["page"] == last
+            yield _numbered(pd.concat([*held, pdf[~goes_on]]), least, share)
+            held = [pdf[goes_on]]
+        if held:
             yield _numbered(pd.concat(held), least, share)
 
     order = ["page", "cy", "x0", "word"]
@@ -49,8 +49,10 @@ def rows(boxes: DataFrame, least: float = 3.0, share: float = 0.65) -> DataFrame
 
 
 def _numbered(pdf: pd.DataFrame, least: float, share: float) -> pd.DataFrame:
-    parts = [g.assign(row=cluster(g["cy"].tolist(), g["height"].tolist(), least, share)) for _, g in pdf.groupby("page", sort=False)]
-    return pd.concat(parts)
+    page = pdf["page"].to_numpy()
+    edges = [0, *(i + 1 for i in range(len(page) - 1) if page[i] != page[i + 1]), len(page)]
+    cy, height = pdf["cy"].tolist(), pdf["height"].tolist()
+    return pdf.assign(row=[r for a, b in zip(edges, edges[1:], strict=False) for r in cluster(cy[a:b], height[a:b], least, share)])
 
 
 def row_text(boxes: DataFrame) -> DataFrame:
@@ -76,52 +78,6 @@ def column_of(x0: Column, bounds: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: x0 >= b))
 
 
-def continues(text: str, before: str) -> bool:
-    """A cell goes on if it starts small, or what precedes it ends openly."""
-    return text[:1].islower() or before.rstrip().endswith((",", "-", " and", " of", " the", " or"))
-
-
-def merged(cells: list[list[str]]) -> list[list[str]]:
-    """Rows of cells with continuation rows joined to the row they continue, cell by cell."""
-    out: list[list[str]] = []
-    for row in cells:
-        first = next((c for c in row if c), "")
-        marked = first[:2].rstrip(".)").isdigit()
-        before = next((c for c in reversed(out[-1]) if c), "") if out else ""
-        if out and first and not marked and continues(first, before):
-            out[-1] = [" ".join(x for x in (a, b) if x) for a, b in zip(out[-1], row, strict=True)]
-        else:
-            out.append(list(row))
-    return out
-
-
-def merge_rows(table: DataFrame) -> DataFrame:
-    """table: block (long), line (long), cells array<string>. One row for each logical row of a block."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def out(pdf: pd.DataFrame) -> pd.DataFrame:
-            made = []
-            for block, g in pdf.groupby("block", sort=False):
-                width = max(map(len, g["cells"]))
-                cells = [[*map(str, c), *[""] * (width - len(c))] for c in g["cells"]]
-                made += [(block, i, row) for i, row in enumerate(merged(cells))]
-            return pd.DataFrame(made, columns=["block", "row", "cells"])
-
-        for pdf in frames:
-            held.append(pdf)
-            now = pd.concat(held)
-            last = now["block"].iloc[-1]
-            full, held = now[now["block"] != last], [now[now["block"] == last]]
-            if len(full):
-                yield out(full)
-        if held and len(held[0]):
-            yield out(pd.concat(held))
-
-    return table.repartition("block").sortWithinPartitions("block", "line").mapInPandas(run, "block long, row int, cells array<string>")
-
-
 def packed(parts: Column, limit: int, glue: str = "\n\n", overlap: int = 0) -> Column:
     """Greedy packing of strings into pieces of at most `limit` characters, as one fold.
 
@@ -146,3 +102,25 @@ def packed(parts: Column, limit: int, glue: str = "\n\n", overlap: int = 0) -> C
         return F.when(x == "", acc).when(long, kept).otherwise(put)
 
     return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
+
+
+def voted_bounds(boxes: DataFrame, columns: int, least: float = 8.0) -> DataFrame:
+    """Boundaries of a page's columns, for which all its rows vote: where words begin, sorted, the widest gaps between neighbours.
+
+    Words begin anywhere inside a column but nowhere between columns, so the columns - 1
+    widest gaps of at least `least` part them. One row a place and page is compared,
+    however many words begin there. Equal gaps: the left one.
+    """
+    w = Window.partitionBy("page").orderBy("x0")
+    places = boxes.select("page", "x0").distinct().withColumn("next", F.lead("x0").over(w)).withColumn("gap", F.col("next") - F.col("x0")).where(F.col("gap") >= least)
+    top = places.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("gap"), "x0"))).where(F.col("k") < columns)
+    return top.groupBy("page").agg(F.sort_array(F.collect_list((F.col("x0") + F.col("next")) / 2)).alias("bounds"))
+
+
+def column_cells(rows: DataFrame, columns: int, least: float = 8.0) -> DataFrame:
+    """rows: boxes with their row. One row for each page and row, with its `columns` cells of text; a page without boundaries has one cell a row."""
+    bounds = voted_bounds(rows, columns, least)
+    placed = rows.join(bounds, "page", "left").withColumn("col", column_of(F.col("x0"), F.coalesce("bounds", F.array().cast("array<double>"))))
+    words = placed.groupBy("page", "row").agg(F.sort_array(F.collect_list(F.struct("x0", "word", "col", "text"))).alias("words"))
+    cell = lambda c: F.array_join(F.transform(F.filter("words", lambda w: w["col"] == c), lambda w: w["text"]), " ")
+    return words.select("page", "row", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), cell).alias("cells"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
 from folioloom.operators import layout
-from folioloom.operators.rules import named, named_sql
+
 from folioloom.plans.registry import query
 from folioloom.plans.structure import HEADING
 from folioloom.sources.tables import LINES, lines, table
@@ -50,23 +50,6 @@ def columns(spark, d):
     return g.join(layout.boundaries(g, 3, 8.0), ["page", "row"]).select("page", "row", "word", layout.column_of(F.col("x0"), F.col("bounds")).cast("long").alias("col"))
 
 
-def cells(spark, d):
-    return lines(spark, d).select(F.col("doc_id").alias("block"), F.col("line_no").cast("long").alias("line"), F.transform(F.split("line", r"\|"), F.trim).alias("cells"))
-
-
-@query("W10_merged_rows")
-def merged_rows(spark, d):
-    """Continuation rows join the row they continue; depends on what was merged, so tested against brute force."""
-    return layout.merge_rows(cells(spark, d)).groupBy("block").agg(F.count("*").alias("rows"))
-
-
-@query("X12_service_tables")
-def service_tables(spark, d):
-    """Piped lines as logical rows, then typed by column."""
-    t = layout.merge_rows(cells(spark, d).where(F.size("cells") > 1))
-    return t.select(F.col("block").alias("doc_id"), F.col("row").cast("long").alias("step"), F.get("cells", F.lit(0)).alias("client_step"), F.get("cells", F.lit(1)).alias("agency_action"), F.size("cells").cast("long").alias("columns"))
-
-
 @query("X2_packed_paragraphs")
 def packed_paragraphs(spark, d):
     """Paragraphs packed to 1,200 characters, each piece after the first beginning with the last 150 of the one before."""
@@ -100,43 +83,6 @@ def service_blocks(spark, d):
     return b.groupBy("doc_id", "block").agg(F.count_if(F.contains("line", F.lit("|"))).alias("steps"), F.count_if(F.col("line").rlike("(?i)licen[sc]e")).alias("requirements"))
 
 
-# A service is an order and its steps are the order's lines: who is responsible (the supplier, left out by every
-# seventh), the fee (the discount) and the time (the tax), of which 0 stands for a blank slot.
-_STEPS = """steps AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey END person, nullif(l_discount, 0) fee, nullif(l_tax, 0) t FROM lineitem),
- filled AS (SELECT *, coalesce(person, last_value(person IGNORE NULLS) OVER w) person2, coalesce(fee, last_value(fee IGNORE NULLS) OVER w) fee2, coalesce(t, last_value(t IGNORE NULLS) OVER w) t2 FROM steps WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- services AS (SELECT l_orderkey, count(*) n, count(DISTINCT l_partkey) parts, count_if(person IS NULL) no_person, count_if(fee IS NULL) no_fee, count_if(t IS NULL) no_time, count_if(person2 IS NULL) + count_if(fee2 IS NULL) + count_if(t2 IS NULL) after FROM filled GROUP BY l_orderkey)"""
-_GRADE = "CASE WHEN n < 2 THEN 'low_quality' WHEN {0} >= 4 OR {0} > 0.25 * 3 * n THEN 'needs_review' ELSE 'clean' END"
-#: Name and condition of what is wrong with a service, in order.
-ISSUES = [("fragment", "n < 2"), ("no_person", "no_person > 0"), ("no_fee", "no_fee > 0"), ("no_time", "no_time > 0"), ("repeated_step", "parts < n"), ("mostly_blank", "no_person + no_fee + no_time > n"), ("long", "n > 6")]
-
-
-def services(spark, d):
-    """Each service's steps with blank slots counted, before and after they take over what the step before has."""
-    l = table(spark, d, "lineitem")
-    steps = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("person"), F.nullif("l_discount", F.lit(0.0)).alias("fee"), F.nullif("l_tax", F.lit(0.0)).alias("t"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = steps.withColumns({f"{c}2": F.coalesce(c, F.last(c, ignorenulls=True).over(w)) for c in ("person", "fee", "t")})
-    blank = lambda c: F.count_if(F.col(c).isNull())
-    return filled.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("parts"), blank("person").alias("no_person"), blank("fee").alias("no_fee"), blank("t").alias("no_time"), (blank("person2") + blank("fee2") + blank("t2")).alias("after"))
-
-
-@query("X13_repair", f"WITH {_STEPS}, g AS (SELECT l_orderkey, n >= 2 attempted, no_person + no_fee + no_time blanks, CASE WHEN n >= 2 THEN after ELSE no_person + no_fee + no_time END blanks_after, {_GRADE.format('(no_person + no_fee + no_time)')} graded, {_GRADE.format('after')} regraded FROM services) SELECT l_orderkey, attempted, blanks, blanks_after, graded, regraded, CASE WHEN NOT attempted THEN 'rag_only' WHEN regraded = 'clean' AND graded = 'clean' THEN 'recommended' WHEN regraded = 'clean' THEN 'rescued' ELSE 'needs_review' END AS bucket FROM g")
-def repair(spark, d):
-    """Fragments stay as they are; other services are repaired, graded again and put into a bucket anew."""
-    blanks = F.col("no_person") + F.col("no_fee") + F.col("no_time")
-    grade = lambda x: F.when(F.col("n") < 2, "low_quality").when((x >= 4) | (x > 0.25 * 3 * F.col("n")), "needs_review").otherwise("clean")
-    g = services(spark, d).select("l_orderkey", (F.col("n") >= 2).alias("attempted"), blanks.alias("blanks"), F.when(F.col("n") >= 2, F.col("after")).otherwise(blanks).alias("blanks_after"), grade(blanks).alias("graded"), grade(F.col("after")).alias("regraded"))
-    bucket = F.when(~F.col("attempted"), "rag_only").when((F.col("regraded") == "clean") & (F.col("graded") == "clean"), "recommended").when(F.col("regraded") == "clean", "rescued").otherwise("needs_review")
-    return g.withColumn("bucket", bucket)
-
-
-@query("H20_issues", f"WITH {_STEPS} SELECT l_orderkey, array_to_string({named_sql(ISSUES)}, ',') AS issues, len({named_sql(ISSUES)})::BIGINT AS n_issues, n >= 2 AND no_person + no_fee + no_time > after AS repairable FROM services")
-def issues(spark, d):
-    """What is wrong with each service before its repair, and whether a repair would fill anything."""
-    found = named(ISSUES)
-    return services(spark, d).select("l_orderkey", F.array_join(found, ",").alias("issues"), F.size(found).cast("long").alias("n_issues"), F.expr("n >= 2 AND no_person + no_fee + no_time > after").alias("repairable"))
-
-
 @query("D12_bound_placeholders", f"WITH {LINES}, h AS (SELECT doc_id, line_no, line, regexp_matches(line, '{HEADING}') head FROM lines), n AS (SELECT *, lead(head) OVER w nh, lead(line) OVER w nl FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) SELECT doc_id, line_no::BIGINT AS line_no, line AS title, CASE WHEN nh THEN NULL ELSE nl END AS bound FROM n WHERE head")
 def bound_placeholders(spark, d):
     """A heading binds to the line that follows unless that is a heading too."""

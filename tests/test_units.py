@@ -125,17 +125,6 @@ def test_row_clusters(spark):
     assert layout.boundaries(found, 3).first().bounds == [25.0, 65.0]
 
 
-def test_merged_rows(spark):
-    from folioloom.operators import layout
-
-    cells = [["1. Ask", "Clerk"], ["for the form", ""], ["2. Pay,", "Desk"], ["then wait", "B"], ["Go", "Out"]]
-    want = [["1. Ask for the form", "Clerk"], ["2. Pay, then wait", "Desk B"], ["Go", "Out"]]
-    assert layout.merged(cells) == want
-    df = spark.createDataFrame([(b, i, c) for b in range(3) for i, c in enumerate(cells)], "block long, line long, cells array<string>")
-    got = layout.merge_rows(df).orderBy("block", "row").collect()
-    assert [(r.block, r.cells) for r in got] == [(b, c) for b in range(3) for c in want]
-
-
 def test_packed(spark):
     from folioloom.operators import layout
 
