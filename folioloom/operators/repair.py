@@ -10,6 +10,7 @@ the others go through the next one.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,17 +69,18 @@ def _with_head(d: Dialect) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """What the slot becomes; `body` makes the expression for a dialect. {next} is the person of the next step."""
+    """What the slot becomes; `body` makes the expression for a dialect. A rule that looks on may read {next}, the person of the next step."""
 
     name: str
     slot: str
-    body: object
+    body: Callable[[Dialect], str]
+    looks_on: bool = False
 
     def sql(self, d: Dialect, names: dict[str, str]) -> str:
         return re.sub(r"\{([a-z]+)\}", lambda m: names[m[1]], self.body(d))
 
 
-#: In this order, each on what those before it have left.
+#: In this order, each on what those before it have left; rules that look on come last.
 STEP_RULES = [
     Rule("header_words", "fee", lambda d: crumbless("{fee}", d)),
     Rule("header_words", "time", lambda d: crumbless("{time}", d)),
@@ -91,7 +93,7 @@ STEP_RULES = [
     Rule("time_in_person", "person", lambda d: f"CASE WHEN {d.group('{person}', _INSIDE, 1)} <> '' AND {d.group('{person}', _INSIDE, 1)} = {{time}} THEN trim({d.replace('{person}', _INSIDE, ' ')}) ELSE {{person}} END"),
     Rule("slashes", "person", lambda d: d.replace(d.replace("{person}", r"\s*/\s*", "/"), "/{2,}", "/")),
     Rule("step_number", "client", lambda d: d.replace("{client}", r"^[0-9]{1,3}[.)]\s+", "")),
-    Rule("cut_person", "person", lambda d: "CASE WHEN {person} LIKE '%/' AND {next} <> '' AND {next} NOT LIKE '%/' THEN CASE WHEN contains(lower({person}), lower({next})) THEN left({person}, length({person}) - 1) WHEN left(lower({next}), length({person})) = lower({person}) THEN {next} ELSE {person} || {next} END ELSE {person} END"),
+    Rule("cut_person", "person", lambda d: "CASE WHEN {person} LIKE '%/' AND {next} <> '' AND {next} NOT LIKE '%/' THEN CASE WHEN contains(lower({person}), lower({next})) THEN left({person}, length({person}) - 1) WHEN left(lower({next}), length({person})) = lower({person}) THEN {next} ELSE {person} || {next} END ELSE {person} END", looks_on=True),
 ]
 
 
@@ -100,15 +102,32 @@ def complete(s: str) -> str:
     return f"({' AND '.join(f'{s}{x} <> {chr(39) * 2}' for x in SLOTS)} AND {s}person NOT LIKE '%/')"
 
 
+_ENTRY = "array<struct<rule: string, slot: string, before: string, after: string>>"
+
+
+def _applied(rule: Rule, array: str) -> str:
+    """The array of steps (with their log) after one rule; what the rule makes is bound once and then both put in place and logged."""
+    names = {x: f"s.{x}" for x in SLOTS} | {"next": "s.next"}
+    fields = ", ".join(f"'{x}', {'b.v' if x == rule.slot else f'b.s.{x}'}" for x in SLOTS)
+    entry = f"array(named_struct('rule', '{rule.name}', 'slot', '{rule.slot}', 'before', b.s.{rule.slot}, 'after', b.v))"
+    bound = f"transform({array}, s -> named_struct('s', s, 'v', {rule.sql(Dialect(), names)}))"
+    return f"transform({bound}, b -> named_struct({fields}, 'next', b.s.next, 'log', if(b.v <> b.s.{rule.slot}, concat(b.s.log, {entry}), b.s.log)))"
+
+
 def one_pass(services: DataFrame) -> DataFrame:
-    """Adds `changes`, the log of one pass, and rewrites steps (array of structs of SLOTS), total_time and total_fee."""
-    spark, out = Dialect(), services.withColumn("changes", F.array().cast(LOG))
-    for rule in STEP_RULES:
-        names = {x: f"s.{x}" for x in SLOTS} | {"next": "coalesce(get(steps, i + 1).person, '')"}
-        fields = ", ".join(f"'{x}', {rule.sql(spark, names) if x == rule.slot else f's.{x}'}" for x in SLOTS)
-        told = f"transform(steps, (s, i) -> named_struct('rule', '{rule.name}', 'slot', '{rule.slot}', 'step', i, 'before', s.{rule.slot}, 'after', got[i].{rule.slot}))"
-        out = out.withColumn("got", F.expr(f"transform(steps, (s, i) -> named_struct({fields}))"))
-        out = out.withColumns({"changes": F.expr(f"concat(changes, cast(filter({told}, e -> e.before <> e.after) as {LOG}))"), "steps": F.col("got")}).drop("got")
+    """Adds `changes`, the log of one pass, and rewrites steps (array of structs of SLOTS), total_time and total_fee.
+
+    Logged are first the changes of each step by itself, step by step, then what steps take from the next one, then the totals.
+    """
+    out = services.withColumn("changes", F.array().cast(LOG))
+    for rules in ([r for r in STEP_RULES if not r.looks_on], [r for r in STEP_RULES if r.looks_on]):
+        whole = ", ".join(f"'{x}', g.{x}" for x in SLOTS)
+        array = f"transform(steps, (g, i) -> named_struct({whole}, 'next', coalesce(get(steps, i + 1).person, ''), 'log', cast(array() as {_ENTRY})))"
+        for rule in rules:
+            array = _applied(rule, array)
+        out = out.withColumn("got", F.expr(array))
+        told = "flatten(transform(got, (g, i) -> transform(g.log, e -> named_struct('rule', e.rule, 'slot', e.slot, 'step', i, 'before', e.before, 'after', e.after))))"
+        out = out.withColumns({"changes": F.expr(f"concat(changes, cast({told} as {LOG}))"), "steps": F.expr(f"transform(got, g -> named_struct({whole}))")}).drop("got")
     minutes = F.expr("transform(steps, s -> try_cast(regexp_extract(s.time, r'(?i)^([0-9]+) *(?:minutes?|mins?)$', 1) as long))")
     summed = F.expr("aggregate(minutes, 0L, (a, x) -> a + x)")
     out = out.withColumn("minutes", minutes).withColumn("got", F.when((F.col("total_time") == "") & (F.size("steps") > 0) & (summed > 0), F.concat(summed.cast("string"), F.when(summed == 1, F.lit(" minute")).otherwise(F.lit(" minutes")))).otherwise(F.col("total_time")))

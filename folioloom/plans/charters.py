@@ -120,15 +120,15 @@ def _repair_sql() -> str:
             now = f"p{turn}_{k}"
             cut = f"SELECT *, coalesce(lead(person) OVER ({w}), '') AS next FROM {last}"
             out.append(f"{now} AS MATERIALIZED (SELECT l_orderkey, n, {', '.join(f'{rule.sql(duck, names)} AS {x}' if x == rule.slot else x for x in repair.SLOTS)}, total_time, total_fee, log, {rule.slot} AS was FROM ({cut}))")
-            entries.append(f"SELECT l_orderkey, {k} AS k, n - 1 AS step, '{rule.name}:{rule.slot}:' || (n - 1) || ':' || was || '>' || {rule.slot} AS entry FROM {now} WHERE was <> {rule.slot}")
+            entries.append(f"SELECT l_orderkey, {int(rule.looks_on)} AS phase, {k} AS k, n - 1 AS step, '{rule.name}:{rule.slot}:' || (n - 1) || ':' || was || '>' || {rule.slot} AS entry FROM {now} WHERE was <> {rule.slot}")
             last = now
         k = len(repair.STEP_RULES)
         out.append(f"""t{turn} AS MATERIALIZED (SELECT l_orderkey, any_value(total_time) t0, any_value(total_fee) f0, coalesce(sum(try_cast(regexp_extract(time, '(?i)^([0-9]+) *(?:minutes?|mins?)$', 1) AS BIGINT)), 0) m, count(*) c, count(*) FILTER (WHERE regexp_matches(time, '(?i)^([0-9]+) *(?:minutes?|mins?)$')) mc, bool_and(fee = 'None') free FROM {last} GROUP BY l_orderkey)""")
         new_time = "CASE WHEN t0 = '' AND mc = c AND m > 0 THEN m || CASE WHEN m = 1 THEN ' minute' ELSE ' minutes' END ELSE t0 END"
         new_fee = "CASE WHEN f0 = '' AND free THEN 'None' ELSE f0 END"
-        entries.append(f"SELECT l_orderkey, {k}, 0, 'total_of_steps:total_time::' || t0 || '>' || {new_time} FROM t{turn} WHERE t0 <> {new_time}")
-        entries.append(f"SELECT l_orderkey, {k + 1}, 0, 'total_of_steps:total_fee::' || f0 || '>' || {new_fee} FROM t{turn} WHERE f0 <> {new_fee}")
-        out.append(f"e{turn} AS (SELECT l_orderkey, string_agg(entry, ';' ORDER BY k, step) es FROM ({' UNION ALL '.join(entries)}) GROUP BY l_orderkey)")
+        entries.append(f"SELECT l_orderkey, 2, {k}, 0, 'total_of_steps:total_time::' || t0 || '>' || {new_time} FROM t{turn} WHERE t0 <> {new_time}")
+        entries.append(f"SELECT l_orderkey, 2, {k + 1}, 0, 'total_of_steps:total_fee::' || f0 || '>' || {new_fee} FROM t{turn} WHERE f0 <> {new_fee}")
+        out.append(f"e{turn} AS (SELECT l_orderkey, string_agg(entry, ';' ORDER BY phase, step, k) es FROM ({' UNION ALL '.join(entries)}) GROUP BY l_orderkey)")
         out.append(f"s{turn + 1} AS MATERIALIZED (SELECT p.l_orderkey, n, {', '.join(repair.SLOTS)}, {new_time} AS total_time, {new_fee} AS total_fee, CASE WHEN es IS NULL THEN log WHEN log = '' THEN es ELSE log || ';' || es END AS log FROM {last} p JOIN t{turn} USING (l_orderkey) LEFT JOIN e{turn} e USING (l_orderkey))")
         last = f"s{turn + 1}"
     grade = f"(SELECT *, {_TITLE} AS title, {_OFFICE} AS office, {_WHO} AS who FROM (SELECT l_orderkey, count(*) AS steps, count(*) FILTER (WHERE {repair.complete('')}) AS whole, any_value(total_time) AS total_time, any_value(total_fee) AS total_fee, any_value(log) AS log FROM {{0}} GROUP BY l_orderkey))"
