@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators import aliases
 from folioloom.plans.registry import query
 from folioloom.plans.tickets import HIGH, MEDIUM, URGENT, _hits
 from folioloom.sources.tables import ASKED, CHUNKS, OFFICES, asked, chunks, offices, table
@@ -195,36 +196,57 @@ def alias_rows(spark, d):
 
 
 WORDS = [(1, "hanre", 1.0), (2, "wher", 1.1), (3, "thered", 0.9), (4, "the", 1.0), (5, "que", 1.0)]
+# Aliases of offices: what documents begin with, one to three words; every seventh is not active.
+_OPENINGS = r"""openings AS (SELECT office_id, alias, max(weight) weight FROM (SELECT doc_id % 25 office_id, array_to_string(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')[1:1 + doc_id % 3], ' ') alias, 0.7 + (doc_id % 11) / 10.0 AS weight FROM documents WHERE doc_id % 7 <> 0) WHERE alias <> '' GROUP BY office_id, alias)"""
 _SCORE = "greatest(0.1, weight) * (0.65 + 0.35 * least(1, length(alias) / greatest(12, least(length(t), 80))::DOUBLE))"
 
 
-@query("J2_office_match", rf"""WITH w AS (SELECT * FROM (VALUES {', '.join(map(str, WORDS))}) v(office_id, alias, weight)), q AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) t FROM conversations),
- m AS (SELECT conv_id, turn, office_id, max({_SCORE}) s FROM q JOIN w ON regexp_matches(t, '(^|[^a-z0-9])' || alias || '($|[^a-z0-9])') GROUP BY ALL),
- r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY s DESC, office_id) k, lead(s) OVER (PARTITION BY conv_id, turn ORDER BY s DESC, office_id) nxt FROM m)
- SELECT conv_id, turn, office_id::BIGINT AS office_id, floor(least(1, s / 1.35) * 1000 + 0.5) / 1000 AS confidence FROM r WHERE k = 1 AND s - coalesce(nxt, -1) >= 0.12 AND least(1, s / 1.35) >= 0.3""".replace("GROUP BY ALL", "GROUP BY conv_id, turn, office_id"))
-def office_match(spark, d):
-    """The office whose alias fits best, if it leads the next by the margin. Aliases are a rule table, tried inside one expression."""
-    t = tf.normal("text")
-    q = table(spark, d, "conversations").select("conv_id", "turn", t.alias("t"))
-    rated = [F.when(F.col("t").rlike(rf"(^|[^a-z0-9]){a}($|[^a-z0-9])"), F.struct((F.lit(max(0.1, w)) * (0.65 + 0.35 * F.least(F.lit(1.0), F.lit(float(len(a))) / F.greatest(F.lit(12), F.least(F.length("t"), F.lit(80)))))).alias("s"), F.lit(-o).alias("o"))) for o, a, w in WORDS]
-    ranked = q.withColumn("r", F.sort_array(F.array_compact(F.array(*rated)), asc=False)).where(F.size("r") > 0)
-    s, second = F.get("r", F.lit(0))["s"], F.coalesce(F.get("r", F.lit(1))["s"], F.lit(-1.0))
-    ok = ranked.where((s - second >= 0.12) & (F.least(F.lit(1.0), s / 1.35) >= 0.3))
-    return ok.select("conv_id", "turn", (-F.get("r", F.lit(0))["o"]).cast("long").alias("office_id"), (F.floor(F.least(F.lit(1.0), s / 1.35) * 1000 + 0.5) / 1000).alias("confidence"))
+def _matched_sql(texts: str, keys: str, rows: str) -> str:
+    """CTEs that leave `sure`: the office of each text that is sure and leads the next."""
+    return f"""m AS (SELECT {keys}, office_id, max({_SCORE}) s, arg_max(alias, (({_SCORE}), length(alias), alias)) alias FROM {texts} JOIN {rows} ON contains(t, alias) AND regexp_matches(t, '(^|[^a-z0-9])' || regexp_escape(alias) || '($|[^a-z0-9])') GROUP BY {keys}, office_id),
+ r AS (SELECT *, least(1, s / {aliases.FULL}) AS confidence, row_number() OVER w k, lead(least(1, s / {aliases.FULL})) OVER w nxt FROM m WINDOW w AS (PARTITION BY {keys} ORDER BY s DESC, office_id)),
+ sure AS (SELECT {keys}, office_id, alias, confidence FROM r WHERE k = 1 AND confidence >= {aliases.LEAST} AND (nxt IS NULL OR confidence - nxt >= {aliases.MARGIN}))"""
 
 
-@query("J4_office_cascade", f"WITH {OFFICES}, l AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) || ' desk' WHEN 2 THEN 'nowhere' ELSE c_mktsegment END label FROM customer JOIN nation ON c_nationkey = n_nationkey), m AS (SELECT c_custkey, office, CASE WHEN label = office THEN 0 WHEN contains(lower(label), lower(office)) OR contains(lower(office), lower(label)) THEN 1 END tier FROM l CROSS JOIN offices) SELECT c_custkey, coalesce(arg_min(office, struct_pack(a := tier, b := office)) FILTER (WHERE tier IS NOT NULL), 'ALGERIA') AS office, coalesce(min(tier), 2)::BIGINT AS tier FROM m GROUP BY c_custkey")
+@query("J2_office_match", rf"""WITH {_OPENINGS}, q AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) t FROM conversations), {_matched_sql('q', 'conv_id, turn', 'openings')}
+ SELECT conv_id, turn, office_id::BIGINT AS office_id, alias, floor(confidence * 1000 + 0.5) / 1000 AS confidence FROM sure""")
+def office_match(spark, d):
+    """The office whose alias fits best, if it is sure and leads the next by the margin."""
+    words = F.array_join(F.slice(F.split(tf.normal("text"), " "), F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), " ")
+    rows = table(spark, d, "documents").where("doc_id % 7 <> 0").select((F.col("doc_id") % 25).alias("office_id"), words.alias("alias"), (F.lit(0.7) + F.col("doc_id") % 11 / 10.0).alias("weight"))
+    sure = aliases.offices_of(table(spark, d, "conversations"), ["conv_id", "turn"], "text", rows)
+    return sure.select("conv_id", "turn", "office_id", "alias", (F.floor(F.col("confidence") * 1000 + 0.5) / 1000).alias("confidence"))
+
+
+SHORT = {"help desk": "nation_3", "records": "nation_4"}
+PREFERRED = ["front desk", "nation_2"]
+_LABEL = "CASE c_custkey % 7 WHEN 0 THEN '  ' || n_name || ' ' WHEN 1 THEN lower(n_name) || ' desk' WHEN 2 THEN 'nowhere' WHEN 3 THEN c_mktsegment WHEN 4 THEN 'please ask the Bureau ' || c_nationkey WHEN 5 THEN 'Help  Desk' ELSE '' END"
+
+
+@query(
+    "J4_office_cascade",
+    rf"""WITH {OFFICES}, q AS (SELECT c_custkey, trim(regexp_replace(lower({_LABEL}), '\s+', ' ', 'g')) t FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ bureaus AS (SELECT n_nationkey office_id, 'bureau ' || n_nationkey alias, 1.5 weight FROM nation), {_matched_sql('q', 'c_custkey', 'bureaus')},
+ short AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in SHORT.items())}) v(a, b)),
+ c AS (SELECT c_custkey, t, any_value(lower(o.office)) FILTER (WHERE lower(o.office) = t) exact, min(lower(o.office)) FILTER (WHERE t <> '' AND (contains(t, lower(o.office)) OR contains(lower(o.office), t))) part FROM q, offices o GROUP BY c_custkey, t),
+ x AS (SELECT c_custkey, t, exact, lower(o.office) alias, part, b FROM c LEFT JOIN sure USING (c_custkey) LEFT JOIN offices o USING (office_id) LEFT JOIN short ON a = t)
+ SELECT c_custkey, coalesce(exact, alias, part, b, '{PREFERRED[1]}') AS office, CASE WHEN exact IS NOT NULL THEN 0 WHEN alias IS NOT NULL THEN 1 WHEN part IS NOT NULL THEN 2 WHEN b IS NOT NULL THEN 3 ELSE 4 END::BIGINT AS tier FROM x""",
+)
 def office_cascade(spark, d):
-    """Exact name, else one name inside the other, else the default. The 25 names are a fixed table kept in one array."""
+    """Exact name, else a sure alias, else one name inside the other, else a shorthand, else the first preferred office. The 25 names are a fixed table kept in one array."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    k = F.col("c_custkey") % 4
-    label = F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lower("n_name"), F.lit(" desk"))).when(k == 2, F.lit("nowhere")).otherwise(F.col("c_mktsegment"))
-    l = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", label.alias("label"))
-    names = offices(spark, d).agg(F.sort_array(F.collect_list("office")).alias("names"))
-    tier = lambda o: F.when(F.col("label") == o, 0).when(F.contains(F.lower("label"), F.lower(o)) | F.contains(F.lower(o), F.lower("label")), 1)
-    rated = F.filter(F.transform("names", lambda o: F.struct(tier(o).alias("tier"), o.alias("office"))), lambda x: x["tier"].isNotNull())
-    best = l.crossJoin(F.broadcast(names)).select("c_custkey", F.array_min(rated).alias("x"))
-    return best.select("c_custkey", F.coalesce("x.office", F.lit("ALGERIA")).alias("office"), F.coalesce("x.tier", F.lit(2)).cast("long").alias("tier"))
+    q = c.join(n, c.c_nationkey == n.n_nationkey).select("c_custkey", F.expr(_LABEL).alias("label")).withColumn("t", tf.normal("label"))
+    sure = aliases.offices_of(q, ["c_custkey"], "label", n.select(F.col("n_nationkey").alias("office_id"), F.concat(F.lit("bureau "), F.col("n_nationkey").cast("string")).alias("alias"), F.lit(1.5).alias("weight")))
+    by_alias = sure.join(F.broadcast(n), F.col("office_id") == n.n_nationkey).select("c_custkey", tf.normal("n_name").alias("by_alias"))
+    names = offices(spark, d).agg(F.sort_array(F.collect_list(tf.normal("office"))).alias("names"))
+    exact = F.when(F.array_contains("names", F.col("t")), F.col("t"))
+    part = F.when(F.col("t") != "", F.get(F.filter("names", lambda o: F.contains(F.col("t"), o) | F.contains(o, F.col("t"))), F.lit(0)))
+    short = F.try_element_at(F.create_map(*(F.lit(x) for p in SHORT.items() for x in p)), F.col("t"))
+    short = F.when(F.array_contains("names", short), short)
+    default = F.coalesce(*(F.when(F.array_contains("names", F.lit(p)), F.lit(p)) for p in PREFERRED), F.get("names", F.lit(0)))
+    tiers = [exact, F.col("by_alias"), part, short]
+    tier = reduce(lambda w, x: w.when(x[1].isNotNull(), x[0]), list(enumerate(tiers))[1:], F.when(tiers[0].isNotNull(), 0)).otherwise(4)
+    return q.join(by_alias, "c_custkey", "left").crossJoin(F.broadcast(names)).select("c_custkey", F.coalesce(*tiers, default).alias("office"), tier.cast("long").alias("tier"))
 
 
 _TOLD = "told AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) told FROM conversations WHERE role = 'user' GROUP BY conv_id)"

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators import matching
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ARTICLES, LINES, articles, lines, table
 
 REPLACED = [("the ", "THE "), ("THE of", "the_of"), ("|", " / ")]
 SPLITS = [("th", "er|en|is"), ("en", "ti|de"), ("qu", "e|i")]
-HEADERS = ["ver", "einer", "queder", "nander"]
+HEADERS = ["ver", "einer", "queder", "nander", "that erea of", "the tion", "on the ing"]
 FEE = r"(?i)^\s*(none|free|n/?a)\s*$"
 MARKER = "----EXTRACTED METADATA----"
 
@@ -76,20 +77,12 @@ def match_keys(spark, d):
     return table(spark, d, "pages").select("page_id", tf.match_title("url").alias("title"), tf.match_filename("url").alias("filename"))
 
 
-@query(
-    "P11_fuzzy_headers",
-    rf"""WITH {LINES}, cells AS (SELECT doc_id, line_no, unnest(range(len(string_split(line, '|')))) cell_no, unnest(string_split(line, '|')) cell FROM lines WHERE contains(line, '|')),
- keyed AS (SELECT doc_id, line_no, cell_no, lower(trim(regexp_replace(cell, '\s+', ' ', 'g'))) k FROM cells),
- scored AS (SELECT doc_id, line_no, cell_no, k, h, ord, 1 - levenshtein(k, h) / greatest(length(k), length(h))::DOUBLE r FROM keyed, (VALUES {", ".join(f"({i}, '{h}')" for i, h in enumerate(HEADERS))}) t(ord, h) WHERE k <> '' AND len(string_split(k, ' ')) <= 5)
- SELECT doc_id, line_no::BIGINT line_no, cell_no::BIGINT cell_no, arg_min(h, struct_pack(a := -r, b := ord)) header FROM scored WHERE r >= 0.72 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY doc_id, line_no, cell_no"),
-)
+@query("P11_fuzzy_headers")
 def fuzzy_headers(spark, d):
-    """Cells of piped lines that are nearly a known header, with the closest one."""
-    cells = lines(spark, d).where(F.contains("line", F.lit("|"))).select("doc_id", "line_no", F.posexplode(F.split("line", r"\|")).alias("cell_no", "cell")).withColumn("k", tf.normal("cell"))
-    heads = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(h).alias("h")) for i, h in enumerate(HEADERS)))
-    rated = F.transform(heads, lambda x: F.struct((-(1 - F.levenshtein("k", x["h"]) / F.greatest(F.length("k"), F.length(x["h"])).cast("double"))).alias("r"), x["ord"].alias("ord"), x["h"].alias("h")))
-    best = cells.where((F.col("k") != "") & (F.size(F.split("k", " ")) <= 5)).withColumn("best", F.array_min(rated)).where("best.r <= -0.72")
-    return best.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("cell_no").cast("long").alias("cell_no"), F.col("best.h").alias("header"))
+    """Cells of piped lines that are nearly a known header, with the closest one. The measure is no SQL function, so it is tested against difflib."""
+    cells = lines(spark, d).where(F.contains("line", F.lit("|"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.posexplode(F.split("line", r"\|")).alias("cell_no", "cell"))
+    found = matching.closest_headers(cells.withColumn("cell_no", F.col("cell_no").cast("long")), "cell", HEADERS)
+    return found.select("doc_id", "line_no", "cell_no", "header", (F.floor(F.col("ratio") * 1000 + 0.5) / 1000).alias("ratio"))
 
 
 def _edges(name: str, edge: int, share: float, protect: str | None) -> None:
