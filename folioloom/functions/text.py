@@ -110,3 +110,29 @@ def title_case_stem(x: Column | str) -> Column:
 def hits(x: Column, terms: list[str]) -> Column:
     """How many of the terms are substrings."""
     return reduce(lambda a, b: a + b, (F.contains(x, F.lit(t)).cast("int") for t in terms))
+
+
+def matches_around(x: Column | str, pattern: str, around: int, label: Column) -> Column:
+    """array<struct<label, n, found, at, context>>: each match of the pattern, the place it begins (from 0), and `around` letters before and behind it.
+
+    The text between matches and the matches take turns, so one fold over both knows
+    every place; contexts are cut from the text itself, so they may overlap.
+    """
+    x = _c(x)
+    found, gaps = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern)
+    none = F.array().cast("array<struct<found: string, at: int>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("all"))
+    pairs = F.arrays_zip(found.alias("found"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        at = acc["at"] + F.length(pair["gap"])
+        return F.struct((at + F.length(pair["found"])).alias("at"), F.concat(acc["all"], F.array(F.struct(pair["found"].alias("found"), at.alias("at")))).alias("all"))
+
+    placed = F.aggregate(pairs, start, step, lambda acc: acc["all"])
+
+    def told(m: Column, n: Column) -> Column:
+        begin = F.greatest(m["at"] - around, F.lit(0))
+        context = F.substr(x, begin + 1, m["at"] + F.length(m["found"]) + around - begin)
+        return F.struct(label.alias("label"), n.cast("long").alias("n"), m["found"].alias("found"), m["at"].cast("long").alias("at"), context.alias("context"))
+
+    return F.when(x.rlike(pattern), F.transform(placed, told)).otherwise(F.array().cast("array<struct<label: string, n: bigint, found: string, at: bigint, context: string>>"))

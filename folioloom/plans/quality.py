@@ -108,10 +108,22 @@ def unknown_places(spark, d):
     return places.join(F.broadcast(known), "place", "left_anti")
 
 
-@query("A8_split_audit", r"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).{0,50}\bth\s+.{0,50}')) AS found FROM documents) SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id".replace(r"\bth\s+", "(?:LICENSE|License|license)"))
+#: What an audit looks for, by label.
+AUDIT = {"license": "(?i)licen[sc]e", "doubled article": r"(?i)the\s+the[ .,]", "split word": r"(?i) th\s+[a-z]{2,}"}
+AROUND = 50
+
+
+@query(
+    "A8_split_audit",
+    "WITH f AS (" + " UNION ALL ".join(rf"SELECT doc_id, text, '{k}' AS pattern, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS gaps FROM documents WHERE regexp_matches(text, '{p}')" for k, p in AUDIT.items()) + rf"""),
+ e AS (SELECT doc_id, text, pattern, k, m[k] AS found, length(array_to_string(gaps[1:k], '')) + length(array_to_string(m[1:k - 1], '')) AS place FROM (SELECT *, unnest(range(1, len(m) + 1)) k FROM f))
+ SELECT doc_id, pattern, k - 1 AS n, found, place::BIGINT AS "at", trim(regexp_replace(substring(text, greatest(place - {AROUND}, 0) + 1, place + length(found) + {AROUND} - greatest(place - {AROUND}, 0)), '\s+', ' ', 'g')) AS context FROM e""",
+)
 def split_audit(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"(?s).{0,50}(?:LICENSE|License|license).{0,50}"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("found")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Every match of every pattern with its offset and the text around it, which neighbours may share."""
+    audits = F.array(*(tf.matches_around("text", p, AROUND, F.lit(k)) for k, p in AUDIT.items()))
+    found = table(spark, d, "documents").select("doc_id", F.inline(F.flatten(audits)))
+    return found.select("doc_id", F.col("label").alias("pattern"), "n", "found", "at", tf.collapse("context").alias("context"))
 
 
 #: A candidate is a unit with a quality score.
