@@ -446,6 +446,19 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_similar, "a long, b long")
 
 
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b with the roots ra and rb of both, which are the nodes themselves where they have none."""
+    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    return pairs.join(one, "a", "left").join(two, "b", "left").withColumns({f"r{x}": F.coalesce(f"r{x}", x) for x in "ab"})
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after further links, which join whole groups: only one edge for two groups goes into the search for components."""
+    above = cc.components(_rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(above.join(roots.select("node"), "node", "left_anti"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 7, apart: int = 26) -> DataFrame:
     """docs, with all their columns, less all but one row of each group of near copies.
 
@@ -454,8 +467,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nearly all of whose rare shingles are in no other can have no partner. For the
     others candidates come first from the pigeonring over fingerprints of distinct
     words (at most `radius` bits apart, 128 bits of shingle fingerprints at most
-    `apart`) and from the first set of each key of the prefix filter, which link
-    most of a group; then every pair with a common key that is not linked yet is
+    `apart`) and from the first sets of the keys of the prefix filter: each set is
+    compared with the least one, which links most of a group, then with those of
+    other groups; then every pair with a common key that is not linked yet is
     compared, so no link between groups is missed. The row with the least id stays;
     of equal rows one stays. Null texts count as empty. Columns may have any names.
     """
@@ -476,10 +490,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     classes = prints.join(sets.select("node"), "node", "left_semi").select("node", "print", "more").distinct().withColumn("block", F.lit(0).cast("long"))
     ring = candidates(classes, radius, apart).groupBy("a").agg(F.min("b").alias("b"))
-    first = _checked(ring.unionByName(pairs(sets.withColumn("root", F.col("node")), True)), sets).checkpoint()
-    roots = cc.components(first)
-    rest = _checked(pairs(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False), sets)
-    links = cc.components(first.unionByName(rest))
+    stars = pairs(sets.withColumn("root", F.col("node")), True).distinct().checkpoint()
+    nearest = ring.unionByName(stars.groupBy("a").agg(F.min("b").alias("b")))
+    roots = cc.components(_checked(nearest, sets))
+    roots = _merged(roots, _checked(_rooted(stars, roots).where("ra <> rb").select("a", "b"), sets).checkpoint()).checkpoint()
+    rest = _checked(pairs(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False), sets).checkpoint()
+    links = _merged(roots, rest)
     rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select("x.d", "x.h")
     left = keyed.repartition(n, "d", "h").join(kept.hint("merge"), ["d", "h"], "left_semi")
