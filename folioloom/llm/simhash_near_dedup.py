@@ -27,6 +27,7 @@ from ._repeats import NO_ID, parts
 ALL = (1 << 64) - 1
 FEW = 32
 BLOCK = 1024
+PARITY = 512  # bits beside each key of the prefix filter; more of them part longer sets
 _NAME = 0x5851F42D4C957F2D  # any number serves
 
 
@@ -360,8 +361,18 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[begin[x]]), pa.array(n[x]), pa.array(keys[x]), pa.array(rest, pa.binary())], ["node", "n", "keys", "rest"])
 
 
+_PREFIX_KEYS = "key long, node long, root long, n long, left long, own long, bits binary"
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """PARITY bits of each set: whether an odd number of its hashes falls on the bit. Two sets differ in at least as many elements as bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = owner * PARITY + (np.concatenate(sets) & (PARITY - 1))
+    return np.packbits((np.bincount(at, minlength=len(sets) * PARITY) & 1).astype(np.uint8).reshape(-1, PARITY), axis=1)
+
+
 def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a key: the shingle, its set, the set's root and size, and how much of the set follows from there."""
+    """One row a key: the shingle, its set, the set's root and size, how much of the set follows from there, how much is in no other set, and the parities of what others have too."""
     for whole in batches:
         for at in range(0, len(whole), 500):
             batch = whole.slice(at, 500)
@@ -369,10 +380,13 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("rest")]
             if not sets:
                 continue
-            keys = np.minimum(keys, [len(x) for x in sets])
+            size = np.array([len(x) for x in sets])
+            bits = pa.array([x.tobytes() for x in parities(sets)], pa.binary())
+            keys = np.minimum(keys, size)
             key = np.concatenate([x[:c] for x, c in zip(sets, keys, strict=True)])
             left = np.concatenate([len(x) - np.arange(c) for x, c in zip(sets, keys, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.repeat(x, keys)) for x in (node, root, n)), pa.array(left)], ["key", "node", "root", "n", "left"])
+            own = np.repeat(np.arange(len(sets)), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[own]) for x in (node, root, n)), pa.array(left), pa.array((n - size)[own]), bits.take(pa.array(own))], ["key", "node", "root", "n", "left", "own", "bits"])
 
 
 def _key_pairs(star: bool):
@@ -380,7 +394,8 @@ def _key_pairs(star: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "key"):
-            key, node, root, n, left = (table.column(x).to_numpy() for x in ("key", "node", "root", "n", "left"))
+            key, node, root, n, left, alone = (table.column(x).to_numpy() for x in ("key", "node", "root", "n", "left", "own"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(begin, len(key)))
             done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -388,7 +403,12 @@ def _key_pairs(star: bool):
             def admit(i: np.ndarray, j: np.ndarray) -> None:
                 # what may still be common from this key on has to be enough, else an earlier key decides
                 ok = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j]))
-                done.append((i[ok], j[ok]))
+                i, j = i[ok], j[ok]
+                for at in range(0, len(i), 1 << 17):  # similar sets differ in at most a ninth of both sizes
+                    x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    ok = 9 * (alone[x] + alone[y] + apart) <= n[x] + n[y]
+                    done.append((x[ok], y[ok]))
 
             if star:
                 i = np.arange(len(key))
@@ -470,7 +490,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     `apart`) and from the first sets of the keys of the prefix filter: each set is
     compared with the least one, which links most of a group, then with those of
     other groups; then every pair with a common key that is not linked yet is
-    compared, so no link between groups is missed. The row with the least id stays;
+    compared, so no link between groups is missed. Parity bits beside each key bound
+    from below how many shingles two sets differ in, so sets that share nearly four
+    fifths leave their task only if the bound allows four fifths. The row with the least id stays;
     of equal rows one stays. Null texts count as empty. Columns may have any names.
     """
     cc.prepare(docs)
@@ -485,7 +507,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     sets = shared.unionByName(sizes).repartition(n, "node").sortWithinPartitions("node", "df", "g").mapInArrow(_prefixes, "node long, n long, keys long, rest binary").checkpoint()
 
     def pairs(rooted: DataFrame, star: bool) -> DataFrame:
-        keys = rooted.mapInArrow(_prefix_keys, "key long, node long, root long, n long, left long")
+        keys = rooted.mapInArrow(_prefix_keys, _PREFIX_KEYS)
         return keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_key_pairs(star), "a long, b long")
 
     classes = prints.join(sets.select("node"), "node", "left_semi").select("node", "print", "more").distinct().withColumn("block", F.lit(0).cast("long"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -99,3 +101,28 @@ def test_keep_one_acts_at_the_exact_similarity(spark, seed):
     root = roots(list(range(len(texts))), lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     left = sd.keep_one(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(root))
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        a = rng.integers(0, 1 << 47, n)
+        b = np.concatenate([a[: int(rng.integers(0, n + 1))], rng.integers(0, 1 << 47, int(rng.integers(0, 60)))])
+        x, y = sd.parities([a, b]).view(np.uint64)
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_many_texts_that_share_not_quite_four_fifths(spark):
+    """Versions of one text that differ in six or seven places each: few pairs are similar, and all of those are found."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 6, 7, 8])):
+            words[at] = f"x{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    sets = [{tuple(r[1].split()[j : j + 5]) for j in range(len(r[1].split()) - 4)} for r in rows]
+    want = {r for r in roots(list(range(400)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))}
+    assert {r.doc_id for r in sd.keep_one(frame(spark, rows)).collect()} == want
