@@ -389,8 +389,16 @@ def _prefix_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x[own]) for x in (node, root, n)), pa.array(left), pa.array((n - size)[own]), bits.take(pa.array(own))], ["key", "node", "root", "n", "left", "own", "bits"])
 
 
-def _key_pairs(star: bool):
-    """Pairs of sets with a common key, from rows sorted by key and node: with the key's first set only, or all that are not linked yet."""
+def _firsts(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least j of each i."""
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    return i[new], j[new]
+
+
+def _key_pairs(first: bool):
+    """Pairs of sets with a common key that are not linked yet and may be similar, from rows sorted by key and node: for each set the first only, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, "key"):
@@ -400,38 +408,41 @@ def _key_pairs(star: bool):
             size = np.diff(np.append(begin, len(key)))
             done: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def admit(i: np.ndarray, j: np.ndarray) -> None:
+            def admitted(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 # what may still be common from this key on has to be enough, else an earlier key decides
                 ok = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j]))
                 i, j = i[ok], j[ok]
+                ok = np.zeros(len(i), bool)
                 for at in range(0, len(i), 1 << 17):  # similar sets differ in at most a ninth of both sizes
                     x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
                     apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                    ok = 9 * (alone[x] + alone[y] + apart) <= n[x] + n[y]
-                    done.append((x[ok], y[ok]))
-
-            if star:
-                i = np.arange(len(key))
-                admit(i, np.repeat(begin, size))
-            else:
-                for g in np.unique(size[size > 1]):
-                    every = begin[size == g]
-                    if g <= FEW:
-                        a, b = np.triu_indices(g, 1)
-                        step = max(1, (1 << 20) // len(a))
-                        for at in (every[x : x + step] for x in range(0, len(every), step)):
-                            admit((at[:, None] + b).ravel(), (at[:, None] + a).ravel())
+                    ok[at : at + (1 << 17)] = 9 * (alone[x] + alone[y] + apart) <= n[x] + n[y]
+                return i[ok], j[ok]
+
+            for g in np.unique(size[size > 1]):
+                every = begin[size == g]
+                if g <= FEW:
+                    a, b = np.triu_indices(g, 1)
+                    step = max(1, (1 << 20) // len(a))
+                    for at in (every[x : x + step] for x in range(0, len(every), step)):
+                        found = admitted((at[:, None] + b).ravel(), (at[:, None] + a).ravel())
+                        done.append(_firsts(*found) if first else found)
+                    continue
+                for at in every:
+                    own = np.arange(at, at + g)
+                    if (root[own] == root[at]).all():
                         continue
-                    for at in every:
-                        own = np.arange(at, at + g)
-                        if (root[own] == root[at]).all():
-                            continue
-                        for lo in range(0, g, BLOCK):
-                            for hi in range(0, lo + 1, BLOCK):
-                                i, j = (x.ravel() for x in np.meshgrid(own[lo : lo + BLOCK], own[hi : hi + BLOCK], indexing="ij"))
-                                admit(i[i > j], j[i > j])
-                        yield from _batches(node, done)
-                        done.clear()
+                    open_ = np.ones(g, bool)
+                    for hi in range(0, g, BLOCK):
+                        for lo in range(hi, g, BLOCK):
+                            i, j = (x.ravel() for x in np.meshgrid(own[lo : lo + BLOCK][open_[lo : lo + BLOCK]], own[hi : hi + BLOCK], indexing="ij"))
+                            found = admitted(i[i > j], j[i > j])
+                            if first:
+                                found = _firsts(*found)
+                                open_[found[0] - at] = False
+                            done.append(found)
+                    yield from _batches(node, done)
+                    done.clear()
             yield from _batches(node, done)
 
     return run
@@ -487,9 +498,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nearly all of whose rare shingles are in no other can have no partner. For the
     others candidates come first from the pigeonring over fingerprints of distinct
     words (at most `radius` bits apart, 128 bits of shingle fingerprints at most
-    `apart`) and from the first sets of the keys of the prefix filter: each set is
-    compared with the least one, which links most of a group, then with those of
-    other groups; then every pair with a common key that is not linked yet is
+    `apart`) and from the keys of the prefix filter: each set is compared with the
+    least candidate, which links most of a group, then with the first ones that are
+    in other groups; then every pair with a common key that is not linked yet is
     compared, so no link between groups is missed. Parity bits beside each key bound
     from below how many shingles two sets differ in, so sets that share nearly four
     fifths leave their task only if the bound allows four fifths. The row with the least id stays;
@@ -506,18 +517,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     sizes = prints.select("node", F.lit(0).cast("long").alias("g"), (-F.col("n")).alias("df")).distinct()
     sets = shared.unionByName(sizes).repartition(n, "node").sortWithinPartitions("node", "df", "g").mapInArrow(_prefixes, "node long, n long, keys long, rest binary").checkpoint()
 
-    def pairs(rooted: DataFrame, star: bool) -> DataFrame:
+    def pairs(roots: DataFrame | None, first: bool) -> DataFrame:
+        rooted = sets.withColumn("root", F.col("node")) if roots is None else sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         keys = rooted.mapInArrow(_prefix_keys, _PREFIX_KEYS)
-        return keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_key_pairs(star), "a long, b long")
+        return keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_key_pairs(first), "a long, b long")
 
     classes = prints.join(sets.select("node"), "node", "left_semi").select("node", "print", "more").distinct().withColumn("block", F.lit(0).cast("long"))
-    ring = candidates(classes, radius, apart).groupBy("a").agg(F.min("b").alias("b"))
-    stars = pairs(sets.withColumn("root", F.col("node")), True).distinct().checkpoint()
-    nearest = ring.unionByName(stars.groupBy("a").agg(F.min("b").alias("b")))
+    ring, sharing = (x.groupBy("a").agg(F.min("b").alias("b")) for x in (candidates(classes, radius, apart), pairs(None, True)))
+    nearest = ring.unionByName(sharing)
     roots = cc.components(_checked(nearest, sets))
-    roots = _merged(roots, _checked(_rooted(stars, roots).where("ra <> rb").select("a", "b"), sets).checkpoint()).checkpoint()
-    rest = _checked(pairs(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), False), sets).checkpoint()
-    links = _merged(roots, rest)
+    roots = _merged(roots, _checked(pairs(roots, True), sets).checkpoint()).checkpoint()
+    links = _merged(roots, _checked(pairs(roots, False), sets).checkpoint())
     rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min(F.struct("d", "h")).alias("x")).select("x.d", "x.h")
     left = keyed.repartition(n, "d", "h").join(kept.hint("merge"), ["d", "h"], "left_semi")
