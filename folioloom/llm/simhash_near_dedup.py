@@ -27,6 +27,7 @@ from ._repeats import NO_ID, parts
 ALL = (1 << 64) - 1
 FEW = 32
 BLOCK = 1024
+DENSE = 500_000  # links that lie together
 PARITY = 512  # bits beside each key of the prefix filter; more of them part longer sets
 _NAME = 0x5851F42D4C957F2D  # any number serves
 
@@ -485,7 +486,7 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """Roots after further links, which join whole groups: only one edge for two groups goes into the search for components."""
-    above = cc.components(_rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    above = cc.components(_rooted(links, roots).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct().checkpoint(), DENSE)
     up = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
     return roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(above.join(roots.select("node"), "node", "left_anti"))
 
@@ -525,7 +526,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     classes = prints.join(sets.select("node"), "node", "left_semi").select("node", "print", "more").distinct().withColumn("block", F.lit(0).cast("long"))
     ring, sharing = (x.groupBy("a").agg(F.min("b").alias("b")) for x in (candidates(classes, radius, apart), pairs(None, True)))
     nearest = ring.unionByName(sharing)
-    roots = cc.components(_checked(nearest, sets))
+    roots = cc.components(_checked(nearest, sets).checkpoint(), DENSE)
     roots = _merged(roots, _checked(pairs(roots, True), sets).checkpoint()).checkpoint()
     links = _merged(roots, _checked(pairs(roots, False), sets).checkpoint())
     rooted = prints.select("d", "h", "node").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
