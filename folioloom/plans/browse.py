@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators import assignment
 from folioloom.operators.numbering import ranked
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ARTICLES, ASKED, CHUNKS, articles, asked, chunks, table
@@ -69,12 +70,28 @@ def rank_articles(spark, d):
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 25").select("doc_id", "category", "points", "rank")
 
 
-@query("T6_popular", f"WITH {ARTICLES}, t AS (SELECT * FROM (VALUES (0, 'hanre'), (1, 'wher'), (2, 'zzzzz')) v(ord, term)) SELECT ord::BIGINT AS ord, term, min(doc_id) AS doc_id FROM t LEFT JOIN articles ON published AND contains(lower(content), term) GROUP BY ord, term")
+POPULAR = 200
+
+
+@query(
+    "T6_popular",
+    f"""WITH RECURSIVE {ARTICLES}, terms AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS ord FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS term, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) QUALIFY ord <= {POPULAR}),
+ cand AS (SELECT ord, doc_id FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z]{{4,}}'))) AS term FROM articles WHERE published) JOIN terms USING (term)),
+ lists AS (SELECT ord, list(doc_id ORDER BY doc_id) AS docs FROM cand GROUP BY ord),
+ given AS (SELECT t.ord, term, coalesce(docs, []) AS docs FROM terms t LEFT JOIN lists l ON l.ord = t.ord),
+ g AS (SELECT 0::BIGINT AS ord, NULL::BIGINT AS doc_id, []::BIGINT[] AS taken
+  UNION ALL SELECT n.ord, list_filter(n.docs, lambda d: NOT list_contains(g.taken, d))[1], list_concat(g.taken, list_filter(n.docs, lambda d: NOT list_contains(g.taken, d))[1:1]) FROM g JOIN given n ON n.ord = g.ord + 1)
+ SELECT g.ord, term, doc_id FROM g JOIN terms ON terms.ord = g.ord""",
+)
 def popular(spark, d):
-    """For each popular term the first article that has it, or none."""
-    terms = spark.createDataFrame([(0, "hanre"), (1, "wher"), (2, "zzzzz")], "ord long, term string")
-    hit = articles(spark, d).where("published").select("doc_id", F.explode(F.array(*(F.when(F.contains(F.lower("content"), F.lit(t)), F.lit(t)) for t in ("hanre", "wher", "zzzzz")))).alias("term")).groupBy("term").agg(F.min("doc_id").alias("doc_id"))
-    return F.broadcast(terms).join(hit, "term", "left").select("ord", "term", "doc_id")
+    """For each of the most popular words of requests, in order, the first article that has it and that no word before it took, or none."""
+    word = r"[a-z]{4,}"
+    said = table(spark, d, "conversations").where("role = 'user'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0))).alias("term"))
+    top = said.groupBy("term").count().orderBy(F.desc("count"), "term").limit(POPULAR)
+    terms = top.select("term", F.row_number().over(Window.orderBy(F.desc("count"), "term")).cast("long").alias("ord"))  # at most POPULAR rows
+    words = articles(spark, d).where("published").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(word), F.lit(0)))).alias("term"))
+    hits = words.join(F.broadcast(terms), "term").select("ord", F.col("doc_id").alias("rank"), F.col("doc_id").alias("item"))
+    return F.broadcast(terms).join(assignment.first_free(hits, POPULAR), "ord", "left").select("ord", "term", F.col("item").alias("doc_id"))
 
 
 @query("A2_collection", f"WITH {CHUNKS} SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, count_if(char_start > 0) AS continued, max(chunk_index) AS last_chunk, arg_max(doc_id, struct_pack(a := length(text), b := -doc_id)) AS longest FROM chunks GROUP BY source")

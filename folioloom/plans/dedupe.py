@@ -50,13 +50,18 @@ def merged_lists(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.concat("l_returnflag", "l_linestatus")))), ",").alias("steps"))
 
 
-@query("D7_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) BETWEEN 2 AND 3000 AND sum(n) < 3000")
-@query("H18_small_merged", r"WITH w AS (SELECT doc_id, source, len(regexp_extract_all(text, '\S+')) n FROM documents WHERE n_chars < 400) SELECT source, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY source HAVING count(*) BETWEEN 2 AND 3000 AND sum(n) < 3000")
+LEAST_WORDS_OF_SECTION = 300
+_SMALL = rf"WITH w AS (SELECT doc_id, 'part ' || doc_id // 2 AS section, len(regexp_extract_all(text, '\S+')) n FROM documents) SELECT section, count(*) AS merged, sum(n)::BIGINT AS words, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM w GROUP BY section HAVING count(*) > 1 AND sum(n) < {LEAST_WORDS_OF_SECTION}"
+
+
+@query("D7_small_merged", _SMALL)
+@query("H18_small_merged", _SMALL)
 def small_merged(spark, d):
-    """Items of one section become one if they are small together; ids are gathered of such sections only, so no list is long."""
-    w = table(spark, d, "documents").where("n_chars < 400").select("doc_id", "source", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
-    few = w.groupBy("source").agg(F.count("*").alias("merged"), F.sum("n").alias("words")).where("merged > 1 AND words < 3000 AND merged <= 3000")
-    ids = w.join(few, "source").groupBy("source", "merged", "words").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    """Items of one section (two ids) become one if they have under 300 words together; ids are gathered of such sections only."""
+    section = F.concat(F.lit("part "), F.floor(F.col("doc_id") / 2).cast("string"))
+    w = table(spark, d, "documents").select("doc_id", section.alias("section"), F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("n"))
+    few = w.groupBy("section").agg(F.count("*").alias("merged"), F.sum("n").alias("words")).where(f"merged > 1 AND words < {LEAST_WORDS_OF_SECTION}")
+    ids = w.join(few, "section").groupBy("section", "merged", "words").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
     return ids.withColumn("ids", F.array_join(F.transform("ids", lambda x: x.cast("string")), ","))
 
 

@@ -157,6 +157,22 @@ def embedded_metadata(spark, d):
     return table(spark, d, "events").select("event_id", parts[0].alias("body"), F.from_json(parts[1], "k long")["k"].alias("k"))
 
 
+# Metadata as it comes: every seventh broken, every fifth nested, every third with a list.
+_META = "CASE WHEN event_id % 7 = 0 THEN '{\"k\": ' || event_id WHEN event_id % 5 = 0 THEN '{\"k\": {\"deep\": ' || event_id || '}, \"kind\": \"' || event_type || '\"}' WHEN event_id % 3 = 0 THEN '{\"tags\": [\"a\", \"' || event_type || '\"], \"k\": ' || event_id || '}' ELSE props END"
+
+
+@query(
+    "P23_variant_metadata",
+    f"""WITH m AS (SELECT event_id, {_META} AS meta FROM events), j AS (SELECT event_id, CASE WHEN json_valid(meta) THEN meta::JSON END AS v FROM m)
+ SELECT event_id, v IS NOT NULL AS sound, try_cast(v ->> '$.k' AS BIGINT) AS k, try_cast(v ->> '$.k.deep' AS BIGINT) AS deep, v ->> '$.kind' AS kind, v ->> '$.tags[1]' AS tag FROM j""",
+)
+def variant_metadata(spark, d):
+    """Metadata of unknown shape, parsed once; what is malformed is null, and so is a path that is not there or of another type."""
+    v = F.try_parse_json(F.expr(_META))
+    get = lambda path, kind: F.try_variant_get("v", path, kind)
+    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", F.col("v").isNotNull().alias("sound"), get("$.k", "bigint").alias("k"), get("$.k.deep", "bigint").alias("deep"), get("$.kind", "string").alias("kind"), get("$.tags[1]", "string").alias("tag"))
+
+
 LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
 
 
