@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioloom.operators.rules import decided, decided_sql, flag, flag_sql, named, named_sql
 from folioloom.plans.quality import _CANDIDATES, _STATUS, UNITS, candidates, units
 from folioloom.plans.registry import query
+from folioloom.sources.shared import written
 
 #: Flags of a unit that decisions read; conditions on title, content, words, path, parent, topic and toc.
 FLAGS = [
@@ -60,8 +61,10 @@ FLOORS = {"needs_review": ["needs_review", "low_quality", "rag_only"], "low_qual
 _DECIDED = f"decided AS (SELECT *, {decided_sql(SERVICE, FINE, 0)} service_bucket, {decided_sql(SERVICE, FINE, 1)} service_reason FROM heard), floored AS (SELECT * REPLACE (CASE " + " ".join(f"WHEN bucket = '{b}' AND NOT list_contains({allowed}, service_bucket) THEN '{b}'" for b, allowed in FLOORS.items()) + " ELSE service_bucket END AS service_bucket) FROM decided)"
 
 
-def decided_units(spark, d):
-    out = _audience(flagged(spark, d)).withColumn("x", decided(SERVICE, FINE)).withColumns({"service_bucket": F.col("x.bucket"), "service_reason": F.col("x.reason")}).drop("x")
+def decided_units(spark, d, once=False):
+    """With `once`, flags are written before they are read, since every decision that reads one would work it out again."""
+    heard = _audience(flagged(spark, d))
+    out = (written(heard) if once else heard).withColumn("x", decided(SERVICE, FINE)).withColumns({"service_bucket": F.col("x.bucket"), "service_reason": F.col("x.reason")}).drop("x")
     floor = F.coalesce(*(F.when((F.col("bucket") == b) & ~F.col("service_bucket").isin(allowed), F.lit(b)) for b, allowed in FLOORS.items()), F.col("service_bucket"))
     return out.withColumn("service_bucket", floor)
 
@@ -128,8 +131,9 @@ _FINAL = f"{_BASE}, {_AUDIENCE}, {_DECIDED}, g AS (SELECT *, len(reasons) len_re
 
 
 def final(spark, d):
-    w = decided_units(spark, d).withColumn("len_reasons", F.size("reasons")).withColumns({"failed": F.size(named(GATE)), "blocked": F.size(named(BLOCKERS))})
-    return w.select("doc_id", "topic", "quality", "words", "title", decided(FINAL, BORDER).alias("x")).select("doc_id", "topic", "quality", "words", "title", "x.bucket", "x.reason")
+    """Bucket and reason of each unit, written, since the best of each topic are taken from them and joined back."""
+    w = decided_units(spark, d, once=True).withColumn("len_reasons", F.size("reasons")).withColumns({"failed": F.size(named(GATE)), "blocked": F.size(named(BLOCKERS))})
+    return w.select("doc_id", "topic", "quality", "words", "title", decided(FINAL, BORDER).alias("x")).select("doc_id", "topic", "quality", "words", "title", "x.bucket", "x.reason").checkpoint()
 
 
 def best(f):

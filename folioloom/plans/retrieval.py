@@ -11,6 +11,7 @@ from folioloom.functions import text as tf
 from folioloom.operators.rules import Rule, added, added_sql, decided, decided_sql, first, first_sql, holds, holds_sql, scored, scored_sql, spaced, spaced_sql
 from folioloom.operators.vectors import nearest
 from folioloom.plans.registry import query
+from folioloom.sources.shared import written
 from folioloom.sources.tables import ASKED, CHUNKS, asked, chunks, table
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])"
@@ -109,12 +110,15 @@ _PAIRS = rf"""texts AS (SELECT doc_id, min(lang) lang, min(source) source, min({
 
 
 def pairs(spark, d):
-    t = table(spark, d, "documents").groupBy("doc_id").agg(F.min("source").alias("source"), F.min(spaced(F.col("text"))).alias("body"), F.min(spaced(F.split("text", "\n")[0])).alias("title"), F.min("n_chars").alias("n_chars"))
+    """Hits beside question and passage; only documents that a hit names are normalised."""
+    found = written(hits(spark, d))
+    named_ids = found.select(F.col("query_id").alias("doc_id")).unionByName(found.select(F.col("vec_id").alias("doc_id"))).distinct()
+    t = table(spark, d, "documents").join(named_ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("source").alias("source"), F.min(spaced(F.col("text"))).alias("body"), F.min(spaced(F.split("text", "\n")[0])).alias("title"), F.min("n_chars").alias("n_chars"))
     m = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.col("doc_id").alias("vec_id"), "quality")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("asked_label"))
     question = t.select(F.col("doc_id").alias("query_id"), F.col("body").alias("q"))
     passage = t.withColumnRenamed("doc_id", "vec_id").withColumn("known", F.lit(True))
-    out = hits(spark, d).join(e, "query_id").join(question, "query_id", "left").join(passage, "vec_id", "left").join(m, "vec_id", "left")
+    out = found.join(e, "query_id").join(question, "query_id", "left").join(passage, "vec_id", "left").join(m, "vec_id", "left")
     out = out.fillna("", ["q", "body", "title"]).fillna(False, ["known"])
     return out.withColumn("domain", first(DOMAINS, F.col("q"))).withColumn("passage_domain", first(DOMAINS, F.col("body")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -14,3 +14,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     if not named and not (context.master == "local" or context.master.startswith("local[")):
         raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that what is read several times is worked out once."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
