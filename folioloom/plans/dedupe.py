@@ -26,12 +26,6 @@ def normal_distinct(spark, d):
     return lines(spark, d).withColumn("k", tf.normal("line")).where("k <> ''").groupBy("doc_id", "k").agg(F.min_by("line", "line_no").alias("line"))
 
 
-@query("D3_blueprints", f"WITH {ARTICLES}, g AS (SELECT category, subcategory, count(*) n, min(doc_id) lead, sum(length(content))::BIGINT size FROM articles GROUP BY 1, 2) SELECT sha1(lower(category) || '|' || lower(subcategory)) AS id, category, subcategory, n AS units, lead, size FROM g WHERE n >= 3")
-def blueprints(spark, d):
-    g = articles(spark, d).groupBy("category", "subcategory").agg(F.count("*").alias("units"), F.min("doc_id").alias("lead"), F.sum(F.length("content")).alias("size"))
-    return g.where("units >= 3").select(tf.stable_id("category", "subcategory").alias("id"), "category", "subcategory", "units", "lead", "size")
-
-
 @query("D4_disambiguated", rf"WITH {ARTICLES}, t AS (SELECT doc_id, category, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) k FROM articles) SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN category || ': ' || title ELSE title END AS title FROM t")
 def disambiguated(spark, d):
     """Titles that repeat get their scope as prefix; counted by key before the join, so a common title is no hot window."""
@@ -40,11 +34,6 @@ def disambiguated(spark, d):
     return t.join(n, "k").select("doc_id", F.when(F.col("n") > 1, F.concat_ws(": ", "category", "title")).otherwise(F.col("title")).alias("title"))
 
 
-@query("D5_merged_parts", "SELECT p_brand AS key, count(*) AS parts, arg_min(p_name, p_partkey) AS name, min(p_type) FILTER (WHERE p_size > 40) AS first_type, array_to_string(list_sort(list_distinct(list(p_size))), ',') AS sizes FROM part GROUP BY p_brand")
-def merged_parts(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.count("*").alias("parts"), F.min_by("p_name", "p_partkey").alias("name"), F.min(F.when(F.col("p_size") > 40, F.col("p_type"))).alias("first_type"), F.array_join(F.sort_array(F.collect_set("p_size")), ",").alias("sizes"))
-
-
 @query("D6_merged_lists", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(lower(l_returnflag || l_linestatus)))), ',') AS steps FROM lineitem GROUP BY l_orderkey")
 def merged_lists(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set(F.lower(F.concat("l_returnflag", "l_linestatus")))), ",").alias("steps"))
