@@ -101,7 +101,10 @@ def publish_gate(spark, d):
 
 
 #: Everything that a recommended article must not be.
-GATE = [("review_reasons", "len_reasons > 0"), ("title", "generic_title OR weak_title OR incomplete OR artifact"), ("type", "NOT service AND NOT sectioned"), ("usefulness", "reference OR noise"), ("confidence", "quality < 0.6 * 6"), ("quality", "quality < CASE WHEN service THEN 5.5 ELSE 5.0 END"), ("summary", "NOT matches(content, '(?s)^.{30,}[.]')")]
+GATE = [
+    ("review_reasons", "len_score_reasons > 0 OR len_reasons > 0"), ("title", "generic_title OR weak_title OR incomplete OR artifact"), ("type", "NOT service AND NOT sectioned"), ("usefulness", "usefulness <= 0"), ("confidence", "confidence < 0.6"),
+    ("quality", "quality < CASE WHEN type IN ('requirement', 'procedure') THEN 7.0 ELSE 7.5 END"), ("summary", "NOT matches(content, '(?s)^.{30,}[.]')"),
+]
 
 
 @query("F17_recommendation_gate", f"WITH {_BASE}, g AS (SELECT *, len(reasons) len_reasons FROM flagged), n AS (SELECT doc_id, {named_sql(GATE)} failed FROM g) SELECT doc_id, len(failed) = 0 AS passes, array_to_string(failed, ',') AS failed FROM n")
@@ -110,6 +113,14 @@ def recommendation_gate(spark, d):
     return g.select("doc_id", (F.size("failed") == 0).alias("passes"), F.array_join("failed", ",").alias("failed"))
 
 
+@query("H13_client_bucket", f"WITH {_BASE}, {_AUDIENCE}, {_DECIDED}, g AS (SELECT *, len(reasons) len_reasons FROM floored) SELECT doc_id, CASE WHEN artifact THEN 'low_quality' WHEN len({named_sql(GATE)}) = 0 THEN 'recommended' WHEN service THEN service_bucket ELSE coalesce(nullif(bucket, 'pending'), 'needs_review') END AS bucket FROM g")
+def client_bucket(spark, d):
+    """The bucket that is shown: the gate's, then the service's, then the unit's own; what waits is for review."""
+    g = decided_units(spark, d, once=True).withColumn("len_reasons", F.size("reasons"))
+    shown = F.when(F.col("artifact"), "low_quality").when(F.size(named(GATE)) == 0, "recommended").when(F.col("service"), F.col("service_bucket")).otherwise(F.coalesce(F.nullif("bucket", F.lit("pending")), F.lit("needs_review")))
+    return g.select("doc_id", shown.alias("bucket"))
+
+
 #: What blocks a service row.
 BLOCKERS = [("no_office", "missing_office"), ("no_who", "missing_who"), ("no_steps", "no_steps"), ("few_steps", "few_steps"), ("no_time", "no_time"), ("placeholder", "placeholder"), ("noise", "noise"), ("contents", "toc"), ("internal", "audience = 'internal_heavy'"), ("mixed", "mixed"), ("weak_title", "generic_title OR weak_title")]
 

@@ -8,18 +8,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators.rules import decided, decided_sql, flag, flag_sql, named, named_sql, scored, scored_sql
 from folioloom.plans.registry import query
 from folioloom.sources.tables import ARTICLES, CHUNKS, LINES, articles, chunks, lines, table
 
-#: A unit is one document: its title, hierarchy, words and campuses follow from its row.
-UNITS = r"""units AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE trim(regexp_replace(substring(text, 1, 50), '\s+', ' ', 'g')) END title, lang parent, source topic, text content, len(regexp_extract_all(text, '\S+')) words,
+#: A unit is one document: its title (the first sentence of its first line), hierarchy, words and campuses follow from its row.
+UNITS = r"""units AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE trim(regexp_replace(regexp_extract(text, '^\s*([^\n.!?]*)', 1), '\s+', ' ', 'g')) END title, lang parent, source topic, text content, len(regexp_extract_all(text, '\S+')) words,
  CASE WHEN doc_id % 23 = 0 THEN NULL ELSE lang || ' > ' || source END path, regexp_matches(text, '(?m)\.{4,}\s*\d+\s*$') OR contains(text, ' | ') toc FROM documents)"""
 
 
 def units(spark, d):
     t = table(spark, d, "documents")
     return t.select(
-        "doc_id", F.when(F.col("doc_id") % 17 == 0, "").otherwise(tf.collapse(F.substring("text", 1, 50))).alias("title"), F.col("lang").alias("parent"), F.col("source").alias("topic"), F.col("text").alias("content"),
+        "doc_id", F.when(F.col("doc_id") % 17 == 0, "").otherwise(tf.collapse(F.regexp_extract("text", r"^\s*([^\n.!?]*)", 1))).alias("title"), F.col("lang").alias("parent"), F.col("source").alias("topic"), F.col("text").alias("content"),
         F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), F.when(F.col("doc_id") % 23 != 0, F.concat_ws(" > ", "lang", "source")).alias("path"),
         (F.col("text").rlike(r"(?m)\.{4,}\s*\d+\s*$") | F.contains("text", F.lit(" | "))).alias("toc"),
     )
@@ -126,27 +127,73 @@ def split_audit(spark, d):
     return found.select("doc_id", F.col("label").alias("pattern"), "n", "found", "at", tf.collapse("context").alias("context"))
 
 
-#: A candidate is a unit with a quality score.
-_QUALITY = "greatest(-8, least(12, CASE WHEN title = '' THEN -3 ELSE 1 END + CASE WHEN words >= 50 THEN 3 WHEN words >= 20 THEN 1 ELSE -2 END + CASE WHEN path IS NOT NULL THEN 1 ELSE 0 END - CASE WHEN toc THEN 4 ELSE 0 END + least(2, words * 0.001)))::DOUBLE"
-_CANDIDATES = f"candidates AS (SELECT *, {_QUALITY} quality FROM status), bucketed AS (SELECT *, CASE WHEN title = '' OR words < 20 THEN 'low_quality' WHEN toc THEN 'rag_only' WHEN len(reasons) > 0 OR quality < 2 THEN 'needs_review' WHEN quality >= 5 THEN 'recommended' ELSE 'needs_review' END bucket FROM candidates)"
+#: Words of a title that make it more or less useful to readers, and words of a text that show its category.
+BOOST, PENALTY = ["the", "and", "der", "die", "la", "que", "des", "para"], ["license", "copyright", "password", "board", "committee"]
+CATEGORY = ["the", "that", "und", "der", "que", "para", "les", "des", "with", "for"]
+_ACTS = "is|are|was|were|has|have|do|does|did|will|shall|should|must|can|may"
+#: What a title can be; conditions on title and tlen, its number of words.
+TITLE = {
+    "sentence": f"tlen >= 3 AND (matches(title, '[;:.]$') OR tlen > 8 OR matches(title, '^[a-z]') OR matches(title, '(?i)(^| )({_ACTS})( |$)'))",
+    "hanging": "matches(title, '(?i)(^| )(on|to|with|from|by|and|or|of|de|und|y|et)[^A-Za-z]*$')",
+    "generic": "title = '' OR matches(title, '(?i)^(introduction|overview|notes?|content|section|page)$') OR (tlen <= 2 AND NOT matches(title, '[A-Za-z]'))",
+    "person": "matches(title, '^[A-Z][a-z]+ [A-Z][a-z]+$')",
+    "incomplete": "matches(title, '[#$%&*]{2}')",
+    "appendix": "matches(title, '(?i)^(appendix|annex) [A-Z0-9]+$')",
+    "action": "tlen BETWEEN 1 AND 2 AND matches(title, '^[a-z]')",
+    "row": "matches(title, '[A-Za-z0-9_]/[A-Za-z0-9_]') OR matches(title, '[|]') OR matches(title, '^[a-z]')",
+    "background": "matches(title, '(?i)(^| )(licen[sc]e|copyright|password)( |$)')",
+    "vague": "tlen = 1 AND matches(title, '^(The|Der|La|El|Le)$')",
+    "casing": "tlen >= 3 AND matches(title, '(^| )[A-Z]{3,} (.* )?[A-Z]{3,}( |$)') AND matches(title, '(^| )[A-Z][a-z]')",
+}
+_INFO = "type = 'information'"
+#: condition, change, and the reason for review if it is one; in this order. Changes of a title's look as a heading are in those of what it says.
+SCORE = [
+    ("title = ''", "-2", ""), ("tlen BETWEEN 2 AND 6", "3.5", ""), ("tlen = 1", "-2", "title_too_short"), ("tlen > 6", "-1", "title_too_long"), ("matches(title, '^([A-Z][^ ]*( |$))+$')", "1", ""), ("matches(title, '[,:;]$')", "-1", ""),
+    (TITLE["sentence"], "-4.5", "title_looks_sentence"), (TITLE["hanging"], "-4.5", "title_ends_with_hanging_word"), (TITLE["generic"], "-1.5", "title_looks_generic"), (TITLE["person"], "-5.5", "person_or_position_title"),
+    (TITLE["incomplete"], "-5", "title_incomplete"), (TITLE["appendix"], "-5.5", "appendix_only_title"), (TITLE["action"], "-5.5", "action_step_fragment"), (TITLE["row"], "-5.5", "table_row_fragment"), (TITLE["background"], "-3", "background_title"),
+    (TITLE["vague"], "-2.5", "vague_title"), (TITLE["casing"], "-2.5", "irregular_title_casing"), ("words >= 50", "3", ""), ("words BETWEEN 20 AND 49", "1", ""), (f"words < 20 AND {_INFO}", "-1", "content_too_short"),
+    (f"{_INFO} AND tlen <= 2 AND words < 35 AND path IS NULL", "-2", "information_title_weak"), (f"{_INFO} AND (({TITLE['person']}) OR ({TITLE['incomplete']}))", "-1.5", ""), ("path IS NOT NULL", "1", ""), (f"path IS NULL AND {_INFO}", "0", "title_from_body"),
+    ("true", "confidence * 2", ""), (f"confidence < 0.45 AND {_INFO}", "0", "low_category_confidence"), ("true", "least(2, usefulness * 0.25)", ""), (f"usefulness < 0 AND {_INFO}", "-1.5", "low_usefulness"),
+]
+#: Change of usefulness that is no term's.
+USEFUL = [(TITLE["background"], "-3", ""), (TITLE["vague"], "-2.5", ""), ("type IN ('requirement', 'procedure')", "2", "")]
+REVIEW = f"len_score_reasons > 0 OR quality < 2 OR ({_INFO} AND confidence < 0.55)"
+#: Where a unit goes; what is left waits for the gate of the recommended.
+BUCKETS = [
+    (f"title = '' OR {TITLE['row']}", "low_quality", "title"), (f"{_INFO} AND quality < 3", "low_quality", "not_saveable"), ("toc", "rag_only", "toc"), (f"({REVIEW}) OR len_reasons > 0", "needs_review", "review"),
+    (f"usefulness > 0 AND confidence >= 0.6 AND quality >= CASE WHEN {_INFO} THEN 7.5 ELSE 7.0 END", "recommended", "gate"),
+]
+PENDING = ("pending", "gate")
+_TERMS = lambda terms, text, each: " + ".join(f"{each} * contains({text}, ' {t} ')::INT" for t in terms)
+_USEFUL = f"({_TERMS(BOOST, 'low_title', 1.5)} - ({_TERMS(PENALTY, 'low_title', 2.0)}))::DOUBLE + {scored_sql([(r, flag_sql(c), v) for c, v, r in USEFUL])[0]}"
+_TYPED = rf"""typed AS (SELECT *, CASE WHEN title = '' THEN 0 ELSE len(string_split(title, ' ')) END tlen, CASE WHEN regexp_matches(content, '(?m)^[0-9]+[.)]') THEN 'procedure' WHEN contains(content, ' | ') THEN 'requirement' ELSE 'information' END AS type, ' ' || lower(content) || ' ' low, ' ' || lower(title) || ' ' low_title FROM status),
+ weighed AS (SELECT * EXCLUDE (low, low_title), least(({_TERMS(CATEGORY, 'low', 1)}) / 5.0, 1)::DOUBLE confidence, {_USEFUL} usefulness FROM typed)"""
+_QUALITY = f"floor(greatest(-8, least(12, {scored_sql([(r, flag_sql(c), v) for c, v, r in SCORE])[0]})) * 1e6 + 0.5) / 1e6"
+_CANDIDATES = f"{_TYPED}, rated AS (SELECT *, {_QUALITY} quality, {named_sql([(r, c) for c, _, r in SCORE if r])} score_reasons FROM weighed), candidates AS (SELECT *, len(reasons) len_reasons, len(score_reasons) len_score_reasons FROM rated), bucketed AS (SELECT * EXCLUDE (len_reasons), {decided_sql(BUCKETS, PENDING, 0)} bucket FROM candidates)"
 
 
 def candidates(spark, d):
-    q = F.when(F.col("title") == "", -3).otherwise(1) + F.when(F.col("words") >= 50, 3).when(F.col("words") >= 20, 1).otherwise(-2) + F.when(F.col("path").isNotNull(), 1).otherwise(0) - F.when(F.col("toc"), 4).otherwise(0) + F.least(F.lit(2.0), F.col("words") * 0.001)
-    c = statuses(spark, d).withColumn("quality", F.greatest(F.lit(-8.0), F.least(F.lit(12.0), q)).cast("double"))
-    bucket = F.when((F.col("title") == "") | (F.col("words") < 20), "low_quality").when(F.col("toc"), "rag_only").when((F.size("reasons") > 0) | (F.col("quality") < 2), "needs_review").when(F.col("quality") >= 5, "recommended").otherwise("needs_review")
-    return c.withColumn("bucket", bucket)
-
-
-@query("C25_candidate_score", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, quality FROM candidates")
+    """Units with type, confidence, usefulness, quality, reasons for review (score_reasons) and bucket."""
+    terms = lambda words, text, each: reduce(lambda a, b: a + b, (each * F.contains(text, F.lit(f" {t} ")).cast("int") for t in words))
+    changes = lambda rows: scored([(r, flag(c), F.expr(v).cast("double")) for c, v, r in rows])[0]
+    content, title = (F.concat(F.lit(" "), F.lower(c), F.lit(" ")) for c in ("content", "title"))
+    kind = F.when(F.col("content").rlike("(?m)^[0-9]+[.)]"), "procedure").when(F.contains("content", F.lit(" | ")), "requirement").otherwise("information")
+    c = statuses(spark, d).withColumns({"tlen": F.when(F.col("title") == "", 0).otherwise(F.size(F.split("title", " "))), "type": kind})
+    c = c.withColumns({"confidence": F.least(terms(CATEGORY, content, 1) / F.lit(5.0), F.lit(1.0)), "usefulness": (terms(BOOST, title, 1.5) - terms(PENALTY, title, 2.0)).cast("double") + changes(USEFUL)})
+    quality = F.greatest(F.lit(-8.0), F.least(F.lit(12.0), changes(SCORE)))
+    c = c.withColumns({"quality": F.floor(quality * 1e6 + 0.5) / 1e6, "score_reasons": named([(r, c) for c, _, r in SCORE if r])})
+    c = c.withColumns({"len_reasons": F.size("reasons"), "len_score_reasons": F.size("score_reasons")})
+    return c.withColumn("bucket", decided(BUCKETS, PENDING)["bucket"]).drop("len_reasons")
+
+
+@query("C25_candidate_score", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, quality, usefulness, array_to_string(score_reasons, ',') AS reasons FROM candidates")
 def candidate_score(spark, d):
-    return candidates(spark, d).select("doc_id", "quality")
+    return candidates(spark, d).select("doc_id", "quality", "usefulness", F.array_join("score_reasons", ",").alias("reasons"))
 
 
-@query("C26_buckets", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, bucket FROM bucketed")
-@query("H13_client_bucket", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, bucket FROM bucketed")
+@query("C26_buckets", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT doc_id, {flag_sql(REVIEW)} AS needs_review, bucket FROM bucketed")
 def buckets(spark, d):
-    return candidates(spark, d).select("doc_id", "bucket")
+    return candidates(spark, d).select("doc_id", flag(REVIEW).alias("needs_review"), "bucket")
 
 
 @query("A10_review_groups", f"WITH {UNITS}, {_STATUS}, {_CANDIDATES} SELECT topic, parent, count(*) AS total, count_if(bucket = 'recommended') AS recommended, count_if(bucket = 'needs_review') AS needs_review, count_if(quality < 2) AS low_confidence FROM bucketed GROUP BY topic, parent")
