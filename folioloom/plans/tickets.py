@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from folioloom.functions import text as tf
 from folioloom.operators.numbering import ranked
 from folioloom.plans.registry import query
 from folioloom.sources.tables import OFFICES, TICKETS, offices, table, tickets
+from folioloom.streaming import ticket_state
 
 TRANSITIONS = [("office", "Open", "In Progress"), ("office", "In Progress", "Resolved"), ("office", "Resolved", "Closed"), ("student", "Resolved", "Closed"), ("student", "Resolved", "Open"), ("student", "Closed", "Open"), ("admin", "Open", "In Progress"), ("admin", "Open", "Closed"), ("admin", "In Progress", "Resolved"), ("admin", "In Progress", "Open"), ("admin", "Resolved", "Closed"), ("admin", "Closed", "Open")]
 _VALUES = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TRANSITIONS)
@@ -131,12 +134,40 @@ def created(spark, d):
     return tickets(spark, d).where("status = 'Open'").select("ticket_id", code.alias("code"), F.lit("created").alias("action"), F.col("user_id").alias("actor"))
 
 
-@query("U2_latest_state", "WITH e AS (SELECT user_id, event_id, ts, event_type, value, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) old FROM events) SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count_if(event_type IS DISTINCT FROM old) AS changes, max(CASE WHEN event_type = 'purchase' THEN ts END) AS resolved_at FROM e GROUP BY user_id".replace("(ts, event_id)) AS", "struct_pack(a := ts, b := event_id)) AS"))
+#: Events as updates of their user's ticket: what each asks for, and in which role.
+WANTED = {"click": "In Progress", "purchase": "Resolved", "error": "Closed", "signup": "Open"}
+PRIORITIES = [(200, "Urgent"), (150, "High")]
+_UPDATES = (
+    "updates AS (SELECT user_id ticket_id, event_id seq, ts, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in WANTED.items()) + " END wanted, CASE " + " ".join(f"WHEN value >= {a} THEN '{b}'" for a, b in PRIORITIES) + " END priority,"
+    " CASE WHEN k >= 70 THEN 'admin' WHEN k >= 20 THEN 'office' ELSE 'student' END AS role FROM (SELECT *, try_cast(regexp_extract(props, '[0-9]+') AS INT) k FROM events)), numbered AS (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY ts, seq) n FROM updates WHERE ticket_id IS NOT NULL)"
+)
+_MAY = "(u.wanted IS NULL OR u.wanted = s.status OR u.role = 'admin' OR (u.role = 'student' AND s.status = 'Resolved' AND u.wanted = 'Closed') OR (u.role = 'office' AND (" + " OR ".join(f"s.status = '{a}' AND u.wanted = '{b}'" for a, to in ticket_state.MOVES.items() for b in to) + "))) AND (u.priority IS NULL OR u.role IN ('admin', 'office'))"
+_WALK = f"""{_UPDATES}, steps AS (SELECT ticket_id, 0::BIGINT n, NULL::BIGINT seq, NULL::TIMESTAMP ts, false ok, NULL::VARCHAR old_status, NULL::VARCHAR old_priority, 'Open' status, 'Medium' priority, NULL::TIMESTAMP resolved_at, NULL::TIMESTAMP closed_at FROM (SELECT DISTINCT ticket_id FROM numbered)
+ UNION ALL SELECT ticket_id, n, seq, ts, ok, status, priority, CASE WHEN ok THEN after ELSE status END, CASE WHEN ok THEN coalesce(asked, priority) ELSE priority END,
+  CASE WHEN ok AND after = 'In Progress' AND status IN ('Resolved', 'Closed') THEN NULL WHEN ok AND after = 'Resolved' THEN coalesce(resolved_at, ts) ELSE resolved_at END,
+  CASE WHEN ok AND after = 'In Progress' AND status = 'Closed' THEN NULL WHEN ok AND after = 'Closed' THEN coalesce(closed_at, ts) ELSE closed_at END
+  FROM (SELECT s.ticket_id, u.n, u.seq, u.ts, {_MAY} ok, s.status, s.priority, u.priority asked, coalesce(u.wanted, s.status) after, s.resolved_at, s.closed_at FROM steps s JOIN numbered u ON u.ticket_id = s.ticket_id AND u.n = s.n + 1))"""
+
+
+def updates(spark, d):
+    e = table(spark, d, "events")
+    k = F.regexp_extract("props", "[0-9]+", 0).try_cast("int")
+    names = F.create_map(*(F.lit(x) for p in WANTED.items() for x in p))
+    priority = reduce(lambda w, p: w.when(F.col("value") >= p[0], p[1]), PRIORITIES[1:], F.when(F.col("value") >= PRIORITIES[0][0], PRIORITIES[0][1]))
+    return e.select(F.col("user_id").alias("ticket_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.try_element_at(names, "event_type").alias("wanted"), priority.alias("priority"), F.when(k >= 70, "admin").when(k >= 20, "office").otherwise("student").alias("role"))
+
+
+@query("U2_latest_state", f"WITH RECURSIVE {_WALK} SELECT ticket_id, arg_max(status, n) AS status, arg_max(priority, n) AS priority, max(resolved_at) FILTER (WHERE n = m) AS resolved_at, max(closed_at) FILTER (WHERE n = m) AS closed_at, count_if(ok) AS accepted, count_if(NOT ok AND n > 0) AS refused FROM (SELECT *, max(n) OVER (PARTITION BY ticket_id) m FROM steps) GROUP BY ticket_id")
 def latest_state(spark, d):
-    """Each key's state after its last event, the number of field changes, and when it was last resolved."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("old", F.lag("event_type").over(w))
-    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count_if(~F.col("event_type").eqNullSafe(F.col("old"))).alias("changes"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("resolved_at"))
+    """Each ticket's state after its last update; reopening clears when it was resolved."""
+    out = ticket_state.latest(ticket_state.batch(updates(spark, d)))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("resolved_at", "closed_at")})
+
+
+@query("U2_field_changes", f"WITH RECURSIVE {_WALK} SELECT ticket_id, seq, ts, 'status' AS field_name, old_status AS old_value, status AS new_value FROM steps WHERE ok AND old_status <> status UNION ALL SELECT ticket_id, seq, ts, 'priority', old_priority, priority FROM steps WHERE ok AND old_priority <> priority")
+def field_changes(spark, d):
+    """The audit of accepted updates, one row a changed field."""
+    return ticket_state.audit(ticket_state.batch(updates(spark, d))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("U3_replies_reopen", f"WITH {TICKETS}, r AS (SELECT l_orderkey ticket_id, count(*) n, max(l_returnflag = 'R') student FROM lineitem GROUP BY 1) SELECT ticket_id, n AS replies, CASE WHEN student AND status IN ('Resolved', 'Closed') THEN 'Open' ELSE status END AS status FROM tickets JOIN r USING (ticket_id) WHERE status <> 'Closed' OR student")

@@ -11,7 +11,10 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: The session setting that streams with timers and typed state need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 LIMIT, WINDOW = 30, 60.0
 
 
@@ -50,18 +53,42 @@ def batch(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFr
     return sorted_.mapInPandas(run, "key long, ts timestamp_ntz, seq long, accepted boolean")
 
 
-def stream(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW) -> DataFrame:
-    """The same over a stream; the state of a key is its accepted times, at most `limit`."""
+class _Limiter(StatefulProcessor):
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kept = deque(state.get[0]) if state.exists else deque()
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "seq"])
-            seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
-            yield pd.DataFrame({"key": key[0], "seq": pdf["seq"], "accepted": decide(seconds, kept, limit, window)})
-        state.update((list(kept),))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("kept", "times array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        kept = deque(self.kept.get()[0] if self.kept.exists() else ())
+        seconds = pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6
+        accepted = decide(seconds, kept, self.limit, self.window)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.kept.update((list(kept),))
+            self.handle.registerTimer(int((kept[-1] + self.window) * 1000) + 1)
+        yield pd.DataFrame({"key": key[0], "seq": pdf["seq"], "accepted": accepted})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield pd.DataFrame({"key": [], "seq": [], "accepted": []}).astype({"key": "int64", "seq": "int64", "accepted": "bool"})
 
-    return hits.groupBy("key").applyInPandasWithState(run, "key long, seq long, accepted boolean", "kept array<double>", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def stream(hits: DataFrame, limit: int = LIMIT, window: float = WINDOW, late: str = "0 seconds") -> DataFrame:
+    """The same over a stream whose micro-batches come in order, hits later than `late` dropped.
+
+    The state of a key is its accepted times, at most `limit`. A timer drops it when the
+    watermark is past the window of the last one, so idle keys leave the state. A key's hits of one
+    micro-batch are held together. Needs the RocksDB state store (STORE).
+    """
+    timed = hits.select("key", F.col("ts").cast("timestamp").alias("ts"), "seq").withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(_Limiter(limit, window), "key long, seq long, accepted boolean", "Append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -16,3 +16,13 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def rocks(spark):
+    """A session whose streams may keep timers and typed state."""
+    from folioloom.streaming.rate_limit import STORE
+
+    spark.conf.set(*STORE)
+    yield spark
+    spark.conf.unset(STORE[0])

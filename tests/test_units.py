@@ -67,7 +67,8 @@ def test_rate_limit_batch(spark):
     assert {(r.key, r.seq): r.accepted for r in rate_limit.batch(hits, 5, 60.0).collect()} == expected()
 
 
-def test_rate_limit_stream(spark, tmp_path):
+def test_rate_limit_stream(rocks, tmp_path):
+    spark = rocks
     for part, rows in enumerate((HITS[::2], [])):  # one file: order inside a key is by time within a batch
         if rows:
             spark.createDataFrame(HITS, "key long, ts timestamp_ntz, seq long").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
