@@ -9,7 +9,7 @@ from folioloom.functions import text as tf
 from folioloom.operators import assignment
 from folioloom.operators.numbering import ranked
 from folioloom.plans.registry import query
-from folioloom.sources.tables import ARTICLES, ASKED, CHUNKS, articles, asked, chunks, table
+from folioloom.sources.tables import ARTICLES, ASKED, CHUNKS, TITLE, articles, asked, chunks, table
 
 STOP = ["the", "and", "que", "der", "die", "das", "les", "des", "with", "of"]
 TERMS = ["hanre", "wher", "the"]
@@ -119,9 +119,9 @@ def metadata_summary(spark, d):
     return p.groupBy("value").agg(F.count("*").alias("uses"), F.count_distinct("conv_id").alias("conversations"))
 
 
-@query("A13_context_groups", f"WITH {CHUNKS} SELECT source, lang, count(*) AS chunks, count(DISTINCT substring(text, 1, 20)) AS titles FROM chunks GROUP BY source, lang")
+@query("A13_context_groups", rf"WITH {CHUNKS} SELECT source, lang, count(*) AS chunks, count(DISTINCT trim(regexp_replace(regexp_extract(text, '{TITLE}', 1), '\s+', ' ', 'g'))) AS titles FROM chunks GROUP BY source, lang")
 def context_groups(spark, d):
-    return chunks(spark, d).groupBy("source", "lang").agg(F.count("*").alias("chunks"), F.count_distinct(F.substring("text", 1, 20)).alias("titles"))
+    return chunks(spark, d).groupBy("source", "lang").agg(F.count("*").alias("chunks"), F.count_distinct(tf.collapse(F.regexp_extract("text", TITLE, 1))).alias("titles"))
 
 
 @query("A14_page_range", f"WITH {CHUNKS} SELECT doc_id, CASE WHEN min(chunk_index) = max(chunk_index) THEN (min(chunk_index) + 1)::VARCHAR ELSE (min(chunk_index) + 1) || '-' || (max(chunk_index) + 1) END AS pages FROM chunks GROUP BY doc_id")

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators.markup import visible_text, visible_text_sql
 from folioloom.operators.rules import decided, decided_sql, flag, flag_sql, named, named_sql, scored, scored_sql
 from folioloom.plans.registry import query
-from folioloom.sources.tables import ARTICLES, CHUNKS, LINES, articles, chunks, lines, table
+from folioloom.sources.tables import ARTICLES, CHUNKS, LINES, TITLE, articles, chunks, lines, table
 
 #: A unit is one document: its title (the first sentence of its first line), hierarchy, words and campuses follow from its row.
 UNITS = r"""units AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE trim(regexp_replace(regexp_extract(text, '^\s*([^\n.!?]*)', 1), '\s+', ' ', 'g')) END title, lang parent, source topic, text content, len(regexp_extract_all(text, '\S+')) words,
@@ -20,7 +21,7 @@ UNITS = r"""units AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE trim
 def units(spark, d):
     t = table(spark, d, "documents")
     return t.select(
-        "doc_id", F.when(F.col("doc_id") % 17 == 0, "").otherwise(tf.collapse(F.regexp_extract("text", r"^\s*([^\n.!?]*)", 1))).alias("title"), F.col("lang").alias("parent"), F.col("source").alias("topic"), F.col("text").alias("content"),
+        "doc_id", F.when(F.col("doc_id") % 17 == 0, "").otherwise(tf.collapse(F.regexp_extract("text", TITLE, 1))).alias("title"), F.col("lang").alias("parent"), F.col("source").alias("topic"), F.col("text").alias("content"),
         F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).cast("long").alias("words"), F.when(F.col("doc_id") % 23 != 0, F.concat_ws(" > ", "lang", "source")).alias("path"),
         (F.col("text").rlike(r"(?m)\.{4,}\s*\d+\s*$") | F.contains("text", F.lit(" | "))).alias("toc"),
     )
@@ -262,9 +263,9 @@ def profile(spark, d):
     return units(spark, d).groupBy("parent").agg(F.when(F.avg(F.col("toc").cast("int")) > 0.05, "tables").otherwise("prose").alias("profile"))
 
 
-@query("H9_review_text", "SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN url END, ''), nullif(substring(html, 1, 80), ''), '') AS review FROM pages")
+@query("H9_review_text", f"SELECT page_id, coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN url END, ''), nullif({visible_text_sql('html')}, ''), '') AS review FROM pages")
 def review_text(spark, d):
-    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")), F.nullif(F.substring("html", 1, 80), F.lit("")), F.lit("")).alias("review"))
+    return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.when(F.col("page_id") % 3 == 0, F.col("url")), F.lit("")), F.nullif(visible_text("html"), F.lit("")), F.lit("")).alias("review"))
 
 
 @query("H15_merge_blueprints", f"WITH {UNITS} SELECT topic, parent, count(*) AS units, sum(words)::BIGINT AS words, arg_min(title, doc_id) FILTER (WHERE title <> '') AS title, CASE WHEN bool_or(toc) THEN 'form' WHEN bool_or(words > 500) THEN 'policy' ELSE 'information' END AS type FROM units GROUP BY topic, parent")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
+from folioloom.operators import markup
 from folioloom.plans.registry import query
 from folioloom.sources import store
 from folioloom.sources.tables import CHUNKS, chunks, table
@@ -17,11 +18,14 @@ def route(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(u.rlike(r"\.pdf$"), "pdf").when(u.rlike(r"\.(png|jpe?g)$"), "image").otherwise("html").alias("kind"))
 
 
-@query("S2_page_text", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) >= 40 AS has_text, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+LEAST_TEXT = 40
+
+
+@query("S2_page_text", f"WITH t AS (SELECT page_id, {markup.visible_text_sql('html')} AS text FROM pages) SELECT page_id, length(text) >= {LEAST_TEXT} AS has_text, CASE WHEN text <> '' THEN 'digital' ELSE 'recognition' END AS method, 1::DOUBLE AS geometry_scale, text FROM t")
 def page_text(spark, d):
-    """A page's text layer, and whether it is long enough to do without recognition."""
-    t = tf.collapse(F.regexp_replace("html", "<[^>]*>", " "))
-    return table(spark, d, "pages").select("page_id", (F.length(t) >= 40).alias("has_text"), t.alias("text"))
+    """A page's text layer, whether it is long enough to do without recognition, and which of the two its text comes from; nothing recognises here, so a short layer is kept as it is."""
+    t = table(spark, d, "pages").select("page_id", markup.visible_text("html").alias("text"))
+    return t.select("page_id", (F.length("text") >= LEAST_TEXT).alias("has_text"), F.when(F.col("text") != "", "digital").otherwise("recognition").alias("method"), F.lit(1.0).alias("geometry_scale"), "text")
 
 
 @query("S3_word_boxes", "SELECT l_orderkey, l_linenumber, l_extendedprice AS x0, (l_quantity + l_quantity + 9) / 2 AS cy, greatest(1, l_tax * 100)::DOUBLE AS height FROM lineitem")
@@ -37,6 +41,22 @@ def table_regions(spark, d):
     return table(spark, d, "pages").select("page_id", n("(?i)<tr").alias("table_rows"), n("(?i)<li").alias("list_items"))
 
 
+_ITEM = rf"regexp_extract_all(region, '(?s)<li>(.*?)</li>', 1)"
+
+
+@query(
+    "S4_page_tables",
+    rf"""WITH r AS (SELECT page_id, unnest(range(len(regexp_extract_all(html, '(?s)<[uo]l>.*?</[uo]l>')))) n, unnest(regexp_extract_all(html, '(?s)<[uo]l>(.*?)</[uo]l>', 1)) region FROM pages)
+ SELECT page_id, n, 'list' AS kind, len({_ITEM}) AS rows, least(len({_ITEM}), 1) AS columns, sha256(array_to_string(list_transform({_ITEM}, lambda x: {markup.visible_text_sql('x')}), chr(10))) AS cells_sha256 FROM r""",
+)
+def page_tables(spark, d):
+    """Every table and list of a page with its size and cells. The tables here hold plain lists only, which is what the SQL reads; spans, nesting and broken markup are tested by themselves."""
+    r = markup.with_regions(table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", F.posexplode("regions").alias("n", "r"))
+    cells = F.array_join(F.transform("r.rows", lambda row: F.array_join(row, "\t")), "\n")
+    wide = F.coalesce(F.array_max(F.transform("r.rows", F.size)), F.lit(0))
+    return r.select("page_id", F.col("n").cast("long").alias("n"), "r.kind", F.size("r.rows").cast("long").alias("rows"), wide.cast("long").alias("columns"), F.sha2(cells, 256).alias("cells_sha256"))
+
+
 @query("S5_reading_score", r"WITH s AS (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1)::DOUBLE a, length(regexp_replace(text, '[A-Za-z0-9\s]', '', 'g')) / greatest(length(text), 1)::DOUBLE s, len(regexp_extract_all(text, '\S+')) w FROM documents) SELECT doc_id, floor((3 * 0.9 + a + least(w / 40.0, 1) - s) * 1e6 + 0.5) / 1e6 AS score FROM s")
 def reading_score(spark, d):
     """How well a text reads: three times the mean confidence, plus letters, plus length, less symbols."""
