@@ -133,7 +133,7 @@ BOOST, PENALTY = ["the", "and", "der", "die", "la", "que", "des", "para"], ["lic
 CATEGORY = ["the", "that", "und", "der", "que", "para", "les", "des", "with", "for"]
 _ACTS = "is|are|was|were|has|have|do|does|did|will|shall|should|must|can|may"
 #: What a title can be; conditions on title and tlen, its number of words.
-TITLE = {
+LOOKS = {
     "sentence": f"tlen >= 3 AND (matches(title, '[;:.]$') OR tlen > 8 OR matches(title, '^[a-z]') OR matches(title, '(?i)(^| )({_ACTS})( |$)'))",
     "hanging": "matches(title, '(?i)(^| )(on|to|with|from|by|and|or|of|de|und|y|et)[^A-Za-z]*$')",
     "generic": "title = '' OR matches(title, '(?i)^(introduction|overview|notes?|content|section|page)$') OR (tlen <= 2 AND NOT matches(title, '[A-Za-z]'))",
@@ -150,18 +150,18 @@ _INFO = "type = 'information'"
 #: condition, change, and the reason for review if it is one; in this order. Changes of a title's look as a heading are in those of what it says.
 SCORE = [
     ("title = ''", "-2", ""), ("tlen BETWEEN 2 AND 6", "3.5", ""), ("tlen = 1", "-2", "title_too_short"), ("tlen > 6", "-1", "title_too_long"), ("matches(title, '^([A-Z][^ ]*( |$))+$')", "1", ""), ("matches(title, '[,:;]$')", "-1", ""),
-    (TITLE["sentence"], "-4.5", "title_looks_sentence"), (TITLE["hanging"], "-4.5", "title_ends_with_hanging_word"), (TITLE["generic"], "-1.5", "title_looks_generic"), (TITLE["person"], "-5.5", "person_or_position_title"),
-    (TITLE["incomplete"], "-5", "title_incomplete"), (TITLE["appendix"], "-5.5", "appendix_only_title"), (TITLE["action"], "-5.5", "action_step_fragment"), (TITLE["row"], "-5.5", "table_row_fragment"), (TITLE["background"], "-3", "background_title"),
-    (TITLE["vague"], "-2.5", "vague_title"), (TITLE["casing"], "-2.5", "irregular_title_casing"), ("words >= 50", "3", ""), ("words BETWEEN 20 AND 49", "1", ""), (f"words < 20 AND {_INFO}", "-1", "content_too_short"),
-    (f"{_INFO} AND tlen <= 2 AND words < 35 AND path IS NULL", "-2", "information_title_weak"), (f"{_INFO} AND (({TITLE['person']}) OR ({TITLE['incomplete']}))", "-1.5", ""), ("path IS NOT NULL", "1", ""), (f"path IS NULL AND {_INFO}", "0", "title_from_body"),
+    (LOOKS["sentence"], "-4.5", "title_looks_sentence"), (LOOKS["hanging"], "-4.5", "title_ends_with_hanging_word"), (LOOKS["generic"], "-1.5", "title_looks_generic"), (LOOKS["person"], "-5.5", "person_or_position_title"),
+    (LOOKS["incomplete"], "-5", "title_incomplete"), (LOOKS["appendix"], "-5.5", "appendix_only_title"), (LOOKS["action"], "-5.5", "action_step_fragment"), (LOOKS["row"], "-5.5", "table_row_fragment"), (LOOKS["background"], "-3", "background_title"),
+    (LOOKS["vague"], "-2.5", "vague_title"), (LOOKS["casing"], "-2.5", "irregular_title_casing"), ("words >= 50", "3", ""), ("words BETWEEN 20 AND 49", "1", ""), (f"words < 20 AND {_INFO}", "-1", "content_too_short"),
+    (f"{_INFO} AND tlen <= 2 AND words < 35 AND path IS NULL", "-2", "information_title_weak"), (f"{_INFO} AND (({LOOKS['person']}) OR ({LOOKS['incomplete']}))", "-1.5", ""), ("path IS NOT NULL", "1", ""), (f"path IS NULL AND {_INFO}", "0", "title_from_body"),
     ("true", "confidence * 2", ""), (f"confidence < 0.45 AND {_INFO}", "0", "low_category_confidence"), ("true", "least(2, usefulness * 0.25)", ""), (f"usefulness < 0 AND {_INFO}", "-1.5", "low_usefulness"),
 ]
 #: Change of usefulness that is no term's.
-USEFUL = [(TITLE["background"], "-3", ""), (TITLE["vague"], "-2.5", ""), ("type IN ('requirement', 'procedure')", "2", "")]
+USEFUL = [(LOOKS["background"], "-3", ""), (LOOKS["vague"], "-2.5", ""), ("type IN ('requirement', 'procedure')", "2", "")]
 REVIEW = f"len_score_reasons > 0 OR quality < 2 OR ({_INFO} AND confidence < 0.55)"
 #: Where a unit goes; what is left waits for the gate of the recommended.
 BUCKETS = [
-    (f"title = '' OR {TITLE['row']}", "low_quality", "title"), (f"{_INFO} AND quality < 3", "low_quality", "not_saveable"), ("toc", "rag_only", "toc"), (f"({REVIEW}) OR len_reasons > 0", "needs_review", "review"),
+    (f"title = '' OR {LOOKS['row']}", "low_quality", "title"), (f"{_INFO} AND quality < 3", "low_quality", "not_saveable"), ("toc", "rag_only", "toc"), (f"({REVIEW}) OR len_reasons > 0", "needs_review", "review"),
     (f"usefulness > 0 AND confidence >= 0.6 AND quality >= CASE WHEN {_INFO} THEN 7.5 ELSE 7.0 END", "recommended", "gate"),
 ]
 PENDING = ("pending", "gate")
