@@ -54,21 +54,24 @@ def merge_parts(parts: DataFrame, key: str, order: str, office: str, scalars: li
 
     The office that decides is an aggregate of its key, so no part waits for another: a
     key with a third of all rows is combined before the shuffle, split by the adaptive
-    skew join, and combined again.
+    skew join, and combined again. Lists do not travel by key: they meet their group by `order`.
+    Items are the same if the MD5 of their lower case is.
     """
-    x = parts.where(F.col(key) != "").select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(office).alias("_office"), office_key(office).alias("_o"), *scalars, *lists)
+    parts = parts.where(F.col(key) != "")
+    x = parts.select(F.col(key).alias("_key"), F.col(order).alias("_ord"), F.col(office).alias("_office"), office_key(office).alias("_o"), *scalars)
     anchors = x.groupBy("_key").agg(F.min("_ord").alias("_head"), F.min_by("_o", F.when(F.col("_o") != "", F.col("_ord"))).alias("_a"))
     inside = F.col("_a").isNull() | (F.col("_o") == "") | F.contains("_a", "_o") | F.contains("_o", "_a")
     member = x.join(anchors, "_key").withColumn("head", F.when(inside, F.col("_head")).otherwise(F.col("_ord")))
     first = lambda c, by: F.min_by(tf.collapse(c), F.when(by, F.col("_ord")))
     fields = member.groupBy(F.col("_key").alias(key), "head").agg(F.count("*").alias("parts"), first("_office", F.col("_o") != "").alias(office), *(first(c, _filled(F.col(c))).alias(c) for c in scalars))
-    return reduce(lambda out, c: out.join(_united(member, c), "head", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>"))), lists, fields)
+    heads = member.select("_ord", "head")
+    return reduce(lambda out, c: out.join(_united(parts.select(F.col(order).alias("_ord"), c).join(heads, "_ord"), c), "head", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>"))), lists, fields)
 
 
 def _united(member: DataFrame, name: str) -> DataFrame:
     """The items of one list of each group, in order, once."""
     item = member.select("head", "_ord", F.posexplode(name).alias("_at", "_item")).withColumn("_item", tf.collapse("_item")).where(_filled(F.col("_item")))
-    once = item.groupBy("head", F.lower("_item").alias("_k")).agg(F.min(F.struct("_ord", "_at", "_item")).alias("_first"))
+    once = item.groupBy("head", F.unhex(F.md5(F.lower("_item"))).alias("_k")).agg(F.min(F.struct("_ord", "_at", "_item")).alias("_first"))
     return once.groupBy("head").agg(F.transform(F.sort_array(F.collect_list("_first")), lambda s: s["_item"]).alias(name))
 
 
