@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioloom.functions import text as tf
@@ -99,3 +100,27 @@ def test_assignment_equals_taking_turns(spark):
                 taken.add(want[o])
         df = spark.createDataFrame(rows, "ord long, rank long, item long")
         assert {r["ord"]: r["item"] for r in assignment.first_free(df, askers).collect()} == want
+
+
+@pytest.mark.parametrize("room", [aliases.ROOM, 60])
+def test_a_text_leaves_its_task_with_two_offices_at_most(spark, room):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    known = {(o, " ".join(rng.choices(words, k=rng.randint(1, 3)))): rng.choice([0.7, 0.9, 1.1]) for o in range(6) for _ in range(8)}
+    texts = [(i, " ".join(rng.choices(words, k=30))) for i in range(40)] + [(40, ""), (41, None), (42, "nothing")]
+    df, rows = spark.createDataFrame(texts, "i long, t string").coalesce(1), spark.createDataFrame([(o, a, w) for (o, a), w in known.items()], "office_id long, alias string, weight double")
+    got = aliases.leading(df, rows, room).collect()
+    best = {}
+    for r in got:
+        best[r["i"], r["office_id"]] = max(best.get((r["i"], r["office_id"]), (0.0, 0, "")), (r["s"], r["n"], r["alias"]))
+    for i, t in texts:
+        score = {}
+        for (o, a), w in known.items():
+            if f" {a} " in f" {t} ":
+                score[o] = max(score.get(o, (0.0, 0, "")), (w * (0.65 + 0.35 * min(1.0, len(a) / max(12, min(len(t), 80)))), len(a), a))
+        first = sorted(score, key=lambda o: (-score[o][0], o))[:2]
+        found = sorted((o for j, o in best if j == i), key=lambda o: (-best[i, o][0], o))[:2]
+        assert [(o, score[o]) for o in first[:1]] == [(o, best[i, o]) for o in found[:1]]
+        assert [score[o][0] for o in first] == [best[i, o][0] for o in found]
+    if room == aliases.ROOM:
+        assert len(got) == len(best) <= 2 * len(texts)
