@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,3 +126,67 @@ def column_cells(rows: DataFrame, columns: int, least: float = 8.0) -> DataFrame
     words = placed.groupBy("page", "row").agg(F.sort_array(F.collect_list(F.struct("x0", "word", "col", "text"))).alias("words"))
     cell = lambda c: F.array_join(F.transform(F.filter("words", lambda w: w["col"] == c), lambda w: w["text"]), " ")
     return words.select("page", "row", F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), cell).alias("cells"))
+
+
+def page_cells(batches: Iterator[pa.RecordBatch], columns: int, least: float = 3.0, share: float = 0.65, gap: float = 8.0) -> Iterator[tuple[list, list, list]]:
+    """What `rows` and `column_cells` make of boxes, inside a task: page, number in the page (from 1) and cells of each row.
+
+    batches: page, at (1 begins a page), word, text, x0, cy, height; a page's boxes follow
+    each other, sorted by cy, x0 and word. Pages that a batch holds whole are read at
+    once; the last one waits for the next batch.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("at").to_numpy() == 1)
+        if not len(begins):
+            held.append(batch)
+            continue
+        whole = pa.Table.from_batches([*held, batch.slice(0, begins[-1])])
+        held = [batch.slice(begins[-1])]
+        if whole.num_rows:
+            yield _cells(whole, columns, least, share, gap)
+    if held and (whole := pa.Table.from_batches(held)).num_rows:
+        yield _cells(whole, columns, least, share, gap)
+
+
+def _cells(boxes: pa.Table, columns: int, least: float, share: float, gap: float) -> tuple[list, list, list]:
+    x0, cy, height, word = (boxes.column(c).to_numpy() for c in ("x0", "cy", "height", "word"))
+    first = boxes.column("at").to_numpy() == 1
+    begin = np.flatnonzero(first)
+    page, size = np.cumsum(first) - 1, np.diff(np.r_[begin, len(first)])
+    far = np.maximum(least, share * height[np.lexsort((height, page))][begin + size // 2])
+    # boxes at one height go to a row together: the first of them decides, and the mean only comes nearer
+    line = np.flatnonzero(first | np.r_[True, cy[1:] != cy[:-1]])
+    many, rows, new = np.diff(np.r_[line, len(first)]), [], []
+    row, mean, n = -1, 0.0, 0
+    for opens, y, k, limit in zip(first[line].tolist(), cy[line].tolist(), many.tolist(), far[page[line]].tolist(), strict=True):
+        if opens or abs(y - mean) > limit:
+            row, mean, n = row + 1, y, k
+            new.append(opens)
+        else:
+            for _ in range(k):
+                n += 1
+                mean += (y - mean) / n
+        rows.append(row)
+    of = np.repeat(rows, many)
+    by = np.lexsort((x0, page))
+    by = by[np.r_[True, (page[by][1:] != page[by][:-1]) | (x0[by][1:] != x0[by][:-1])]]
+    wide = np.flatnonzero((page[by][1:] == page[by][:-1]) & (x0[by][1:] - x0[by][:-1] >= gap))
+    owner, left, right = page[by][wide], x0[by][wide], x0[by][wide + 1]
+    best = np.lexsort((left, left - right, owner))
+    at = np.arange(len(best)) - np.searchsorted(owner[best], owner[best])
+    best, at = best[at < columns - 1], at[at < columns - 1]
+    bounds = np.full((len(begin), columns - 1), np.inf)
+    bounds[owner[best], at] = (left[best] + right[best]) / 2
+    col = (x0[:, None] >= bounds[page]).sum(axis=1)
+    by = np.lexsort((word, x0, of))
+    cell = (of * columns + col)[by]
+    edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    texts = boxes.column("text").take(pa.array(by)).to_pylist()
+    cells = [[""] * columns for _ in range(row + 1)]
+    for k, a, b in zip(cell[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(texts)], strict=True):
+        cells[k // columns][k % columns] = " ".join(t for t in texts[a:b] if t is not None)
+    begins = np.flatnonzero(new)
+    number = np.arange(1, row + 2) - np.repeat(begins, np.diff(np.r_[begins, row + 1]))
+    pages = np.repeat(np.arange(len(begin)), np.diff(np.r_[begins, row + 1]))
+    return boxes.column("page").take(pa.array(begin[pages])).to_pylist(), number.tolist(), cells

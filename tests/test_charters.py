@@ -194,3 +194,55 @@ def test_whole_query_repaired_twice_changes_nothing(spark):
 
     done = repair.repaired(charters.services(spark, "/root/testdata/sf0.001").where("title <> ''"))
     assert repair.one_pass(done.drop("log", "passes")).where(F.size("changes") > 0).isEmpty()
+
+
+def test_boxes_read_in_one_task_equal_rows_then_columns(spark):
+    rng = random.Random(9)
+    data = []
+    for p in range(40):
+        for w in range(rng.choice([1, 3, 60, 200])):
+            data.append((p, w, rng.choice(["a", "b", "1.", "Dean", None]), float(rng.choice([50, 80, 230, 231, 430, 520, 700]) + rng.randint(0, 9)), 10.0 * rng.randint(0, 6) + rng.choice([0.0, 1.5, 3.0, 4.5]), rng.choice([6.0, 8.0, 9.0])))
+    boxes = spark.createDataFrame(data, "page long, word long, text string, x0 double, cy double, height double").withColumn("x1", F.col("x0") + 5)
+    apart = layout.column_cells(layout.rows(boxes), 5).withColumnRenamed("page", "block")
+    found = {}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        want = sorted(map(tuple, sr.service_steps(apart).collect()), key=str)
+        got = sorted(map(tuple, sr.page_steps(boxes).collect()), key=str)
+        numbered = boxes.selectExpr("page", "row_number() OVER (PARTITION BY page ORDER BY cy, x0, word) AS at", "word", "text", "x0", "cy", "height")
+        whole = numbered.orderBy("page", "at").toArrow().combine_chunks().to_batches()[0]
+        for pages, at, read in layout.page_cells((whole.slice(i, 70) for i in range(0, whole.num_rows, 70)), 5):
+            found |= {(p, n - 1): c for p, n, c in zip(pages, at, read, strict=True)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert found == {(r["block"], r["row"]): r["cells"] for r in apart.collect()}
+
+
+def test_pages_are_dealt_once(spark):
+    from folioloom.plans import charters
+
+    for name in (charters.step_lines, charters.service_tables):
+        plan = name(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_header_words_are_told_quickly():
+    import re
+
+    def plain(text):
+        letters = re.sub("[^A-Z0-9]", "", text.upper())
+        return letters in sr.HEADER_TOKENS.split() or any(p in re.sub("[0-9]", "", letters) for p in sr.HEADER_PARTS.split())
+
+    rng = random.Random(10)
+    bits = ["fees", " to be paid", "Client", " steps", "1", "form ", "processing-time", "", " | ", "é", "agency actions"]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 4)))
+        assert sr.header_words(text) == plain(text)
+        crumbs, before = text, None
+        while before != crumbs:
+            before = crumbs
+            for crumb in sr._CRUMBS:
+                crumbs = crumb.sub(" ", crumbs)
+            crumbs = sr.spaced(crumbs)
+        assert sr.without_crumbs(text) == crumbs.strip(" /|-–—:")
