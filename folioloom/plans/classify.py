@@ -142,7 +142,7 @@ def _signal_sql(kind: str) -> str:
 
 
 def signal(kind: str):
-    return reduce(lambda a, b: a + b, (F.col("text").rlike(p).cast("int") for p in SIGNALS[kind]))
+    return reduce(lambda a, b: a + b, (F.col("text").rlike(tf.edged(p)).cast("int") for p in SIGNALS[kind]))
 
 
 @query("C6_document_type", f"SELECT doc_id, CASE WHEN {_signal_sql('form')} >= 2 THEN 'form' WHEN {_signal_sql('procedure')} >= 2 THEN 'procedure' WHEN {_signal_sql('policy')} >= 1 THEN 'policy' ELSE 'unknown' END AS type FROM documents")
@@ -267,7 +267,7 @@ def triage(spark, d):
 
 @query("C28_intents", r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)^the') THEN 'policy' WHEN contains(text, '|') THEN 'form' WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'requirement' ELSE 'information' END AS article_type, (regexp_matches(text, '(?i)licen[sc]e')::INT + regexp_matches(text, '\|')::INT + regexp_matches(text, '(?i)\bthe\b')::INT)::BIGINT AS intents FROM documents")
 def intents(spark, d):
-    hits = [F.col("text").rlike(p) for p in ("(?i)licen[sc]e", r"\|", r"(?i)\bthe\b")]
+    hits = [F.col("text").rlike(tf.edged(p)) for p in ("(?i)licen[sc]e", r"\|", r"(?i)\bthe\b")]
     found = F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits))))
     kind = F.when(F.col("text").rlike("(?i)^the"), "policy").when(F.contains("text", F.lit("|")), "form").when(hits[0], "requirement").otherwise("information")
     return table(spark, d, "documents").select("doc_id", kind.alias("article_type"), F.size(found).cast("long").alias("intents"))

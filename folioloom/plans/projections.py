@@ -68,7 +68,7 @@ _each("P15_display", lambda c: tf.strip(F.regexp_replace(F.regexp_replace(tf.joi
 _each("P18_word_count", lambda c: F.size(tf.words(c)).cast("long"), r"len(regexp_extract_all(text, '\S*[\p{L}\p{N}_]\S*'))")
 _each("P20_slug", lambda c: tf.slug(F.substring(c, 1, 80)), "regexp_replace(regexp_replace(lower(substring(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 _each("P30_numbered_prefix", lambda c: F.regexp_replace(c, r"^(\s*(\d+|[a-zA-Z])[.)]\s+)+", ""), r"regexp_replace(text, '^(\s*(\d+|[a-zA-Z])[.)]\s+)+', '')")
-_each("P10_form_labels", lambda c: F.regexp_replace(F.regexp_replace(c, r"(?i)\blicensed?\s+under\b", "License:"), r"(?i)\bversion\s+(\d)", "V$1"), r"regexp_replace(regexp_replace(text, '(?i)\blicensed?\s+under\b', 'License:', 'g'), '(?i)\bversion\s+(\d)', 'V\1', 'g')")
+_each("P10_form_labels", lambda c: F.regexp_replace(F.regexp_replace(c, tf.edged(r"(?i)\blicensed?\s+under\b"), "License:"), tf.edged(r"(?i)\bversion\s+(\d)"), "V$1"), r"regexp_replace(regexp_replace(text, '(?i)\blicensed?\s+under\b', 'License:', 'g'), '(?i)\bversion\s+(\d)', 'V\1', 'g')")
 _each("P12_clean_pipeline", lambda c: tf.tidy(F.regexp_replace(tf.replace_many(tf.collapse_letters(tf.rejoin(tf.replace_many(tf.join_hyphens(c), REPLACED), SPLITS)), REPLACED), r"[-_=]{4,}", "\n")), _TIDY.format(r"regexp_replace(" + _many(_letters(_rejoined(_many(r"regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g')")))) + r", '[-_=]{4,}', chr(10), 'g')"))
 
 
