@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = 4096  # vectors of a block, on both sides
+SCORES = 1 << 20  # scores that a task holds at once
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,21 +31,40 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_packed, "dim int, ids binary, labels binary, x binary")
 
 
+def _leading(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest scores of each row, of equals those with smaller ids; only scores that reach the k-th greatest are sorted."""
+    if k >= score.shape[1]:
+        row, column = (x.ravel() for x in np.indices(score.shape))
+    else:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+        row, column = np.nonzero(score >= least)
+    order = np.lexsort((ids[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
 def _best(k: int):
-    """The k best vectors of a block for each query of a block."""
+    """The k best vectors of a block for each query of a block; queries of a block are asked a few at a time, so that a task never holds more than SCORES scores, or those of one query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dim"] != row["asked_dim"]:
+            dims, asked_dims, given = batch.column("dim").to_pylist(), batch.column("asked_dim").to_pylist(), [batch.column(c) for c in ("asked", "q", "ids", "labels", "x")]
+            for at, dim in enumerate(dims):
+                if dim != asked_dims[at]:
                     continue
-                q = np.frombuffer(row["q"]).reshape(-1, row["dim"])
-                x = np.frombuffer(row["x"]).reshape(-1, row["dim"])
-                asked, ids, labels = (np.frombuffer(row[c], np.int64) for c in ("asked", "ids", "labels"))
-                score = np.floor(np.maximum(0.0, q @ x.T) * 1e4 + 0.5) / 1e4
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                take = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])), pa.array(ids[take]), pa.array(labels[take]), pa.array(np.take_along_axis(score, order, axis=1).ravel())], ["query_id", "vec_id", "label", "score"])
+                asked, q, ids, labels, x = (np.frombuffer(column[at].as_buffer(), t) for column, t in zip(given, (np.int64, np.float64, np.int64, np.int64, np.float64)))
+                q, x = q.reshape(-1, dim), x.reshape(-1, dim)
+                step = max(1, SCORES // len(x))
+                for first in range(0, len(q), step):
+                    score = q[first : first + step] @ x.T
+                    np.maximum(0.0, score, out=score)
+                    score *= 1e4
+                    score += 0.5
+                    np.floor(score, out=score)
+                    score /= 1e4
+                    row, column = _leading(score, ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[first + row]), pa.array(ids[column]), pa.array(labels[column]), pa.array(score[row, column])], ["query_id", "vec_id", "label", "score"])
 
     return run
 

@@ -1,12 +1,15 @@
 """Rule tables, ranks by bucket, blocked vector search and near duplicates on small fixtures."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioloom.operators import rules
 from folioloom.operators.numbering import ranked
 from folioloom.operators.rules import Rule
-from folioloom.operators.vectors import nearest
+from folioloom.operators.vectors import _best, blocks, nearest
 from folioloom.plans import dedupe
 
 
@@ -59,6 +62,26 @@ def test_nearest_in_blocks(spark):
     assert got[1000] == {1: 1000, 2: 1001}
 
 
+def test_nearest_of_full_blocks_holds_few_scores(spark):
+    """Two full blocks leave the k best with ties by id, without a table of all their scores."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(4096, 2)), 1) + 0.05
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(4096)], "vec_id long, embedding array<double>, label int").coalesce(1)
+    packed = pa.Table.from_pylist([r.asDict() for r in blocks(df).collect()])
+    pairs = pa.table({"dim": packed["dim"], "ids": packed["ids"], "labels": packed["labels"], "x": packed["x"], "asked_dim": packed["dim"], "asked": packed["ids"], "q": packed["x"]})
+    tracemalloc.start()
+    found = list(_best(5)(iter(pairs.to_batches())))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 100_000_000
+    got = pa.Table.from_batches(found).to_pandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 255, 256, 4095):
+        score = np.floor(np.maximum(0, unit @ unit[q]) * 1e4 + 0.5) / 1e4
+        mine = got[got.query_id == q].sort_values(["score", "vec_id"], ascending=[False, True])
+        assert mine.vec_id.tolist() == sorted(range(4096), key=lambda i: (-score[i], i))[:5]
+
+
 def test_near_duplicates(spark, tmp_path):
     words = [f"word{i}" for i in range(60)]
     base = " ".join(words[:25])
