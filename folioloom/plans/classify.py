@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
+from math import sqrt
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -84,18 +87,34 @@ def _similar_sql(key: str, text: str, source: str) -> str:
  nearest AS (SELECT id, ord::BIGINT AS ord, category alike, floor(least(0.7, sim) * 1000 + 0.5) / 1000 likeness FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY floor(sim * 1e9) DESC, ord) r FROM s) JOIN descriptors USING (ord) WHERE r = 1)"""
 
 
+_WEIGHTS = [(i, c, Counter(re.findall("[a-z]{3,}", words.lower()))) for i, c, words in DESCRIPTORS]
+#: Sum of squared counts of a sorted array's elements; p is the element before, n how often it came.
+_SQUARES = "aggregate(sort_array(toks), struct('' AS p, 0L AS n, 0L AS s), (a, t) -> if(t = a.p, struct(t AS p, a.n + 1L AS n, a.s AS s), struct(t AS p, 1L AS n, a.s + a.n * a.n AS s)), a -> a.s + a.n * a.n)"
+
+
+def _by_count(counts):
+    """How often, and the words that occur so often as a list for IN."""
+    return [(n, ", ".join(f"'{w}'" for w in sorted(counts) if counts[w] == n)) for n in sorted(set(counts.values()))]
+
+
 def nearest_descriptor(texts):
-    """texts: id, text. Term-frequency cosine against each descriptor; texts that share no term with any give no row. Descriptors are a rule table of fixed size."""
-    token = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]{3,}"), F.lit(0))
-    t = texts.select("id", F.explode(token("text")).alias("tok")).groupBy("id", "tok").agg(F.count("*").cast("double").alias("n"))
-    desc = texts.sparkSession.createDataFrame(DESCRIPTORS, "ord long, category string, words string")
-    dt = desc.select("ord", F.explode(token("words")).alias("tok")).groupBy("ord", "tok").agg(F.count("*").cast("double").alias("m"))
-    dn = dt.groupBy("ord").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("dn"))
-    tn = t.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("tn"))
-    dots = t.join(F.broadcast(dt), "tok").groupBy("id", "ord").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    s = dots.join(tn, "id").join(F.broadcast(dn), "ord").withColumn("sim", F.col("dot") / (F.col("tn") * F.col("dn")))
-    best = s.groupBy("id").agg(F.max_by(F.struct("ord", "sim"), F.struct(F.floor(F.col("sim") * 1e9), -F.col("ord"))).alias("x"))
-    return best.select("id", "x.ord", "x.sim").join(F.broadcast(desc), "ord").select("id", "ord", F.col("category").alias("alike"), (F.floor(F.least(F.lit(0.7), "sim") * 1000 + 0.5) / 1000).alias("likeness"))
+    """texts: id, text. Term-frequency cosine against each descriptor; texts that share no term with any give no row.
+
+    Descriptors are a rule table of fixed size, folded into the expression: a text is
+    counted in its own row, so its terms are never shuffled. Texts of one id count as one.
+    """
+    whole = texts.groupBy("id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    t = whole.select("id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("toks"))
+    known = sorted({w for _, _, ws in _WEIGHTS for w in ws})
+    t = t.withColumn("hits", F.filter("toks", lambda w: w.isin(known))).where(F.size("hits") > 0).withColumn("tn", F.sqrt(F.expr(_SQUARES).cast("double")))
+    looks = []
+    for i, category, ws in _WEIGHTS:
+        dot = F.expr(f"aggregate(hits, 0L, (a, w) -> a + CASE {' '.join(f'WHEN w IN ({in_list}) THEN {n}L' for n, in_list in _by_count(ws))} ELSE 0L END)").cast("double")
+        looks.append((i, category, dot, sqrt(sum(n * n for n in ws.values()))))
+    t = t.select("id", "tn", *(dot.alias(f"dot_{i}") for i, _, dot, _ in looks))
+    each = [F.struct(F.floor(F.col(f"dot_{i}") / (F.col("tn") * dn) * 1e9).alias("k"), F.lit(-i).cast("long").alias("o"), (F.col(f"dot_{i}") / (F.col("tn") * dn)).alias("sim"), F.lit(c).alias("alike")) for i, c, _, dn in looks]
+    best = F.array_max(F.array(*(F.when(F.col(f"dot_{looks[j][0]}") > 0, x) for j, x in enumerate(each))))
+    return t.select("id", best.alias("x")).select("id", (-F.col("x.o")).alias("ord"), F.col("x.alike").alias("alike"), (F.floor(F.least(F.lit(0.7), "x.sim") * 1000 + 0.5) / 1000).alias("likeness"))
 
 
 @query("C2_similarity", f"WITH {_similar_sql('conv_id * 100 + turn', 'text', 'conversations')} SELECT id, ord, alike AS category, likeness AS confidence FROM nearest")
