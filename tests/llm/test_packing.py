@@ -1,10 +1,13 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from folioloom.llm import _tokens as tk
 from folioloom.llm import best_fit_packing as bp
 from tests.llm.helpers import documents, frame
 
@@ -73,3 +76,17 @@ def test_clashing_columns_and_long_text(spark):
 
 def test_empty(spark):
     assert bp.best_fit_packing(frame(spark, []), PATH).count() == 0
+
+
+def test_words_are_encoded_in_parts():
+    """Words that differ in case and in what stands beside them share their parts; ids stay those of the library, beside odd characters too."""
+    memory = tk._MEMORY[PATH] = tk.Memory(PATH)
+    tk.encode(pa.array(["The the, (the) THE. the-12 21"]), PATH)
+    assert set(memory.place) == {b"the", b",", b"(", b")", b".", b"-", b"1", b"2"}
+    rng = random.Random(2)
+    odd = [*"abJTKsdmlé''',.<|>-_01  \n\t\x1c\x7f\x85\xa0", "'s", "'RE", "́", "̌", "̸", "«", "İ", "Σ", "漢", "٣", "😀", "<|endoftext|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    ids, first = tk.encode(pa.array(texts), PATH)
+    want = Tokenizer.from_file(PATH).encode_batch_fast(texts, add_special_tokens=False)
+    for i, x in enumerate(want):
+        assert ids[first[i] : first[i + 1]].tolist() == x.ids, texts[i]
