@@ -1,11 +1,11 @@
-"""SentencePiece encoding and decoding, with all words of one length advancing together in numpy.
+"""SentencePiece encoding and decoding, with words of like length advancing together in numpy.
 
 A text becomes units: a run of word marks (one for each space, one put before the
 text) and what follows up to the next mark. No piece of such a vocabulary has a
 mark behind another character, so units are encoded each for itself and a block's
 distinct units once.
 
-Units of one length advance together, one end after another: every substring's
+Units of like length advance together, one end after another: every substring's
 hash probes the sorted piece keys, and of the pieces that end here the best
 admissible one is kept with a backpointer to where it begins.
 - For unigram models all pieces are admissible and the best sum of scores counts.
@@ -21,6 +21,7 @@ The kind is read from the model; the public 32,000-piece model is BPE.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,10 @@ MARK = "▁"
 REMEMBERED = 400_000  # units
 REMEMBERED_CHARS = 8 << 20
 BORDERS = 2_000_000
+TRIED = 1 << 20
 CELLS = 1 << 17
+UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+FILL = 1 << 32  # behind a unit; no character
 _CODECS: dict[str, Codec] = {}
 
 
@@ -58,9 +62,12 @@ class Codec:
         for b, i in byte_ids.items():
             self.out[i] = bytes([b])
         self.borders: dict[int, bool] = {}
+        self.tried = np.zeros(TRIED, np.int64)
         if bpe:
             keep = np.array([self.merged(pieces[i])[0] == [pieces[i]] for i in self.ids], bool)
             self.keys, self.ids = self.keys[keep], self.ids[keep]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys >> np.uint64(44)] = True
         self.remember()
 
     def remember(self) -> None:
@@ -89,22 +96,31 @@ class Codec:
         return tx.mix(out)
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.shape, -1, np.int64)
+        some = np.nonzero(self.maybe[keys >> np.uint64(44)])  # most substrings are no piece, which their first bits tell
+        keys = keys[some]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], -1)
+        out[some] = np.where(self.keys[at] == keys, self.ids[at], -1)
+        return out
 
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit; those of equal length advance together."""
+        """Ids of each unit; those of like length advance together, shorter ones filled up behind."""
         out: list = [None] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        for size, which in by_length.items():
-            step = max(1, CELLS // max(1, size))
-            for at in range(0, len(which), step):
-                part = which[at : at + step]
-                points = np.frombuffer("".join(units[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
-                for i, ids in zip(part, self.viterbi(points), strict=True):
-                    out[i] = ids
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(length, kind="stable")
+        at = 0
+        while at < len(order):
+            # lengths in a block differ by a quarter at most
+            most = max(int(length[order[at]]) * 5 // 4, 6)
+            end = min(int(np.searchsorted(length[order], most, "right")), at + max(1, CELLS // most))
+            part = order[at:end]
+            own = length[part]
+            size = int(own[-1])
+            points = np.full((len(part), size), FILL, np.uint64)
+            points[np.arange(size) < own[:, None]] = np.frombuffer("".join([units[i] for i in part.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            for i, ids in zip(part.tolist(), self.viterbi(points, own), strict=True):
+                out[i] = ids
+            at = end
         return out
 
     def merged(self, text: str, border: int = -1) -> tuple[list[str], bool]:
@@ -128,21 +144,34 @@ class Codec:
             return np.ones(len(piece), bool)
         out = (before < 0) | (piece < 0)
         some = np.flatnonzero(~out)
-        keys = (before[some] * len(self.pieces) + piece[some]).tolist()
+        keys = before[some] * len(self.pieces) + piece[some]
         borders = self.borders
         if len(borders) > BORDERS:
             borders.clear()
-        for key in set(keys).difference(borders):
-            left, right = self.pieces[key // len(self.pieces)], self.pieces[key % len(self.pieces)]
-            borders[key] = not self.merged(left + right, len(left))[1]
-        out[some] = [borders[x] for x in keys]
+            self.tried = np.zeros(TRIED, np.int64)
+        # a key is remembered twice with its answer: where its hash says, until another takes the place, and among all borders
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TRIED.bit_length() + 1)).astype(np.int64)
+        known = self.tried[slot]
+        new = np.flatnonzero(known >> 1 != keys + 1)
+        if len(new):
+            asked, back = np.unique(keys[new], return_inverse=True)
+            answers = np.zeros(len(asked), np.int64)
+            for i, key in enumerate(asked.tolist()):
+                found = borders.get(key)
+                if found is None:
+                    left, right = self.pieces[key // len(self.pieces)], self.pieces[key % len(self.pieces)]
+                    found = borders[key] = not self.merged(left + right, len(left))[1]
+                answers[i] = found
+            known[new] = keys[new] + 1 << 1 | answers[back]
+            self.tried[slot[new]] = known[new]
+        out[some] = known & 1 == 1
         return out
 
     def _spell(self, point: int) -> list[int]:
         raw = chr(point).encode("utf-8", "replace")
         return [self.unknown] if self.unknown in self.bytes[list(raw)] else self.bytes[list(raw)].tolist()
 
-    def _found(self, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _found(self, points: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row, start and id of all pieces in the rows, by end; a character of no piece is -2 - its code point."""
         n, size = points.shape
         whole, step = [], np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +181,7 @@ class Codec:
             ids = self.probe(tx.mix(key))
             if length == 1:
                 ids = np.where(ids < 0, -2 - points.astype(np.int64), ids)
-            row, start = np.nonzero(ids != -1)
+            row, start = np.nonzero((ids != -1) & (np.arange(length, size + 1) <= own[:, None]))
             whole.append((row, start, ids[row, start], start + length))
         row, start, ids, end = (np.concatenate(x) for x in zip(*whole, strict=True))
         order = np.argsort(end, kind="stable")
@@ -160,20 +189,21 @@ class Codec:
         row, start, ids = row[order], start[order], ids[order]
         return [(row[a:b], start[a:b], ids[a:b]) for a, b in zip(cut[1:-1], cut[2:], strict=True)]
 
-    def viterbi(self, points: np.ndarray) -> list[np.ndarray]:
+    def viterbi(self, points: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row, of whose points the first `own` count."""
         n, size = points.shape
         best = np.full((n, size + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, size + 1), np.int64)
         last = np.full((n, size + 1), -1, np.int64)
         worst = self.scores[self.ids].min() - 10 if len(self.ids) else -10.0
-        for end, (row, start, ids) in enumerate(self._found(points), 1):
+        for end, (row, start, ids) in enumerate(self._found(points, own), 1):
             score = best[row, start] + np.where(ids >= 0, self.scores[np.maximum(ids, 0)], worst)
             score[~self.holds(last[row, start], ids)] = -np.inf
             np.maximum.at(best[:, end], row, score)
             top = (score == best[row, end]) & (score > -np.inf)
             back[row[top], end], last[row[top], end] = start[top], ids[top]
-        place, made = np.full(n, size), []
+        place, made = own.copy(), []
         while place.any():
             made.append(np.where(place > 0, last[np.arange(n), place], -1))
             place = np.where(place > 0, back[np.arange(n), place], 0)
@@ -187,19 +217,7 @@ class Codec:
         return np.array([x for s in found.tolist() for x in ([s] if s >= 0 else self._spell(-2 - s))], np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        units: list[list[str]] = []
-        for text in texts:
-            spaced = (MARK + text.replace(" ", MARK)) if text else ""
-            cut = spaced.split(MARK)
-            own, marks = [], 0
-            for part in cut[1:] if spaced else []:
-                marks += 1
-                if part:
-                    own.append(MARK * marks + part)
-                    marks = 0
-            if marks:
-                own.append(MARK * marks)
-            units.append(own)
+        units = [UNIT.findall((MARK + text).replace(" ", MARK)) if text else [] for text in texts]
         new = list({u for own in units for u in own if u not in self.memory})
         if len(self.memory) + len(new) > REMEMBERED or self.held > REMEMBERED_CHARS:
             self.remember()

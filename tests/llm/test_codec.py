@@ -67,3 +67,18 @@ def test_viterbi_finds_the_best_segmentation():
 
 def test_empty(spark):
     assert sc.sentencepiece_encode(frame(spark, []), PATH).count() == 0
+
+
+def test_words_of_like_length_advance_together():
+    """Few calls serve words of many lengths, and each keeps its own ids beside longer ones."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    c = sc.Codec.load(PATH)
+    calls = []
+    own = c.viterbi
+    c.viterbi = lambda *a: calls.append(1) or own(*a)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdetaoinshrdlué漢.") for _ in range(n)) for n in range(1, 200) for _ in range(3)]
+    units = [sc.MARK + w for w in words]
+    for word, ids in zip(words, c.encode_units(units), strict=True):
+        assert ids.tolist() == sp.encode(word)
+    assert len(calls) <= 20
