@@ -102,32 +102,26 @@ def complete(s: str) -> str:
     return f"({' AND '.join(f'{s}{x} <> {chr(39) * 2}' for x in SLOTS)} AND {s}person NOT LIKE '%/')"
 
 
-_ENTRY = "array<struct<rule: string, slot: string, before: string, after: string>>"
-
-
-def _applied(rule: Rule, array: str) -> str:
-    """The array of steps (with their log) after one rule; what the rule makes is bound once and then both put in place and logged."""
-    names = {x: f"s.{x}" for x in SLOTS} | {"next": "s.next"}
-    fields = ", ".join(f"'{x}', {'b.v' if x == rule.slot else f'b.s.{x}'}" for x in SLOTS)
-    entry = f"array(named_struct('rule', '{rule.name}', 'slot', '{rule.slot}', 'before', b.s.{rule.slot}, 'after', b.v))"
-    bound = f"transform({array}, s -> named_struct('s', s, 'v', {rule.sql(Dialect(), names)}))"
-    return f"transform({bound}, b -> named_struct({fields}, 'next', b.s.next, 'log', if(b.v <> b.s.{rule.slot}, concat(b.s.log, {entry}), b.s.log)))"
-
-
 def one_pass(services: DataFrame) -> DataFrame:
     """Adds `changes`, the log of one pass, and rewrites steps (array of structs of SLOTS), total_time and total_fee.
 
     Logged are first the changes of each step by itself, step by step, then what steps take from the next one, then the totals.
+    While rules are applied each slot is an array of its own, so a rule makes strings of one slot and copies no step.
     """
-    out = services.withColumn("changes", F.array().cast(LOG))
+    at = {x: f"_{x}" for x in SLOTS}
+    out = services.withColumns({c: F.col(f"steps.{x}") for x, c in at.items()})
+    logs = []
     for rules in ([r for r in STEP_RULES if not r.looks_on], [r for r in STEP_RULES if r.looks_on]):
-        whole = ", ".join(f"'{x}', g.{x}" for x in SLOTS)
-        array = f"transform(steps, (g, i) -> named_struct({whole}, 'next', coalesce(get(steps, i + 1).person, ''), 'log', cast(array() as {_ENTRY})))"
+        entries, person = [], at["person"]
         for rule in rules:
-            array = _applied(rule, array)
-        out = out.withColumn("got", F.expr(array))
-        told = "flatten(transform(got, (g, i) -> transform(g.log, e -> named_struct('rule', e.rule, 'slot', e.slot, 'step', i, 'before', e.before, 'after', e.after))))"
-        out = out.withColumns({"changes": F.expr(f"concat(changes, cast({told} as {LOG}))"), "steps": F.expr(f"transform(got, g -> named_struct({whole}))")}).drop("got")
+            before, after = at[rule.slot], f"_{len(out.columns)}_{rule.slot}"
+            names = {x: f"get({c}, i)" for x, c in at.items()} | {rule.slot: "x", "next": f"coalesce(get({person}, i + 1), '')"}
+            out = out.withColumn(after, F.expr(f"transform({before}, (x, i) -> {rule.sql(Dialect(), names)})"))
+            entries.append(f"if(get({before}, i) <> get({after}, i), named_struct('rule', '{rule.name}', 'slot', '{rule.slot}', 'step', i, 'before', get({before}, i), 'after', get({after}, i)), null)")
+            at[rule.slot] = after
+        logs.append(f"cast(flatten(transform(_client, (x, i) -> array_compact(array({', '.join(entries)})))) as {LOG})")
+    steps = ", ".join(f"'{x}', get({c}, i)" for x, c in at.items())
+    out = out.withColumns({"changes": F.expr(f"concat({', '.join(logs)})"), "steps": F.expr(f"transform(_client, (x, i) -> named_struct({steps}))")}).select(*services.columns, "changes")
     minutes = F.expr("transform(steps, s -> try_cast(regexp_extract(s.time, r'(?i)^([0-9]+) *(?:minutes?|mins?)$', 1) as long))")
     summed = F.expr("aggregate(minutes, 0L, (a, x) -> a + x)")
     out = out.withColumn("minutes", minutes).withColumn("got", F.when((F.col("total_time") == "") & (F.size("steps") > 0) & (summed > 0), F.concat(summed.cast("string"), F.when(summed == 1, F.lit(" minute")).otherwise(F.lit(" minutes")))).otherwise(F.col("total_time")))

@@ -10,3 +10,12 @@ def test_notifications_are_dealt_out(spark):
     assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism  # one file of orders was one part, whose task made all rows
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "concat" in plan.split("Join", 1)[1] and "concat" not in plan.split("Join", 1)[0]  # a text for each ticket, not for each row
+
+
+def test_repair_copies_no_step_for_a_rule(spark):
+    from folioloom.operators import repair
+    from folioloom.plans import charters
+
+    one = repair.one_pass(charters.services(spark, SF).selectExpr("*", "0 AS passes", f"cast(array() AS {repair.LOG}) AS log"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("named_struct(client") <= 2  # made by services and at the end; before, twice a rule
+    assert "Join" not in load().QUERIES["X13_repair"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()  # grades go along with the services
