@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +150,41 @@ def page_cells(batches: Iterator[pa.RecordBatch], columns: int, least: float = 3
         yield _cells(whole, columns, least, share, gap)
 
 
+def unbundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Boxes as `page_cells` reads them, from rows that hold some of a page's boxes each (page, at, boxes); a page's rows follow each other, and boxes without text are none."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        begins = np.flatnonzero(batch.column("at").to_numpy() == 1)
+        if not len(begins):
+            held.append(batch)
+            continue
+        yield from _opened([*held, batch.slice(0, begins[-1])])
+        held = [batch.slice(begins[-1])]
+    yield from _opened(held)
+
+
+def _opened(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not held or not (whole := pa.Table.from_batches(held)).num_rows:
+        return
+    bundles = whole.column("boxes").combine_chunks()
+    row = np.repeat(np.arange(len(bundles)), pc.fill_null(pc.list_value_length(bundles), 0).to_numpy())
+    boxes = pa.Table.from_struct_array(bundles.flatten())
+    some = boxes.column("text").is_valid().to_numpy()
+    if not some.all():
+        boxes, row = boxes.filter(pa.array(some)), row[some]
+    page = (np.cumsum(whole.column("at").to_numpy() == 1) - 1)[row]
+    by = [boxes.column(c).to_numpy() for c in ("word", "x0", "cy")]
+    less, equal = page[1:] < page[:-1], page[1:] == page[:-1]
+    for x in reversed(by):
+        less, equal = less | equal & (x[1:] < x[:-1]), equal & (x[1:] == x[:-1])
+    if less.any():
+        order = np.lexsort((*by, page))
+        boxes, row, page = boxes.take(pa.array(order)), row[order], page[order]
+    at = np.where(np.diff(page, prepend=-1) != 0, 1, 2)
+    made = {"page": whole.column("page").take(pa.array(row)), "at": pa.array(at)} | {c: boxes.column(c) for c in ("word", "text", "x0", "cy", "height")}
+    yield from pa.table(made).combine_chunks().to_batches()
+
+
 def _cells(boxes: pa.Table, columns: int, least: float, share: float, gap: float) -> tuple[list, list, list]:
     x0, cy, height, word = (boxes.column(c).to_numpy() for c in ("x0", "cy", "height", "word"))
     first = boxes.column("at").to_numpy() == 1
@@ -164,9 +200,12 @@ def _cells(boxes: pa.Table, columns: int, least: float, share: float, gap: float
             row, mean, n = row + 1, y, k
             new.append(opens)
         else:
-            for _ in range(k):
-                n += 1
-                mean += (y - mean) / n
+            if y == mean:
+                n += k
+            else:
+                for _ in range(k):
+                    n += 1
+                    mean += (y - mean) / n
         rows.append(row)
     of = np.repeat(rows, many)
     by = np.lexsort((x0, page))
@@ -180,12 +219,13 @@ def _cells(boxes: pa.Table, columns: int, least: float, share: float, gap: float
     bounds[owner[best], at] = (left[best] + right[best]) / 2
     col = (x0[:, None] >= bounds[page]).sum(axis=1)
     by = np.lexsort((word, x0, of))
+    by = by[boxes.column("text").is_valid().to_numpy()[by]]
     cell = (of * columns + col)[by]
-    edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    texts = boxes.column("text").take(pa.array(by)).to_pylist()
-    cells = [[""] * columns for _ in range(row + 1)]
-    for k, a, b in zip(cell[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(texts)], strict=True):
-        cells[k // columns][k % columns] = " ".join(t for t in texts[a:b] if t is not None)
+    edges = np.flatnonzero(np.diff(cell, prepend=-1))
+    texts = pa.ListArray.from_arrays(pa.array(np.r_[edges, len(by)], pa.int32()), boxes.column("text").take(pa.array(by)).combine_chunks())
+    told = np.full((row + 1) * columns, "", object)
+    told[cell[edges]] = pc.binary_join(texts, " ").to_numpy(zero_copy_only=False)
+    cells = told.reshape(-1, columns).tolist()
     begins = np.flatnonzero(new)
     number = np.arange(1, row + 2) - np.repeat(begins, np.diff(np.r_[begins, row + 1]))
     pages = np.repeat(np.arange(len(begin)), np.diff(np.r_[begins, row + 1]))

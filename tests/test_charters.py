@@ -246,3 +246,25 @@ def test_header_words_are_told_quickly():
                 crumbs = crumb.sub(" ", crumbs)
             crumbs = sr.spaced(crumbs)
         assert sr.without_crumbs(text) == crumbs.strip(" /|-–—:")
+
+
+def test_bundled_boxes_give_the_same_steps(spark):
+    """Boxes that come bundled, unsorted and over several batches, are read as single boxes are; and no plan sorts single boxes of the orders."""
+    from folioloom.plans import charters
+
+    rng = random.Random(11)
+    data = []
+    for p in range(40):
+        for w in range(rng.choice([1, 3, 60, 200])):
+            data.append((p, w, rng.choice(["a", "b", "1.", "Dean", None]), float(rng.choice([50, 80, 230, 231, 430, 520, 700]) + rng.randint(0, 9)), 10.0 * rng.randint(0, 6) + rng.choice([0.0, 1.5, 3.0, 4.5]), rng.choice([6.0, 8.0, 9.0])))
+    boxes = spark.createDataFrame(data, "page long, word long, text string, x0 double, cy double, height double")
+    bundles = boxes.groupBy("page", (F.col("word") % 7).alias("k")).agg(F.collect_list(F.struct("word", "text", "x0", "cy", "height")).alias("boxes")).selectExpr("page", "row_number() OVER (PARTITION BY page ORDER BY k) AS at", "boxes")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        want = sorted(map(tuple, sr.page_steps(boxes.where("text IS NOT NULL")).collect()), key=str)
+        got = sorted(map(tuple, sr.bundled_steps(bundles).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    plan = charters.service_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Generate" not in plan
