@@ -151,7 +151,7 @@ def page_cells(batches: Iterator[pa.RecordBatch], columns: int, least: float = 3
 
 
 def unbundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Boxes as `page_cells` reads them, from rows that hold some of a page's boxes each (page, at, boxes); a page's rows follow each other, and boxes without text are none."""
+    """Boxes as `page_cells` reads them, from rows that hold some of a page's boxes each (page, at, y, height, and lists text, x0, dy); a page's rows follow each other. Boxes at one place keep their order."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         begins = np.flatnonzero(batch.column("at").to_numpy() == 1)
@@ -166,23 +166,21 @@ def unbundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _opened(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held or not (whole := pa.Table.from_batches(held)).num_rows:
         return
-    bundles = whole.column("boxes").combine_chunks()
-    row = np.repeat(np.arange(len(bundles)), pc.fill_null(pc.list_value_length(bundles), 0).to_numpy())
-    boxes = pa.Table.from_struct_array(bundles.flatten())
-    some = boxes.column("text").is_valid().to_numpy()
-    if not some.all():
-        boxes, row = boxes.filter(pa.array(some)), row[some]
+    text, x0, dy = (whole.column(c).combine_chunks() for c in ("text", "x0", "dy"))
+    row = np.repeat(np.arange(len(text)), pc.list_value_length(text).to_numpy())
+    text, x0, cy = text.flatten(), x0.flatten().to_numpy(), dy.flatten().to_numpy() + whole.column("y").to_numpy()[row]
+    some = np.flatnonzero(pc.fill_null(pc.not_equal(text, ""), False).to_numpy(zero_copy_only=False))
+    if len(some) < len(row):
+        text, x0, cy, row = text.take(pa.array(some)), x0[some], cy[some], row[some]
     page = (np.cumsum(whole.column("at").to_numpy() == 1) - 1)[row]
-    by = [boxes.column(c).to_numpy() for c in ("word", "x0", "cy")]
-    less, equal = page[1:] < page[:-1], page[1:] == page[:-1]
-    for x in reversed(by):
-        less, equal = less | equal & (x[1:] < x[:-1]), equal & (x[1:] == x[:-1])
-    if less.any():
-        order = np.lexsort((*by, page))
-        boxes, row, page = boxes.take(pa.array(order)), row[order], page[order]
+    less, same = page[1:] < page[:-1], page[1:] == page[:-1]
+    if (less | same & ((cy[1:] < cy[:-1]) | (cy[1:] == cy[:-1]) & (x0[1:] < x0[:-1]))).any():
+        order = np.lexsort((x0, cy, page))
+        text, x0, cy, row, page = text.take(pa.array(order)), x0[order], cy[order], row[order], page[order]
     at = np.where(np.diff(page, prepend=-1) != 0, 1, 2)
-    made = {"page": whole.column("page").take(pa.array(row)), "at": pa.array(at)} | {c: boxes.column(c) for c in ("word", "text", "x0", "cy", "height")}
-    yield from pa.table(made).combine_chunks().to_batches()
+    given = {c: pa.array(whole.column(c).to_numpy()[row]) for c in ("page", "height")}
+    if len(row):
+        yield pa.RecordBatch.from_pydict({"page": given["page"], "at": pa.array(at), "word": pa.array(np.arange(len(row))), "text": text, "x0": pa.array(x0), "cy": pa.array(cy), "height": given["height"]})
 
 
 def _cells(boxes: pa.Table, columns: int, least: float, share: float, gap: float) -> tuple[list, list, list]:
