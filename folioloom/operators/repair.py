@@ -135,17 +135,21 @@ def one_pass(services: DataFrame) -> DataFrame:
 def repaired(services: DataFrame, most: int = 20) -> DataFrame:
     """services: any columns besides steps, total_time and total_fee. Adds `log`, all changes in order, and `passes`, how many passes changed something.
 
-    Each pass is written to the checkpoint folder, since it decides who goes on. Rules
+    Passes are written to the checkpoint folder two by two, since they decide who goes
+    on: the first changes nearly all, so by itself it would be written for nothing. Rules
     only shorten, move or fill slots, so the passes come to an end; if `most` of them
     don't, that is an error in the rules.
     """
     ensure_checkpoints(services.sparkSession)
     todo, done = services.withColumn("log", F.array().cast(LOG)).withColumn("passes", F.lit(0)), None
-    for _ in range(most):
-        after = one_pass(todo).checkpoint()
-        settled = after.where("size(changes) = 0").drop("changes")
+    for turn in range(0, most, 2):
+        for last in ((False, True) if turn + 1 < most else (True,)):
+            after = one_pass(todo)
+            after = after.checkpoint() if last else after
+            settled = after.where("size(changes) = 0").drop("changes") if last else None
+            todo = after.where("size(changes) > 0") if last else after
+            todo = todo.select(*(c for c in services.columns), F.concat("log", "changes").alias("log"), (F.col("passes") + F.when(F.size("changes") > 0, 1).otherwise(0)).alias("passes"))
         done = settled if done is None else done.unionByName(settled)
-        todo = after.where("size(changes) > 0").select(*(c for c in todo.columns if c not in ("log", "passes")), F.concat("log", "changes").alias("log"), (F.col("passes") + 1).alias("passes"))
         if todo.isEmpty():
             return done
     raise ValueError(f"rules still change something after {most} passes")
